@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
 from .common import table
+from .decontaminate import find_leaks
+from .license_scan import license_scan
+from .quality_model import quality_scores
+from .quality_rules import quality_rules
+from .toxicity import toxicity_scores
 from .warc import warc_round_trip
 
 # Folder of the public tokenizers' files.
@@ -22,7 +27,35 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages")).drop("payload")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_warc": op2_warc}
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_warc": op2_warc,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_toxicity": op5_toxicity,
+    "op6_license_scan": op6_license_scan,
+    "op7_decontaminate": op7_decontaminate,
+    "op10_quality_rules": op10_quality_rules,
+}
 
 SQL: dict[str, str] = {
     "op2_warc": """
