@@ -12,6 +12,7 @@ from .decontaminate import find_leaks
 from .license_scan import license_scan
 from .quality_model import quality_scores
 from .quality_rules import quality_rules
+from .substring_dedup import remove_repeats
 from .toxicity import toxicity_scores
 from .warc import warc_round_trip
 
@@ -43,6 +44,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_license_scan": op6_license_scan,
     "op7_decontaminate": op7_decontaminate,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 

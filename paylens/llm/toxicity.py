@@ -29,14 +29,19 @@ def word_buckets(text: bytes) -> np.ndarray:
     return (mix64(word_hashes(_LOWER[data], starts, ends)) >> np.uint64(44)).astype(np.int32)
 
 
-def select_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], min_share: float = 0.01, min_ratio: float = 3.0) -> np.ndarray:
-    """Buckets that a share of the positive texts has, and that unlabelled texts have more rarely."""
+def select_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], min_ratio: float = 2.0, min_evidence: float = 7.0) -> np.ndarray:
+    """Buckets that positive texts have more often than chance explains, given their share of unlabelled texts.
+
+    With k positive texts where the unlabelled ones let e expect, the evidence is k log(k / e) - (k - e),
+    the negative logarithm of Chernoff's bound for so many by chance.
+    """
     p, u = (np.bincount(np.concatenate(x), minlength=BUCKETS) if len(x) else np.zeros(BUCKETS, int) for x in (positive, unlabelled))
-    ratio = (p + 0.5) / (len(positive) + 1) / ((u + 0.5) / (len(unlabelled) + 1))
-    return np.flatnonzero((p >= max(3, min_share * len(positive))) & (ratio >= min_ratio))
+    expected = (u + 0.5) / (len(unlabelled) + 1) * len(positive)
+    evidence = np.where(p > 0, p * np.log(np.maximum(p, 1) / expected) - (p - expected), 0.0)
+    return np.flatnonzero((p >= min_ratio * expected) & (evidence >= min_evidence))
 
 
-def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, size: int, steps: int = 600, rate: float = 0.05, l2: float = 1e-5, seed: int = 0) -> np.ndarray:
+def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, size: int, steps: int = 600, rate: float = 0.1, l2: float = 1e-5, seed: int = 0) -> np.ndarray:
     """Weights (the last is the bias) of a linear classifier on sets of features below size.
 
     It minimises the non-negative risk prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) under the logistic
