@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_digests
 from .common import table
 from .decontaminate import find_leaks
+from .html_text import extract_text
 from .license_scan import license_scan
 from .quality_model import quality_scores
 from .quality_rules import quality_rules
@@ -48,6 +49,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_decontaminate": op7_decontaminate,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
 }
 
