@@ -10,6 +10,7 @@ from .bpe import bpe_digests
 from .common import table
 from .decontaminate import find_leaks
 from .html_text import extract_text
+from .jaccard_join import near_duplicates
 from .license_scan import license_scan
 from .quality_model import quality_scores
 from .quality_rules import quality_rules
@@ -29,6 +30,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages")).drop("payload")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_toxicity": op5_toxicity,
     "op6_license_scan": op6_license_scan,
