@@ -134,8 +134,8 @@ QUERIES = {
           FROM b a JOIN b c ON a.vendor_key = c.vendor_key AND a.id <> c.id WHERE c.status NOT IN ('failed', 'processing')),
         r AS (SELECT * FROM p WHERE score >= 0.4 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, ord DESC) <= 8),
         v AS (SELECT id, score, 'gl_account' AS field, gl_account AS value FROM r UNION ALL SELECT id, score, 'category', category FROM r UNION ALL SELECT id, score, 'department', department FROM r),
-        w AS (SELECT id, field, value, round(sum(score), 6) AS weight FROM v WHERE trim(value) <> '' GROUP BY 1, 2, 3),
-        z AS (SELECT *, sum(weight) OVER (PARTITION BY id, field) AS total FROM w QUALIFY row_number() OVER (PARTITION BY id, field ORDER BY weight DESC, value DESC) = 1)
-        SELECT id, field, value, round(weight, 4) AS weight, round(least(0.98, 0.5 + coalesce(max(CASE WHEN field = 'gl_account' THEN weight / total END) OVER (PARTITION BY id), 0) * 0.48), 2) AS confidence FROM z""",
+        w AS (SELECT id, field, value, cast(sum(cast(score AS decimal(18,9))) AS double) AS weight FROM v WHERE trim(value) <> '' GROUP BY 1, 2, 3),
+        z AS (SELECT *, cast(sum(cast(weight AS decimal(18,9))) OVER (PARTITION BY id, field) AS double) AS total FROM w QUALIFY row_number() OVER (PARTITION BY id, field ORDER BY weight DESC, value DESC) = 1)
+        SELECT id, field, value, weight, round(least(0.98, 0.5 + coalesce(max(CASE WHEN field = 'gl_account' THEN weight / total END) OVER (PARTITION BY id), 0) * 0.48), 2) AS confidence FROM z""",
     ),
 }

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, spend
+from . import control, lines, spend
 from .views import Data, oracle
 
-PLANS = {**spend.QUERIES, **lines.QUERIES}
+PLANS = {**spend.QUERIES, **lines.QUERIES, **control.QUERIES}
 
 
 def _query(build: Callable[[Data], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
