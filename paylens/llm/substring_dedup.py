@@ -19,26 +19,29 @@ def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word_hashes(data, starts, ends), starts, ends
 
 
-def anchors(windows: np.ndarray, span: int) -> np.ndarray:
-    """Positions of the least hash (the last of equals) in any run of span windows.
+def least_places(windows: np.ndarray, span: int) -> np.ndarray:
+    """For each run of span windows, the position of its least hash, the last of equals.
 
-    Whatever stands around it, a run of span windows has the same least hashes wherever it occurs, so two
-    texts with a passage of span windows in common have one of its anchors in common.
+    It depends on the run alone: texts with a passage of span windows in common have its least one in common.
     """
     n = len(windows)
     if n < span:
         return np.zeros(0, np.int64)
     # The least of each run, from those of runs of 1, 2, 4 ... windows; positions settle ties to the right.
+    place = np.lexsort((-np.arange(n), windows))
     order = np.empty(n, np.int64)
-    order[np.lexsort((-np.arange(n), windows))] = np.arange(n)
+    order[place] = np.arange(n)
     least, width = order, 1
     while 2 * width <= span:
         least, width = np.minimum(least[:-width], least[width:]), 2 * width
     if width < span:
         least = np.minimum(least[: n - span + 1], least[span - width : span - width + n - span + 1])
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    return np.unique(place[least])
+    return place[least]
+
+
+def anchors(windows: np.ndarray, span: int) -> np.ndarray:
+    """The positions that are least in any run of span windows."""
+    return np.unique(least_places(windows, span))
 
 
 def _rows(docs: DataFrame, length: int, span: int) -> DataFrame:
@@ -91,9 +94,9 @@ def repeated_windows(docs: DataFrame, words: int = 50) -> DataFrame:
     half = (words + 1) // 2
     span = words - half + 1
     known = docs.filter("doc_id is not null").select("doc_id", "text")
-    base = materialize(_rows(known, half, span), "anchors")
+    base = _rows(known, half, span)
     survivors = base.join(_shared(base), "window").select("doc_id", "at")
-    held = survivors.groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    held = survivors.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("ats"))
     extended = known.join(held, "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -101,8 +104,11 @@ def repeated_windows(docs: DataFrame, words: int = 50) -> DataFrame:
         for batch in batches:
             found, counts = [], []
             for text, ats in zip(utf8_values(batch.column(1)), batch.column(2), strict=True):
-                windows = window_hashes(hashed(text or b"")[0], words)
-                at = covering(np.asarray(ats.values, np.int64), span, len(windows))
+                hashes = hashed(text or b"")[0]
+                windows = window_hashes(hashes, words)
+                alive = np.zeros(len(hashes), bool)
+                alive[np.asarray(ats.values, np.int64)] = True
+                at = np.flatnonzero(alive[least_places(window_hashes(hashes, half), span)])
                 found.append((windows[at].view(np.int64), at.astype(np.int32)))
                 counts.append(len(at))
             yield from _emit(batch.column(0), counts, found)
@@ -111,15 +117,6 @@ def repeated_windows(docs: DataFrame, words: int = 50) -> DataFrame:
     return full.join(_shared(full), "window").filter("doc_id > first_id").select("doc_id", "at")
 
 
-def covering(anchors_at: np.ndarray, span: int, windows: int) -> np.ndarray:
-    """The starts below windows of the full windows that hold one of the anchors."""
-    mark = np.zeros(windows + span + 1, np.int64)
-    low = np.maximum(anchors_at - span + 1, 0)
-    np.add.at(mark, low, 1)
-    np.add.at(mark, anchors_at + 1, -1)
-    return np.flatnonzero(np.cumsum(mark)[:windows] > 0)
-
-
 def remove_repeats(docs: DataFrame, words: int = 50, digest: bool = False) -> DataFrame:
     """docs with the words of repeated windows taken out; digest gives doc_id, n_words, n_removed and kept_sha256 instead.
 
@@ -130,7 +127,7 @@ def remove_repeats(docs: DataFrame, words: int = 50, digest: bool = False) -> Da
     doc_id don't count as earlier than each other, and each loses what any of them has to lose at that
     place; rows without doc_id stay as they are. Empty tables give empty ones; other columns pass through.
     """
-    lost = repeated_windows(docs, words).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("__at")).withColumnRenamed("doc_id", "__id")
+    lost = repeated_windows(docs, words).groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("__at")).withColumnRenamed("doc_id", "__id")
     joined = docs.join(lost, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     names = docs.columns
     where = {n: i for i, n in enumerate(names)}
