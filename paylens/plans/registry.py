@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import control, documents, lines, spend
+from . import control, documents, lines, spend, vendors
 from .views import Data, oracle
 
-PLANS = {**spend.QUERIES, **lines.QUERIES, **control.QUERIES, **documents.QUERIES}
+PLANS = {**spend.QUERIES, **lines.QUERIES, **control.QUERIES, **documents.QUERIES, **vendors.QUERIES}
 
 
 def _query(build: Callable[[Data], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
