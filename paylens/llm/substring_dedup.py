@@ -88,14 +88,14 @@ def repeated_windows(docs: DataFrame, words: int = 50) -> DataFrame:
     in two documents is it extended, to all full windows around it; those are compared in turn. What occurs
     in one document alone ends at the base level, so most of a corpus is never looked at in full length.
     Equality is that of 64-bit hashes. Rows without doc_id neither lose words nor cost others theirs. A window
-    in a third of all documents is one row a task before the shuffle; the joins back leave the splitting of
-    its rows to Spark's handling of skewed joins.
+    in a third of all documents is one row a task before the shuffle; the shared windows are written, so that
+    the joins back have a plain shuffle on both sides and Spark can split the rows of a window among tasks.
     """
     half = (words + 1) // 2
     span = words - half + 1
     known = docs.filter("doc_id is not null").select("doc_id", "text")
     base = _rows(known, half, span)
-    survivors = base.join(_shared(base), "window").select("doc_id", "at")
+    survivors = base.join(materialize(_shared(base), "shared"), "window").select("doc_id", "at")
     held = survivors.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("ats"))
     extended = known.join(held, "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -114,7 +114,7 @@ def repeated_windows(docs: DataFrame, words: int = 50) -> DataFrame:
             yield from _emit(batch.column(0), counts, found)
 
     full = materialize(extended.mapInArrow(extend, f"doc_id {kind}, window long, at int"), "windows")
-    return full.join(_shared(full), "window").filter("doc_id > first_id").select("doc_id", "at")
+    return full.join(materialize(_shared(full), "shared"), "window").filter("doc_id > first_id").select("doc_id", "at")
 
 
 def remove_repeats(docs: DataFrame, words: int = 50, digest: bool = False) -> DataFrame:
