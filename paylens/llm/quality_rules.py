@@ -90,12 +90,29 @@ def divergence(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def quality_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, min_histogram_words: int = 50, max_character_distance: float = 0.35, max_word_distance: float = 0.5, languages: tuple[str, ...] = tuple(COMMON_WORDS)) -> DataFrame:
+def _references(rows: DataFrame) -> DataFrame:
+    """One row with an array of the mean shares by language."""
+    means = rows.groupBy("lang").agg(
+        F.array(*[F.avg(F.col("classes")[i]) for i in range(len(CHARACTER_CLASSES))]).alias("c"),
+        F.array(*[F.avg(F.col("words")[i]) for i in range(len(WORD_LIST) + 1)]).alias("w"),
+    )
+    return means.agg(F.array_sort(F.collect_list(F.struct("lang", "c", "w"))).alias("refs"))
+
+
+def _nearest(rows: DataFrame, references: DataFrame) -> DataFrame:
+    """rows with best: the language with the nearest words, and the distances to it."""
+    distances = F.transform("refs", lambda r: F.struct(divergence(F.col("words"), r.w).alias("word_distance"), divergence(F.col("classes"), r.c).alias("character_distance"), r.lang.alias("nearest")))
+    return rows.join(F.broadcast(references)).withColumn("best", F.when(F.col("n_words") > 0, F.array_min(distances))).drop("refs")
+
+
+def quality_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, min_histogram_words: int = 50, max_character_distance: float = 0.35, max_word_distance: float = 0.5, max_both: tuple[float, float] = (0.185, 0.21), languages: tuple[str, ...] = tuple(COMMON_WORDS)) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distances and kept.
 
     The references are the mean shares, per language, of character classes and common words over all
-    documents that pass the base rules; a document is compared with the language whose words are nearest.
-    It is kept if it passes the base rules and both distances are within bounds, or if it has too few words
+    documents that pass the base rules and aren't far from the means of all those; a document is compared with
+    the language whose words are nearest.
+    It is kept if it passes the base rules and each distance is within its bound and not both are over those of
+    max_both, or if it has too few words
     for a histogram to say anything (min_histogram_words) or there are no references. Null text counts as
     none: 0 words, base_failed. Null ids and repeated rows keep rows of their own, an empty table gives an
     empty one; columns beyond doc_id, text and lang are not read, and a null lang only keeps a document out
@@ -108,12 +125,9 @@ def quality_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     rows = counts.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), classes.alias("classes"), words.alias("words"))
     known = rows.filter(F.col("lang").isin(list(languages)) & ~F.col("base_failed") & (F.col("n_words") >= min_histogram_words))
-    means = known.groupBy("lang").agg(
-        F.array(*[F.avg(F.col("classes")[i]) for i in range(len(CHARACTER_CLASSES))]).alias("c"),
-        F.array(*[F.avg(F.col("words")[i]) for i in range(len(WORD_LIST) + 1)]).alias("w"),
-    )
-    references = means.agg(F.array_sort(F.collect_list(F.struct("lang", "c", "w"))).alias("refs"))
-    distances = F.transform("refs", lambda r: F.struct(divergence(F.col("words"), r.w).alias("word_distance"), divergence(F.col("classes"), r.c).alias("character_distance"), r.lang.alias("nearest")))
-    judged = rows.join(F.broadcast(references)).withColumn("best", F.when(F.col("n_words") > 0, F.array_min(distances)))
-    fits = (F.col("n_words") < min_histogram_words) | F.col("best").isNull() | ((F.col("best.character_distance") <= max_character_distance) & (F.col("best.word_distance") <= max_word_distance))
+    # Junk that the base rules let pass would blur the means: those far from the first means don't count for the second.
+    first = _nearest(known, _references(known))
+    judged = _nearest(rows, _references(first.filter((F.col("best.character_distance") <= max_character_distance) & (F.col("best.word_distance") <= max_word_distance))))
+    far_in_both = (F.col("best.character_distance") > max_both[0]) & (F.col("best.word_distance") > max_both[1])
+    fits = (F.col("n_words") < min_histogram_words) | F.col("best").isNull() | ((F.col("best.character_distance") <= max_character_distance) & (F.col("best.word_distance") <= max_word_distance) & ~far_in_both)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fits).alias("kept"), F.col("best.nearest").alias("nearest_language"), F.col("best.character_distance"), F.col("best.word_distance"))
