@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialize, mix64, utf8_values, window_hashes, word_bounds, word_hashes
 from .components import connected_components
 
-GROUPS = 64
+GROUPS = 256
+# Counts are kept in 16 bits; what reaches the top is taken for unbounded.
+TOP = 65535
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -46,7 +48,7 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    return np.minimum(np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), TOP).astype(np.uint16)
 
 
 def prefix(shingles: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
@@ -60,51 +62,47 @@ def prefix(shingles: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray
     return order[:size]
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, set_key, n_shingles and count vector of every text."""
+def survey(docs: DataFrame, k: int, share: float) -> DataFrame:
+    """One pass over the texts with two kinds of rows: doc_id, set_key, n and vector of every text; and, where common
+    is true, shingles (as set_key) with counts (as n) that runs of documents have often.
+
+    A shingle that a share of all documents has is as frequent in some run of them, so a task passes on only
+    those that are in one of its runs; the sums decide.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def frequent(ids: pa.DataType) -> pa.RecordBatch:
+            u, c = np.unique(np.concatenate(held), return_counts=True)
+            many = c >= max(8, share * len(held))
+            return pa.RecordBatch.from_arrays([pa.nulls(int(many.sum()), ids), pa.array(u[many].view(np.int64)), pa.array(c[many]), pa.array(np.ones(int(many.sum()), bool)), pa.nulls(int(many.sum()), pa.binary())], ["doc_id", "set_key", "n", "common", "vector"])
+
+        ids = None
         for batch in batches:
-            keys, sizes, vectors = [], [], []
+            ids, keys, sizes, vectors = batch.column(0).type, [], [], []
             for text in utf8_values(batch.column(1)):
                 s = shingle_set(text, k)
                 keys.append(set_key(s))
                 sizes.append(len(s))
                 vectors.append(count_vector(s).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(vectors, pa.binary())], ["doc_id", "set_key", "n_shingles", "vector"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, set_key long, n_shingles long, vector binary")
-
-
-def common_shingles(docs: DataFrame, k: int, documents: int, share: float) -> np.ndarray:
-    """Sorted hashes of shingles that at least a share of the documents has (and some that parts of them have).
-
-    A shingle that frequent is as frequent in some run of documents, so each task passes on only those that
-    are in one of its runs; the sums decide. A task sends at most its shingles over the threshold, and what
-    comes back is at most the mean number of shingles a document over the share: it is broadcast.
-    """
-
-    def frequent(keys: list[np.ndarray]) -> pa.RecordBatch:
-        u, c = np.unique(np.concatenate(keys), return_counts=True)
-        many = c >= max(8, share * len(keys))
-        return pa.RecordBatch.from_arrays([pa.array(u[many].view(np.int64)), pa.array(c[many])], ["shingle", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for text in utf8_values(batch.column(0)):
-                s = shingle_set(text, k)
                 held.append(s)
                 size += len(s)
                 if size >= 3_000_000:
-                    yield frequent(held)
+                    yield frequent(ids)
                     held, size = [], 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.zeros(len(keys), bool)), pa.array(vectors, pa.binary())], ["doc_id", "set_key", "n", "common", "vector"])
         if held:
-            yield frequent(held)
+            yield frequent(ids)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, set_key long, n long, common boolean, vector binary")
+
 
-    counts = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    found = counts.filter(F.col("n") >= max(32, int(share * documents))).select("shingle").toArrow()
+def common_shingles(surveyed: DataFrame, documents: int, share: float) -> np.ndarray:
+    """Sorted hashes of the shingles that reach the share; at most the mean number of shingles a document over the share, and broadcast."""
+    counts = surveyed.filter("common").groupBy("set_key").agg(F.sum("n").alias("n"))
+    found = counts.filter(F.col("n") >= max(32, int(share * documents))).select("set_key").toArrow()
     return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
@@ -203,9 +201,8 @@ class RTree:
         nodes = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             corner, low, high = self.levels[depth]
-            fits = (100 * high[nodes] >= percent * size) & (percent * low[nodes] <= 100 * size)
-            nodes = nodes[fits]
-            bound = np.minimum(corner[nodes], vector).sum(axis=1)
+            nodes = nodes[(100 * high[nodes] >= percent * size) & (percent * low[nodes] <= 100 * size)]
+            bound = overlap_bound(corner[nodes], vector)
             # overlap >= percent / 100 of the union, which is size + other - overlap; others are at least low.
             needed = percent * (size + np.maximum(low[nodes], -(-percent * size // 100)))
             passed = (100 + percent) * bound >= needed
@@ -217,38 +214,47 @@ class RTree:
         return self.order[nodes[exact]], bound[exact]
 
 
+def overlap_bound(corners: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """The summed minima of coordinates; unbounded where both sides have one at the top."""
+    least = np.minimum(corners, vector)
+    return least.sum(axis=1, dtype=np.int64) + (np.int64(2**40) * (least == TOP).any(axis=1) if vector.max(initial=0) == TOP else 0)
+
+
 def candidates(points: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """a and b (a < b): pairs of sets that the trees let pass, from points(block, set_key, n, vector, label).
+    """block, a, b and rate: pairs of sets that the trees let pass, from points(block, set_key, n, vector, label).
 
-    best_only gives each point its best candidate and the tree's first point, if that passes; otherwise all
-    pairs of different labels. Blocks are read in order, one at a time.
+    best_only gives the best candidate of each point in each block; otherwise all pairs of different labels
+    pass, once. Blocks are read in order, one at a time.
     """
 
-    def pairs(keys: np.ndarray, sizes: np.ndarray, vectors: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(block: np.ndarray, keys: np.ndarray, sizes: np.ndarray, vectors: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         tree = RTree(vectors, sizes)
         for i in range(len(keys)):
             found, bound = tree.search(vectors[i], int(sizes[i]), percent)
-            other = (found > i if not best_only else found != i) & (labels[found] != labels[i])
+            other = labels[found] != labels[i]
+            if not best_only:
+                other &= found > i
             found, bound = found[other], bound[other]
-            if best_only and len(found):
-                union = sizes[i] + sizes[found] - bound
-                found = np.unique(np.array([found[np.argmax(bound / np.maximum(union, 1))], found.min()]))
-            if len(found):
-                yield np.full(len(found), keys[i]), keys[found]
+            if not len(found):
+                continue
+            rate = bound / (sizes[i] + sizes[found])
+            if best_only:
+                best = int(np.argmax(rate))
+                found, rate = found[best : best + 1], rate[best : best + 1]
+            n = len(found)
+            yield block[:n], np.full(n, keys[i]), keys[found], rate
 
-    def emit(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    def emit(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["block", "a", "b", "rate"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         held = 0
 
         def add(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             nonlocal out, held
-            _, keys, sizes, vectors, labels = part
-            for pair in pairs(keys, sizes, vectors, labels):
+            for pair in pairs(*part):
                 out.append(pair)
                 held += len(pair[0])
                 if held >= 200_000:
@@ -258,7 +264,7 @@ def candidates(points: DataFrame, percent: int, best_only: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int32).reshape(-1, GROUPS)
+            vectors = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, GROUPS)
             new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), vectors, batch.column(4).to_numpy()]
             whole = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
             starts = np.flatnonzero(np.concatenate([[True], whole[0][1:] != whole[0][:-1]]))
@@ -271,26 +277,38 @@ def candidates(points: DataFrame, percent: int, best_only: bool) -> DataFrame:
             yield emit(out)
 
     ordered = points.select("block", "set_key", "n", "vector", "label").repartition("block").sortWithinPartitions("block", "set_key")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "block long, a long, b long, rate double")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets, from sets(set_key, shingles), have the similarity."""
-    left = sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("y"))
+def verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, k: int, percent: int, broadcast_rows: int = 500_000) -> DataFrame:
+    """The pairs(a, b) whose sets have the similarity, from the whole text of one document of each set.
+
+    Texts are shuffled rather than shingles: they are smaller. Only texts that a pair needs leave their task;
+    their ids are broadcast where they are few, by count, and joined by a shuffle beyond.
+    """
+    wanted = materialize(pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct().join(points, "set_key").select("set_key", "rep"), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
+    texts = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("rep")).select("set_key", "text")
+    left = texts.select(F.col("set_key").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("set_key").alias("b"), F.col("text").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8_values(batch.column(2)), utf8_values(batch.column(3)), strict=True):
+                x, y = shingle_set(x, k), shingle_set(y, k)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                # Rows that repeat a doc_id may have other texts than the one meant.
+                keep.append(100 * both >= percent * (len(x) + len(y) - both) and set_key(x) == a and set_key(y) == b)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def ordered_pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, common_share: float = 0.001) -> DataFrame:
     """doc_id, n_shingles, component_id and n_copies (rows with the same set), per row of docs(doc_id, text).
 
@@ -301,38 +319,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, common_share
     empty ones; other columns aren't read. Shingles are compared by 64-bit hashes.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = materialize(shingle_sets(docs, k), "sets")
+    surveyed = materialize(survey(docs, k, common_share), "sets")
+    sets = surveyed.filter("not common").select("doc_id", "set_key", F.col("n").alias("n_shingles"))
     named = sets.filter("doc_id is not null and n_shingles > 0")
-    points = materialize(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("vector").alias("vector"), F.count("*").alias("n_copies")), "points")
-    common = common_shingles(docs, k, sets.count(), common_share)
+    points = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
+    common = common_shingles(surveyed, sets.count(), common_share)
     met = materialize(blocks(prefix_rows(docs, k, percent, common)), "blocks")
 
-    # Shingles of the sets in blocks alone, from the text of one document each.
-    wanted = met.select("set_key").distinct().join(points, "set_key").select("rep", F.col("set_key").alias("wanted"))
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, data = [], []
-            for text, key in zip(utf8_values(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                s = shingle_set(text, k)
-                if set_key(s) == key:
-                    keys.append(key)
-                    data.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], ["set_key", "shingles"])
-
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("rep")).select("text", "wanted")
-    shingles = materialize(texts.mapInArrow(extract, "set_key long, shingles binary").dropDuplicates(["set_key"]), "shingles")
+    every = surveyed.filter("not common and doc_id is not null and n > 0").select("set_key", "n", "vector")
+    vectors = materialize(every.join(met.select("set_key").distinct(), "set_key", "left_semi").dropDuplicates(["set_key"]), "vectors")
 
-    vectors = points.select("set_key", "n", "vector")
-    first = candidates(met.join(vectors, "set_key").withColumn("label", F.col("set_key")), percent, best_only=True)
-    links = materialize(verified(first, shingles, percent), "links")
+    nearest = materialize(candidates(met.join(vectors, "set_key").withColumn("label", F.col("set_key")), percent, best_only=True), "nearest")
+    first = materialize(ordered_pairs(nearest.groupBy("a").agg(F.max_by("b", F.struct("rate", "b")).alias("b"))), "pairs")
+    links = materialize(verified(first, docs, points, k, percent), "links")
     joined = connected_components(links)
 
+    # Only points with a candidate can have more of them, and only where components are left apart.
     label = F.coalesce("label", F.col("set_key"))
-    labelled = met.join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").select("block", "set_key", label.alias("label"))
+    live = nearest.select("block", F.col("a").alias("set_key"))
+    labelled = live.join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").select("block", "set_key", label.alias("label"))
     mixed = labelled.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("block")
     rest = candidates(labelled.join(mixed, "block").join(vectors, "set_key"), percent, best_only=False)
-    more = materialize(verified(rest, shingles, percent), "links")
+    rest = materialize(ordered_pairs(rest).join(first, ["a", "b"], "left_anti"), "pairs")
+    more = materialize(verified(rest, docs, points, k, percent), "links")
     joined = materialize(connected_components(links.unionByName(more)), "components")
 
     member = points.select("set_key", "rep", "n_copies").join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", label)

@@ -11,9 +11,9 @@ from .common import table
 from .decontaminate import find_leaks
 from .html_text import extract_text
 from .jaccard_join import near_duplicates
-from .license_scan import license_scan
+from .license_scan import PHRASES, TEMPLATES, license_scan
 from .quality_model import quality_scores
-from .quality_rules import quality_rules
+from .quality_rules import COMMON_WORDS, WORD_LIST, quality_rules
 from .substring_dedup import remove_repeats
 from .toxicity import toxicity_scores
 from .warc import warc_round_trip
@@ -31,7 +31,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("n_copies")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents"))
+    return license_scan(table(spark, sf_dir, "documents")).drop("n_spans")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).drop("nearest_language", "character_distance", "word_distance")
 
 
 QUERIES = {
@@ -75,6 +75,69 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
+SPLIT = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+# Words of license scans: A-Z as lower case, parts between the separators.
+LICENSE_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+LICENSE_SQL = f"""
+    WITH d AS (SELECT doc_id, {LICENSE_WORDS} AS w FROM documents),
+    t AS (SELECT id, label, {LICENSE_WORDS} AS w FROM (VALUES {", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES))}) v(id, label, text)),
+    x AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS a, unnest(list_concat(w[2:], [''])) AS b, unnest(list_concat(w[3:], ['', ''])) AS c FROM d),
+    p AS (SELECT doc_id, i, CASE {" ".join(f"WHEN {' AND '.join(f'{v} = {chr(39)}{word}{chr(39)}' for v, word in zip('abc', phrase.split(), strict=False))} THEN '{label}'" for phrase, label in PHRASES.items())} END AS label FROM x),
+    base AS (SELECT doc_id, count(label) AS n_base, min(i) FILTER (WHERE label IS NOT NULL) AS first_word, max(i) FILTER (WHERE label IS NOT NULL) AS last_word, list(DISTINCT label) FILTER (WHERE label IS NOT NULL) AS found FROM p GROUP BY 1),
+    g AS (SELECT doc_id, i, a || ' ' || b || ' ' || c AS g FROM x WHERE c <> ''),
+    tg AS (SELECT id, label, len(w) - 2 AS grams, unnest(range(len(w) - 2)) AS j, unnest(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' '))) AS g FROM t),
+    h AS (SELECT DISTINCT doc_id, id, label, grams, i - j AS diagonal, j FROM g JOIN tg USING (g)),
+    v AS (SELECT doc_id, id, label, grams, diagonal, list(j) AS js FROM h GROUP BY ALL),
+    m AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= 3 THEN 0 ELSE 1 END AS fresh FROM v WINDOW w AS (PARTITION BY doc_id, id ORDER BY diagonal)),
+    n AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, id ORDER BY diagonal) AS band FROM m),
+    s AS (SELECT doc_id, label, len(list_distinct(flatten(list(js)))) / grams AS coverage FROM n GROUP BY doc_id, id, label, grams, band),
+    o AS (SELECT doc_id, list(DISTINCT label) AS labels, max(coverage) AS coverage FROM s WHERE coverage >= 0.6 GROUP BY 1)
+    SELECT doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(found), ','), '') AS base_labels,
+    coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(found, []), coalesce(labels, [])))), ','), '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(coverage, 0.0) END AS score
+    FROM d LEFT JOIN base USING (doc_id) LEFT JOIN o USING (doc_id)"""
+
+
+def rest_of(counts: list[str], total: str) -> str:
+    """Shares of a total with what is left of it as the last one."""
+    left = f"greatest({total} - ({' + '.join(counts)}), 0)"
+    return "[" + ", ".join(f"{c} / nullif({' + '.join(counts)} + {left}, 0)" for c in [*counts, left]) + "]"
+
+
+def distance(p: str, q: str) -> str:
+    part = "CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+    terms = part.format(a="z[1]", b="z[2]") + " + " + part.format(a="z[2]", b="z[1]")
+    return f"sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda z: {terms})) / 2, 0))"
+
+
+def references(rows: str) -> str:
+    """Mean shares by language."""
+    mean = lambda c, n: "[" + ", ".join(f"avg({c}[{i}])" for i in range(1, n + 1)) + "]"
+    return f"SELECT lang, {mean('c', 6)} AS rc, {mean('s', len(WORD_LIST) + 1)} AS rs FROM {rows} WHERE lang IN ({', '.join(repr(x) for x in COMMON_WORDS)}) AND NOT base_failed AND n_words >= 50 GROUP BY 1"
+
+
+def nearest(rows: str, refs: str) -> str:
+    """Rows with the distances to the language of the nearest words."""
+    return f"SELECT x.*, min({{'wd': {distance('s', 'rs')}, 'cd': {distance('c', 'rc')}}}) AS best FROM {rows} x, {refs} r GROUP BY ALL"
+
+
+QUALITY_SQL = rf"""
+    WITH d AS (SELECT doc_id, lang, text, {SPLIT.format(text="coalesce(text, '')")} AS w FROM documents),
+    l AS (SELECT doc_id, unnest(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]'))) AS line FROM d),
+    dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY 1),
+    p AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM d WHERE len(w) >= 8),
+    pr AS (SELECT doc_id, i FROM p QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+    rw AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS j FROM pr) GROUP BY 1),
+    b AS (SELECT doc_id, lang, cast(len(w) AS bigint) AS n_words, array_to_string(w, '') AS j, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+      {", ".join(f"len(list_filter(w, lambda x: x = '{w}' OR x = '{w.capitalize()}')) AS w{i}" for i, w in enumerate(WORD_LIST))} FROM d LEFT JOIN dl USING (doc_id) LEFT JOIN rw USING (doc_id)),
+    e AS (SELECT *, cast(length(j) AS bigint) AS word_chars, cast(length(j) - length(regexp_replace(j, '[#*$%&|<>]', '', 'g')) AS bigint) AS n_symbols, length(j) - length(regexp_replace(j, '\p{{Lu}}', '', 'g')) AS n_upper, length(j) - length(regexp_replace(j, '[0-9]', '', 'g')) AS n_digit,
+      length(j) - length(regexp_replace(j, '[!"''()+,\-./:;=?@\[\]\^_`{{}}~]', '', 'g')) AS n_punct, octet_length(encode(j)) - length(j) AS n_wide, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
+    a AS (SELECT doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {rest_of(["n_symbols", "n_upper", "n_digit", "n_punct", "n_wide"], "(word_chars + n_wide)")} AS c, {rest_of([f"w{i}" for i in range(len(WORD_LIST))], "n_words")} AS s FROM e),
+    r1 AS ({references("a")}), k AS (SELECT * FROM a WHERE lang IN ({", ".join(repr(x) for x in COMMON_WORDS)}) AND NOT base_failed AND n_words >= 50), n1 AS ({nearest("k", "r1")}),
+    r2 AS ({references("(SELECT * FROM n1 WHERE best.cd <= 0.35 AND best.wd <= 0.5)")}), n2 AS ({nearest("a", "r2")})
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND (n_words < 50 OR (best.cd <= 0.35 AND best.wd <= 0.5 AND NOT (best.cd > 0.185 AND best.wd > 0.21))) AS kept FROM n2"""
+
 SQL: dict[str, str] = {
     "op2_warc": """
         WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
@@ -83,4 +146,33 @@ SQL: dict[str, str] = {
           CASE WHEN top IS NULL OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
           CASE WHEN page_id <> top THEN top END AS refers_to
         FROM p LEFT JOIN r USING (payload_digest)""",
+    "op3_jaccard_join": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, {SPLIT.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = documents.doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id)""",
+    "op7_decontaminate": rf"""
+        WITH d AS (SELECT doc_id, {SPLIT.format(text="lower(coalesce(text, ''))")} AS w FROM documents), t AS (SELECT item_id, {SPLIT.format(text="lower(coalesce(text, ''))")} AS w FROM benchmark),
+        dg AS (SELECT doc_id, unnest(range(len(w) - 4)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d WHERE len(w) >= 5),
+        tg AS (SELECT item_id, len(w) - 4 AS size, unnest(range(len(w) - 4)) AS j, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM t WHERE len(w) >= 5),
+        h AS (SELECT DISTINCT doc_id, item_id, size, i - j AS start FROM dg JOIN tg USING (g)),
+        c AS (SELECT h.doc_id, h.item_id, h.size, greatest(start, 0) AS first, start, dg.g, count(*) AS n FROM h JOIN dg ON dg.doc_id = h.doc_id AND dg.i >= start AND dg.i < start + size GROUP BY ALL),
+        k AS (SELECT item_id, g, count(*) AS m FROM tg GROUP BY 1, 2),
+        v AS (SELECT c.doc_id, c.item_id, first, size, sum(n) AS n_window, sum(least(n, coalesce(m, 0))) AS common FROM c LEFT JOIN k ON k.item_id = c.item_id AND k.g = c.g GROUP BY c.doc_id, c.item_id, first, start, size),
+        q AS (SELECT *, cast(common AS double) / cast(n_window + size - common AS double) AS similarity FROM v)
+        SELECT doc_id, item_id, similarity, cast(first AS bigint) AS first_word, cast(first + n_window + 3 AS bigint) AS last_word FROM q WHERE similarity >= 0.8
+        QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, first, n_window DESC) = 1""",
+    "op8_substring_dedup": rf"""
+        WITH d AS (SELECT doc_id, {SPLIT.format(text="coalesce(text, '')")} AS w FROM documents),
+        p AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h FROM d WHERE len(w) >= 50),
+        f AS (SELECT h, min(doc_id) AS first FROM p GROUP BY 1),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM p JOIN f USING (h) WHERE doc_id > first),
+        x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d),
+        k AS (SELECT x.doc_id, count(c.j) AS n_removed, coalesce(string_agg(CASE WHEN c.j IS NULL THEN word END, ' ' ORDER BY x.j), '') AS kept FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.j = x.j GROUP BY 1)
+        SELECT doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op6_license_scan": LICENSE_SQL,
+    "op10_quality_rules": QUALITY_SQL,
 }
