@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import anomalies, checks, duplicates, governance, lookups, matching
-from .lines import COVER, CROSS, KEYED, PEERS, keyed, lines_of
+from .lines import COVER, CROSS, ISSUES, KEYED, MATCH, PEERS, QUERIES as LINE_QUERIES, keyed, lines_of
 from .views import AS_OF
 
 OPEN = "status IN ('vendor_profile', 'processing', 'failed', 'draft', 'review', 'scheduled')"
@@ -32,6 +32,8 @@ f_round AS (SELECT id, 'round_amount' AS kind, 'warn' AS severity FROM kn4 WHERE
 f_benign AS (SELECT id, 'benign_duplicate' AS kind, 'info' AS severity FROM kn4 JOIN peers USING (id) WHERE median_total > 0 AND rep >= 3 AND abs(total - median_total) / greatest(total, median_total) <= 0.01
   AND (coalesce(mi, 0) <= 0 OR abs(date_diff('day', peer_issue_date, issue_date) - mi) <= greatest(3, mi * 0.34))),
 found AS (SELECT f.* FROM (SELECT * FROM f_amount UNION ALL SELECT * FROM f_gap UNION ALL SELECT * FROM f_time UNION ALL SELECT * FROM f_round UNION ALL SELECT * FROM f_benign) f JOIN v_invoices i USING (id) WHERE i.{OPEN})"""
+COVER_ALONE = COVER.replace("c AS (", "cov_c AS (", 1).replace("LEFT JOIN c USING", "LEFT JOIN cov_c c USING").replace("r AS (SELECT i.id", "cov_r AS (SELECT i.id", 1).replace("LEFT JOIN r USING", "LEFT JOIN cov_r r USING")
+APPROVE_ISSUES = ISSUES.replace("SEVERITY", "error")
 LATEST = "latest AS (SELECT invoice_id AS id, arg_max(status, event_at) AS sync FROM v_sync GROUP BY 1)"
 ATTENTION = f"""{LATEST}, att AS (SELECT i.id, CASE WHEN sync = 'failed' THEN 'sync_failed' WHEN contains(memo, 'held:') THEN 'held' WHEN i.status = 'review' AND po_id IS NULL AND coalesce(cover.status, 'unmatched') <> 'matched' THEN 'no_po' END AS kind,
   cover.status AS cs, memo FROM v_invoices i LEFT JOIN latest USING (id) LEFT JOIN cover USING (id))"""
@@ -95,7 +97,7 @@ QUERIES = {
     ),
     "exception_queue": (
         lambda d: governance.exception_queue(attention(d), anomalies.anomaly_findings(keyed(d), peers(d)), d.v_invoices),
-        f"""WITH {COVER.replace('c AS (', 'cov_c AS (', 1).replace('LEFT JOIN c USING', 'LEFT JOIN cov_c c USING').replace('r AS (SELECT i.id', 'cov_r AS (SELECT i.id', 1).replace('LEFT JOIN r USING', 'LEFT JOIN cov_r r USING')}, {ATTENTION}, {STATS},
+        f"""WITH {COVER_ALONE}, {ATTENTION}, {STATS},
         q AS (SELECT id, kind, 'high' AS severity FROM att WHERE kind IS NOT NULL UNION ALL SELECT * FROM found)
         SELECT q.*, cast(list_position(['sync_failed', 'held', 'no_po', 'amount_outlier', 'timing_change', 'number_gap', 'round_amount', 'benign_duplicate'], kind) - 1 AS int) AS kind_rank, cast(list_position(['high', 'warn', 'info'], severity) - 1 AS int) AS severity_rank
         FROM q JOIN v_invoices i USING (id) WHERE i.status NOT IN ('paid', 'rejected', 'archived')""",
@@ -138,10 +140,13 @@ QUERIES = {
     "lifecycle_replay": (lambda d: governance.lifecycle_replay(d.v_requests), None),
     "approval_gate": (
         lambda d: governance.approval_gate(d.v_invoices.filter("status in ('draft', 'review')").select("id", "po_id"), checks.validation_issues(d.v_invoices, d.v_lines, "approve"), matching.po_match_summary(matching.po_match(lines_of(d), d.v_po_lines, d.v_receipts), True), coverage(d)),
-        None,
+        f"""WITH {MATCH[5:]}, {COVER_ALONE}, bad AS (SELECT DISTINCT id FROM ({APPROVE_ISSUES}) WHERE severity = 'error'), orderless AS (SELECT invoice_id AS id FROM m3 GROUP BY 1 HAVING bool_and(status = 'no_po')), short AS (SELECT DISTINCT invoice_id AS id FROM m3 WHERE status <> 'matched')
+        SELECT i.id, CASE WHEN i.id IN (SELECT id FROM bad) THEN 'validation' WHEN po_id IS NOT NULL AND i.id IN (SELECT id FROM short) AND i.id NOT IN (SELECT id FROM orderless) THEN 'order_match' WHEN c.status = 'exception' THEN 'coverage' ELSE 'pass' END AS verdict
+        FROM v_invoices i LEFT JOIN cover c USING (id) WHERE i.status IN ('draft', 'review')""",
     ),
     "approval_verdict": (
         lambda d: governance.approval_verdict(d.v_invoices, checks.validation_issues(d.v_invoices, d.v_lines, "approve"), checks.tax_findings(d.v_invoices, "NL123456789B01")),
-        None,
+        f"""WITH f AS (SELECT id, severity FROM ({APPROVE_ISSUES}) UNION ALL SELECT id, severity FROM ({LINE_QUERIES["tax_findings"][1]}))
+        SELECT i.id, count(*) FILTER (WHERE f.severity = 'error') AS n_blocking, count(*) FILTER (WHERE f.severity = 'attention') AS n_attention, count(*) FILTER (WHERE f.severity = 'error') = 0 AS approvable FROM v_invoices i LEFT JOIN f USING (id) GROUP BY 1""",
     ),
 }

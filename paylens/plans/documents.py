@@ -36,10 +36,12 @@ FROM v_truth t FULL JOIN v_predicted p ON t.doc_id = p.doc_id AND t.source = p.s
 c AS (SELECT coalesce(source, 'all') AS source, coalesce(field, 'all') AS field, count(*) FILTER (WHERE outcome = 'correct') AS n_correct, count(*) FILTER (WHERE outcome = 'wrong') AS n_wrong, count(*) FILTER (WHERE outcome = 'missing') AS n_missing, count(*) FILTER (WHERE outcome = 'unexpected') AS n_unexpected
 FROM o WHERE outcome IS NOT NULL GROUP BY GROUPING SETS ((), (source), (field))),
 m AS (SELECT *, n_correct / (n_correct + n_wrong + n_unexpected) AS p, n_correct / (n_correct + n_wrong + n_missing) AS r FROM c)"""
-CUES = ", ".join(f"{{'n': len(regexp_extract_all(text, '{cue}')) + CASE WHEN cc = '{loc}' AND '{loc}' <> 'EN' THEN 3 ELSE 0 END, 'back': {-i}, 'locale': '{loc}'}}" for i, (loc, cue) in enumerate(D.LOCALE_CUES.items()) if True)
+CUES = ", ".join(f"{{'n': len(regexp_extract_all(text, '{cue}')) + CASE WHEN cc = '{loc}' AND '{loc}' <> 'EN' THEN 3 ELSE 0 END, 'back': {-i}, 'locale': '{loc}'}}" for i, (loc, cue) in enumerate(D.LOCALE_CUES.items()))
+REGISTRATIONS = [r"(?i)\bkvk(?:[ -]?(?:nr|nummer|number))?\.?\s*[:#-]?\s*(\d{8})\b", r"(?i)\bhandelsregister\s*[:#-]?\s*(?:HR[AB]\s*)?(\d{4,8})\b", r"(?i)\b(?:siren|siret)\s*[:#-]?\s*(\d{9,14})\b", r"(?i)\bcompany\s*(?:no|number)\.?\s*[:#-]?\s*(\d{6,8})\b"]
+
 
 QUERIES = {
-    "doc_locale": (lambda d: d.documents.select("doc_id", D.doc_locale(F.col("text")).alias("locale")), None),
+    "doc_locale": (lambda d: d.documents.select("doc_id", D.doc_locale(F.col("text")).alias("locale")), f"WITH x AS (SELECT doc_id, text, upper(regexp_extract(text, '(?i)\\b([A-Z]{{2}})\\d{{2}}', 1)) AS cc FROM documents), b AS (SELECT doc_id, list_max([{CUES}]) AS m FROM x) SELECT doc_id, CASE WHEN m.n > 0 THEN m.locale ELSE 'NL' END AS locale FROM b"),
     "doc_currency": (of(D.doc_currency, "currency"), "SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\bEUR\\b|€') THEN 'EUR' WHEN regexp_matches(text, '(?i)\\bUSD\\b|\\$') THEN 'USD' WHEN regexp_matches(text, '(?i)\\bGBP\\b|£') THEN 'GBP' END AS currency FROM v_page_text"),
     "doc_amounts": (
         lambda d: d.v_page_text.select("doc_id", *[D.doc_amount(F.col("text"), f).alias(f) for f in ("subtotal", "tax", "total")]),
@@ -66,7 +68,7 @@ QUERIES = {
         of(D.doc_vat, "vat_number"),
         f"WITH m AS (SELECT doc_id, unnest(string_split_regex(text, '[^A-Za-z0-9]+')) AS w FROM v_page_text) SELECT doc_id, arg_max(w, length(w)) FILTER (WHERE regexp_matches(w, {VAT})) AS vat_number FROM m GROUP BY 1",
     ),
-    "doc_registration": (lambda d: d.documents.select("doc_id", D.doc_registration(F.col("text")).alias("registration")), None),
+    "doc_registration": (lambda d: d.documents.select("doc_id", D.doc_registration(F.col("text")).alias("registration")), "SELECT doc_id, coalesce(" + ", ".join(rx(p) for p in REGISTRATIONS) + ") AS registration FROM documents"),
     "doc_address": (lambda d: d.documents.select("doc_id", D.doc_address(F.col("text")).alias("address")), None),
     "doc_vendor": (of(D.doc_vendor, "vendor"), "SELECT doc_id, trim(split_part(text, chr(10), 1)) AS vendor FROM v_page_text"),
     "doc_line_items": (lambda d: D.doc_line_items(d.documents.withColumn("page", F.lit(1))), None),
