@@ -1,11 +1,15 @@
-"""From documents to token ids: the corpus operators in a row, each on all that the one before kept."""
+"""From documents to token ids: the corpus operators in a row, each on all that the one before kept.
+
+A stage's result is written as Parquet before the next one runs, so a stage begins by deleting the scratch
+tables of those before it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paylens.llm.bpe import bpe_round_trip
-from paylens.llm.common import materialize, table
+from paylens.llm.common import discard_scratch, materialize, table
 from paylens.llm.decontaminate import decontaminate
 from paylens.llm.jaccard_join import drop_near_duplicates
 from paylens.llm.registry import TOKENIZERS
@@ -20,21 +24,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of 5-word shingles with similarity 0.8 or more join: the smallest id."""
+    discard_scratch(spark)
     return drop_near_duplicates(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 words or more that one with a smaller id has; n_chars follows the text."""
+    discard_scratch(spark)
     return remove_repeats(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    discard_scratch(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the digest of the text they decode to."""
+    discard_scratch(spark)
     coded = bpe_round_trip(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -57,5 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialize(docs, "stage")
+            docs = materialize(docs, "stage", keep=True)
     return docs
