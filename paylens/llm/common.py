@@ -27,13 +27,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage with files that outlive any executor."""
+_made: list[str] = []
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage with files that outlive any executor.
+
+    They stay until the folder is cleared, or until discard_scratch(), unless keep is set.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if not keep:
+        _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard_scratch(spark: SparkSession) -> None:
+    """Delete what materialize() has written so far; only for callers whose results are all written themselves."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utf8_values(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding them."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -252,13 +252,14 @@ def test_divergence(spark):
     assert all(abs(r[0] - r[1]) < 1e-9 for r in df.select(quality_rules.divergence(F.col("p"), F.col("q")), "e").collect())
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
-    for _, stage in pipeline.STAGES[:-1]:
+    for i, (_, stage) in enumerate(pipeline.STAGES[:-1]):
         before = docs.count()
-        docs = stage(spark, docs, sf)
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
         assert docs.columns == columns and 0 < docs.count() <= before
     assert pipeline.run(spark, sf).count() == docs.count()
