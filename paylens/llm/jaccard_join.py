@@ -10,9 +10,9 @@ documents has last (their number is bounded by that share), the rest by hash: pa
 bring unlike texts together only where a text has little else. Points with a prefix shingle in common form
 a tree; trees with the same points are built once.
 
-Links come in two rounds. First each point meets its best candidate in a tree, which joins copies of one
-text into components; then points of different components meet all candidates the bounds let pass.
-So a group of n near copies costs about n verifications instead of n squared, and no link is lost.
+Links come in two rounds. First each point meets its best candidate and the one that most others have, which
+joins copies of one text into components; then points of different components meet all candidates the
+bounds let pass. So a group of n near copies costs about n verifications instead of n squared, and no link is lost.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from .components import connected_components
 GROUPS = 256
 # Counts are kept in 16 bits; what reaches the top is taken for unbounded.
 TOP = 65535
+# Sets of at least so many shingles have a second, finer vector of 8-bit counts, for a second look at pairs.
+FINE_FROM, FINE_GROUPS, FINE_TOP = 800, 4096, 255
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -51,6 +53,12 @@ def count_vector(shingles: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), TOP).astype(np.uint16)
 
 
+def fine_vector(shingles: np.ndarray) -> bytes | None:
+    if len(shingles) < FINE_FROM:
+        return None
+    return np.minimum(np.bincount((shingles & np.uint64(FINE_GROUPS - 1)).astype(np.int64), minlength=FINE_GROUPS), FINE_TOP).astype(np.uint8).tobytes()
+
+
 def prefix(shingles: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
     """The shingles of a set one of which it shares with any other of enough similarity."""
     n = len(shingles)
@@ -77,26 +85,27 @@ def survey(docs: DataFrame, k: int, share: float) -> DataFrame:
         def frequent(ids: pa.DataType) -> pa.RecordBatch:
             u, c = np.unique(np.concatenate(held), return_counts=True)
             many = c >= max(8, share * len(held))
-            return pa.RecordBatch.from_arrays([pa.nulls(int(many.sum()), ids), pa.array(u[many].view(np.int64)), pa.array(c[many]), pa.array(np.ones(int(many.sum()), bool)), pa.nulls(int(many.sum()), pa.binary())], ["doc_id", "set_key", "n", "common", "vector"])
+            return pa.RecordBatch.from_arrays([pa.nulls(int(many.sum()), ids), pa.array(u[many].view(np.int64)), pa.array(c[many]), pa.array(np.ones(int(many.sum()), bool)), pa.nulls(int(many.sum()), pa.binary()), pa.nulls(int(many.sum()), pa.binary())], ["doc_id", "set_key", "n", "common", "vector", "fine"])
 
         ids = None
         for batch in batches:
-            ids, keys, sizes, vectors = batch.column(0).type, [], [], []
+            ids, keys, sizes, vectors, fine = batch.column(0).type, [], [], [], []
             for text in utf8_values(batch.column(1)):
                 s = shingle_set(text, k)
                 keys.append(set_key(s))
                 sizes.append(len(s))
                 vectors.append(count_vector(s).tobytes())
+                fine.append(fine_vector(s))
                 held.append(s)
                 size += len(s)
                 if size >= 3_000_000:
                     yield frequent(ids)
                     held, size = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.zeros(len(keys), bool)), pa.array(vectors, pa.binary())], ["doc_id", "set_key", "n", "common", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.zeros(len(keys), bool)), pa.array(vectors, pa.binary()), pa.array(fine, pa.binary())], ["doc_id", "set_key", "n", "common", "vector", "fine"])
         if held:
             yield frequent(ids)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, set_key long, n long, common boolean, vector binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, set_key long, n long, common boolean, vector binary, fine binary")
 
 
 def common_shingles(surveyed: DataFrame, documents: int, share: float) -> np.ndarray:
@@ -220,32 +229,37 @@ def overlap_bound(corners: np.ndarray, vector: np.ndarray) -> np.ndarray:
     return least.sum(axis=1, dtype=np.int64) + (np.int64(2**40) * (least == TOP).any(axis=1) if vector.max(initial=0) == TOP else 0)
 
 
-def candidates(points: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """block, a, b and rate: pairs of sets that the trees let pass, from points(block, set_key, n, vector, label).
+def candidates(points: DataFrame, percent: int, spanning: bool) -> DataFrame:
+    """block, a, b, rate and degree: pairs of sets that the trees let pass, from points(block, set_key, n, vector, label).
 
-    best_only gives the best candidate of each point in each block; otherwise all pairs of different labels
-    pass, once. Blocks are read in order, one at a time.
+    spanning gives each point two candidates in each block, the best one and the one that most points of the
+    block have as a candidate; otherwise all pairs of different labels pass, once. degree is the number of
+    candidates of b. Blocks are read in order, one at a time.
     """
 
     def pairs(block: np.ndarray, keys: np.ndarray, sizes: np.ndarray, vectors: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         tree = RTree(vectors, sizes)
+        met: list[tuple[np.ndarray, np.ndarray]] = []
         for i in range(len(keys)):
             found, bound = tree.search(vectors[i], int(sizes[i]), percent)
             other = labels[found] != labels[i]
-            if not best_only:
-                other &= found > i
-            found, bound = found[other], bound[other]
+            met.append((found[other], bound[other] / (sizes[i] + sizes[found[other]])))
+        degree = np.array([len(found) for found, _ in met])
+        for i, (found, rate) in enumerate(met):
             if not len(found):
                 continue
-            rate = bound / (sizes[i] + sizes[found])
-            if best_only:
-                best = int(np.argmax(rate))
-                found, rate = found[best : best + 1], rate[best : best + 1]
-            n = len(found)
-            yield block[:n], np.full(n, keys[i]), keys[found], rate
+            if spanning:
+                # Ties go to the smallest key, so that all points of a group choose the same one.
+                hub = np.lexsort((keys[found], -degree[found]))[0]
+                take = np.unique([int(np.argmax(rate)), int(hub)])
+            else:
+                take = np.flatnonzero(found > i)
+            n = len(take)
+            if n:
+                yield np.full(n, block[0]), np.full(n, keys[i]), keys[found[take]], rate[take], degree[found[take]]
 
     def emit(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["block", "a", "b", "rate"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["block", "a", "b", "rate", "degree"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
@@ -277,7 +291,29 @@ def candidates(points: DataFrame, percent: int, best_only: bool) -> DataFrame:
             yield emit(out)
 
     ordered = points.select("block", "set_key", "n", "vector", "label").repartition("block").sortWithinPartitions("block", "set_key")
-    return ordered.mapInArrow(run, "block long, a long, b long, rate double")
+    return ordered.mapInArrow(run, "block long, a long, b long, rate double, degree long")
+
+
+def second_look(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) that the finer vectors of fine(set_key, n, fine) let pass, too; those without one pass.
+
+    The coarse bound says little about long sets, whose texts are the dearest to compare.
+    """
+    left = fine.select(F.col("set_key").alias("a"), F.col("n").alias("n_a"), F.col("fine").alias("x"))
+    right = fine.select(F.col("set_key").alias("b"), F.col("n").alias("n_b"), F.col("fine").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n_a, n_b, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                if x is None or y is None:
+                    keep.append(True)
+                    continue
+                least = np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))
+                keep.append(bool((least == FINE_TOP).any()) or (100 + percent) * int(least.sum(dtype=np.int64)) >= percent * (n_a + n_b))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(left, "a", "left").join(right, "b", "left").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, k: int, percent: int, broadcast_rows: int = 500_000) -> DataFrame:
@@ -326,22 +362,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, common_share
     common = common_shingles(surveyed, sets.count(), common_share)
     met = materialize(blocks(prefix_rows(docs, k, percent, common)), "blocks")
 
-    every = surveyed.filter("not common and doc_id is not null and n > 0").select("set_key", "n", "vector")
-    vectors = materialize(every.join(met.select("set_key").distinct(), "set_key", "left_semi").dropDuplicates(["set_key"]), "vectors")
+    every = surveyed.filter("not common and doc_id is not null and n > 0").select("set_key", "n", "vector", "fine")
+    known = materialize(every.join(met.select("set_key").distinct(), "set_key", "left_semi").dropDuplicates(["set_key"]), "vectors")
+    vectors, fine = known.select("set_key", "n", "vector"), known.filter("fine is not null").select("set_key", "n", "fine")
 
-    nearest = materialize(candidates(met.join(vectors, "set_key").withColumn("label", F.col("set_key")), percent, best_only=True), "nearest")
-    first = materialize(ordered_pairs(nearest.groupBy("a").agg(F.max_by("b", F.struct("rate", "b")).alias("b"))), "pairs")
-    links = materialize(verified(first, docs, points, k, percent), "links")
+    nearest = materialize(candidates(met.join(vectors, "set_key").withColumn("label", F.col("set_key")), percent, spanning=True), "nearest")
+    two = nearest.groupBy("a").agg(F.max_by("b", F.struct("rate", "b")).alias("best"), F.max_by("b", F.struct("degree", -F.col("b"))).alias("hub"))
+    first = materialize(ordered_pairs(two.select("a", F.explode(F.array("best", "hub")).alias("b"))), "pairs")
+    links = materialize(verified(materialize(second_look(first, fine, percent), "pairs"), docs, points, k, percent), "links")
     joined = connected_components(links)
 
     # Only points with a candidate can have more of them, and only where components are left apart.
     label = F.coalesce("label", F.col("set_key"))
-    live = nearest.select("block", F.col("a").alias("set_key"))
+    live = nearest.select("block", F.col("a").alias("set_key")).distinct()
     labelled = live.join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").select("block", "set_key", label.alias("label"))
     mixed = labelled.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("block")
-    rest = candidates(labelled.join(mixed, "block").join(vectors, "set_key"), percent, best_only=False)
-    rest = materialize(ordered_pairs(rest).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = materialize(verified(rest, docs, points, k, percent), "links")
+    rest = candidates(labelled.join(mixed, "block").join(vectors, "set_key"), percent, spanning=False)
+    rest = materialize(ordered_pairs(rest), "pairs").join(first, ["a", "b"], "left_anti")
+    more = materialize(verified(materialize(second_look(rest, fine, percent), "pairs"), docs, points, k, percent), "links")
     joined = materialize(connected_components(links.unionByName(more)), "components")
 
     member = points.select("set_key", "rep", "n_copies").join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", label)
