@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.money import exact_sum, is_round, same_amount
+from ..functions.running import Past
 
 # Thresholds of the detectors.
 MIN_PRIOR, OUTLIER_SCALE, RELATIVE_FLOOR, HIGH_MULTIPLE, TERM_SHIFT, ROUND_CEILING, REPEAT_MIN = 4, 3.5, 0.5, 3, 7, 0.25, 3
@@ -43,55 +48,47 @@ def vendor_baseline(invoices: DataFrame) -> DataFrame:
     return base.join(mad, "vendor_key").join(repeats, "vendor_key", "left")
 
 
-def prior_stats(invoices: DataFrame, history: int = 500) -> DataFrame:
-    """Every invoice with statistics over the vendor's earlier ones only, at most the last history of them.
+LEARNED = "median_total double, median_interval double, median_term double, amount_mad double, repeated int, usual_step long"
+
+
+def prior_stats(invoices: DataFrame) -> DataFrame:
+    """Every invoice with statistics over all earlier ones of its vendor.
 
-    All frames share one sort. The limit bounds what a frame holds, so a vendor with millions of invoices
-    costs a fixed amount per row; it is part of the baseline's meaning (what is recent), documented here.
+    A vendor's invoices pass through one task in order. Counts and extremes are running windows; medians,
+    deviations, repeats and steps come from sorted blocks that each row adds to, so a row costs little more
+    the longer the vendor's past is, and the task holds the past's amounts, gaps, terms and numbers only.
     """
     order = Window.partitionBy("vendor_key").orderBy("issue_date", "created_at", "id")
-    before = order.rowsBetween(-history, -1)
-    amount = F.when(F.col("total") > 0, F.col("total"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    amount = F.when((F.col("total") > 0) & ~F.isnan("total"), F.col("total"))
     rows = with_rhythm(invoices).select(
-        "id", "vendor_key", "vendor", "currency", "total", "issue_date", "due_date", "term", "gap", "parsed", "status",
+        "id", "vendor_key", "vendor", "currency", "total", "issue_date", "due_date", "term", "gap", "parsed", "status", "created_at",
+        amount.alias("amount"),
         F.count("*").over(before).alias("n_prior"),
-        F.percentile(amount, F.lit(0.5)).over(before).alias("median_total"),
-        F.collect_list(amount).over(before).alias("amounts"),
         F.count(F.when(F.col("gap") > 0, 1)).over(before).alias("n_gaps"),
-        F.percentile(F.when(F.col("gap") > 0, F.col("gap")), F.lit(0.5)).over(before).alias("median_interval"),
         F.count(F.when(F.col("term") >= 0, 1)).over(before).alias("n_terms"),
-        F.percentile(F.when(F.col("term") >= 0, F.col("term")), F.lit(0.5)).over(before).alias("median_term"),
-        F.avg(F.when(F.col("total") > 0, is_round("total").cast("double"))).over(before).alias("round_share"),
+        F.avg(F.when(amount.isNotNull(), is_round("total").cast("double"))).over(before).alias("round_share"),
         F.max(F.when(F.col("parsed").isNotNull(), F.struct(F.col("parsed.value"), F.col("parsed.prefix")))).over(before).alias("last_number"),
-        F.collect_list("parsed").over(before).alias("numbers"),
     )
-    deviations = F.array_sort(F.transform("amounts", lambda x: F.abs(x - F.col("median_total"))))
-    return rows.withColumn("amount_mad", middle(deviations)).withColumn("repeated", most_repeated(F.array_sort("amounts")))
-
-
-def middle(ordered: Column) -> Column:
-    """The median of a sorted array; 0 of none."""
-    n = F.size(ordered)
-    return F.when(n == 0, 0.0).otherwise((F.get(ordered, ((n - 1) / 2).cast("int")) + F.get(ordered, (n / 2).cast("int"))) / 2)
-
-
-def most_repeated(ordered: Column) -> Column:
-    """The longest run of equal values in a sorted array."""
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(acc: Column, x: Column) -> Column:
-        run = F.when(acc.last == x, acc.run + 1).otherwise(1)
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc.best, run).alias("best"))
-
-    return F.aggregate(ordered, start, step, lambda acc: acc.best)
-
-
-def typical_step(numbers: Column, prefix: Column) -> Column:
-    """The rounded median of the positive steps of a series with the prefix, at least 1."""
-    series = F.array_sort(F.transform(F.filter(numbers, lambda x: x.prefix == prefix), lambda x: x.value))
-    steps = F.filter(F.zip_with(F.slice(series, F.lit(2), F.greatest(F.size(series), F.lit(1))), series, lambda b, a: b - a), lambda s: s > 0)
-    ordered = F.array_sort(steps)
-    return F.when(F.size(ordered) == 0, F.lit(1)).otherwise(F.greatest(F.floor(middle(ordered) + 0.5), F.lit(1))).cast("long")
+    ordered = rows.sortWithinPartitions("vendor_key", "issue_date", "created_at", "id").drop("created_at")
+    learned = StructType.fromDDL(LEARNED)
+    return ordered.mapInArrow(learn, StructType(ordered.schema.fields + learned.fields)).drop("amount")
+
+
+def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by vendor in order, each with what the vendor's rows before it say; n_prior 0 begins a vendor."""
+    kinds = [pa.float64()] * 4 + [pa.int32(), pa.int64()]
+    names = [f.split()[0] for f in LEARNED.split(", ")]
+    past = Past()
+    for batch in batches:
+        said = []
+        for n, amount, gap, term, parsed in zip(*[batch.column(c).to_pylist() for c in ("n_prior", "amount", "gap", "term", "parsed")], strict=True):
+            if n == 0:
+                past = Past()
+            said.append(past.says(parsed))
+            past.add(amount, gap, term, parsed)
+        more = [pa.array([row[i] for row in said], kind) for i, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
 
 
 def anomaly_amount(stats: DataFrame) -> DataFrame:
@@ -104,7 +101,7 @@ def anomaly_amount(stats: DataFrame) -> DataFrame:
 def anomaly_number_gap(stats: DataFrame) -> DataFrame:
     """A number behind the vendor's highest, or further ahead than its usual step; other prefixes say nothing."""
     number, last = F.col("parsed.value"), F.col("last_number.value")
-    missing = number - last - typical_step(F.col("numbers"), F.col("parsed.prefix"))
+    missing = number - last - F.col("usual_step")
     found = known(stats).filter((F.col("parsed.prefix") == F.col("last_number.prefix")) & ((number < last) | (missing >= 1)))
     return finding(found, "number_gap", F.lit("warn"))
 
@@ -143,12 +140,12 @@ def finding(rows: DataFrame, kind: str, severity: Column) -> DataFrame:
 OPEN = ["vendor_profile", "processing", "failed", "draft", "review", "scheduled"]
 
 
-def anomaly_findings(invoices: DataFrame, peers: DataFrame, history: int = 500) -> DataFrame:
+def anomaly_findings(invoices: DataFrame, peers: DataFrame) -> DataFrame:
     """All findings on open invoices; callers order them by severity, then id.
 
     The statistics are computed once and read five times, so they are cached.
     """
-    stats = prior_stats(invoices, history).filter(F.col("status").isin(OPEN)).cache()
+    stats = prior_stats(invoices).filter(F.col("status").isin(OPEN)).cache()
     out = anomaly_amount(stats).unionByName(anomaly_number_gap(stats)).unionByName(anomaly_timing(stats)).unionByName(anomaly_round(stats))
     return out.unionByName(anomaly_benign_dup(stats, peers))
 
