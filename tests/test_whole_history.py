@@ -7,7 +7,7 @@ from statistics import median
 
 from test_operators import invoices
 
-from paylens.operators import anomalies
+from paylens.operators import anomalies, duplicates
 
 
 def test_prior_stats_see_all_earlier_invoices(spark):
@@ -45,3 +45,40 @@ def test_a_number_far_behind_is_still_a_gap(spark):
     items = [{"issue_date": start + dt.timedelta(i), "invoice_number": "S-9000" if i == 0 else f"S-{i:04}"} for i in range(700)]
     found = {r.id for r in anomalies.anomaly_number_gap(anomalies.prior_stats(invoices(spark, *items))).collect()}
     assert found == set(range(5, 701))
+
+
+def test_gl_suggest_remembers_old_invoices(spark):
+    lines = spark.createDataFrame([(i, f"item{i % 7} common") for i in range(1, 1402)], "invoice_id long, description string")
+    old = [{"category": "Travel", "gl_account": "6100", "department": f"d{i % 3}", "issue_date": dt.date(1999, 1, 1)} for i in range(20)]
+    new = [{"category": "Office", "gl_account": "6200", "department": "x", "issue_date": dt.date(2001, 1, 1) + dt.timedelta(i % 90)} for i in range(1380)]
+    asked = {"category": "Travel", "gl_account": "", "department": "", "issue_date": dt.date(2001, 7, 1)}
+    df = invoices(spark, *old, *new, asked)
+    got = {r.field: (r.value, r.confidence) for r in duplicates.gl_suggest(df, lines, "2001-08-01").filter("id = 1401").collect()}
+    assert got["gl_account"] == ("6100", 0.98) and got["category"] == ("Travel", 0.98)
+
+
+def test_gl_suggest_ranks_as_all_pairs_do(spark):
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(12)]
+    text = {i: " ".join(rng.sample(words, rng.randrange(1, 4))) for i in range(1, 1301)}
+    lines = spark.createDataFrame(list(text.items()), "invoice_id long, description string")
+    items = [{"category": rng.choice(["A", "b", "B", ""]), "gl_account": rng.choice(["1", "2", "3"]), "department": rng.choice(["", "d"]), "issue_date": dt.date(2000, 1, 1) + dt.timedelta(rng.randrange(570)), "status": rng.choice(["review", "failed"])} for _ in text]
+    got = {(r.id, r.field): (r.value, round(r.weight, 6)) for r in duplicates.gl_suggest(invoices(spark, *items), lines, "2001-08-01").collect()}
+    for i in rng.sample(sorted(text), 40):
+        mine, ranked = items[i - 1], []
+        for j, past in enumerate(items, 1):
+            if j == i or past["status"] == "failed":
+                continue
+            a, b = set(text[i].split()), set(text[j].split())
+            score = 0.55 + len(a & b) / min(len(a), len(b)) * 0.15
+            if mine["category"] and past["category"]:
+                score += 0.2 if mine["category"].lower() == past["category"].lower() else -0.2
+            days = (dt.date(2001, 8, 1) - past["issue_date"]).days
+            score += 0.05 * (1 - days / 365) if days <= 365 else 0
+            if round(score, 9) >= 0.4:
+                ranked.append((round(score, 9), j))
+        weights = Counter()
+        for score, j in sorted(ranked, reverse=True)[:8]:
+            weights[items[j - 1]["gl_account"]] += score
+        best = max((round(w, 6), v) for v, w in weights.items())
+        assert got[i, "gl_account"] == (best[1], best[0])
