@@ -40,8 +40,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, min_similarity
     """doc_id, item_id, similarity, first_word, last_word: the best window of each document for each item in it.
 
     A window has as many shingles (k words each) as the item; the windows of a document are those that hold
-    at least one shingle at the place where an item has it, cut off at the document's ends: any other window
-    has nothing in common with the item in place. Windows and items get a SimHash of their shingles. By
+    at least one shingle at the place where an item has it, cut off at the document's ends (each start before the first word is a
+    window of its own): any other window has nothing in common with the item in place. Windows and items get a SimHash of their shingles. By
     the pigeonhole principle, two fingerprints within the radius have at least one of the 8 blocks within
     radius // 8 bits, so items are listed under all such neighbours of their blocks, together with their
     size, and windows under their own: the join meets every pair within the radius. Pairs within it are
@@ -62,25 +62,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, min_similarity
     each = grams.select("doc_id", "text_key", "grams", F.posexplode("grams").alias("word", "gram"))
     start = F.col("word") - F.col("at")
     low = F.greatest(start, F.lit(0))
-    hits = each.join(bounded(places, item_rows[0], broadcast_rows), "gram").select("doc_id", "text_key", "size", low.alias("first"), F.slice(F.col("grams"), low + 1, F.col("size") + start - low).alias("window"))
-    windows = hits.groupBy("doc_id", "text_key", "size", "first").agg(F.max_by("window", F.size("window")).alias("window"))
+    hits = each.join(bounded(places, item_rows[0], broadcast_rows), "gram").select("doc_id", "text_key", "size", start.alias("start"), F.slice(F.col("grams"), low + 1, F.col("size") + start - low).alias("window"))
+    windows = hits.groupBy("doc_id", "text_key", "size", "start").agg(F.first("window").alias("window"))
     windows = windows.withColumn("fingerprint", simhash(F.col("window")))
 
     flips = [sum(1 << b for b in bits) for n in range(radius // BLOCKS + 1) for bits in combinations(range(BITS // BLOCKS), n)]
     printed = items.withColumn("item_fingerprint", simhash(F.col("grams")))
     neighbours = printed.select("item_id", "size", "item_fingerprint", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), block(F.col("item_fingerprint"), i).alias("v")) for i in range(BLOCKS)])).alias("b"))
     neighbours = neighbours.select("item_id", "size", "item_fingerprint", F.col("b.i").alias("i"), F.explode(F.transform(F.array(*[F.lit(x) for x in flips]), lambda x: F.col("b.v").bitwiseXOR(x))).alias("value"))
-    own = windows.select("doc_id", "text_key", "size", "first", "window", "fingerprint", F.posexplode(F.array(*[block(F.col("fingerprint"), i) for i in range(BLOCKS)])).alias("i", "value"))
+    own = windows.select("doc_id", "text_key", "size", "start", "window", "fingerprint", F.posexplode(F.array(*[block(F.col("fingerprint"), i) for i in range(BLOCKS)])).alias("i", "value"))
     met = own.join(bounded(neighbours, item_rows[1] * BLOCKS * len(flips), broadcast_rows), ["size", "i", "value"])
     near = met.filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))) <= radius)
-    pairs = near.groupBy("doc_id", "text_key", "first", "item_id", "size").agg(F.first("window").alias("window"))
+    pairs = near.groupBy("doc_id", "text_key", "start", "item_id", "size").agg(F.first("window").alias("window"))
 
     counts = items.select("item_id", F.explode("grams").alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("n_item"))
-    listed = pairs.select("doc_id", "text_key", "first", "item_id", "size", F.size("window").alias("n_window"), F.explode("window").alias("gram"))
-    listed = listed.groupBy("doc_id", "text_key", "first", "item_id", "size", "n_window", "gram").agg(F.count("*").alias("n"))
-    shared = listed.join(bounded(counts, item_rows[0], broadcast_rows), ["item_id", "gram"]).groupBy("doc_id", "text_key", "first", "item_id", "size", "n_window").agg(F.sum(F.least("n", "n_item")).alias("both"))
+    listed = pairs.select("doc_id", "text_key", "start", "item_id", "size", F.size("window").alias("n_window"), F.explode("window").alias("gram"))
+    listed = listed.groupBy("doc_id", "text_key", "start", "item_id", "size", "n_window", "gram").agg(F.count("*").alias("n"))
+    shared = listed.join(bounded(counts, item_rows[0], broadcast_rows), ["item_id", "gram"]).groupBy("doc_id", "text_key", "start", "item_id", "size", "n_window").agg(F.sum(F.least("n", "n_item")).alias("both"))
     verified = shared.withColumn("similarity", F.col("both") / (F.col("n_window") + F.col("size") - F.col("both"))).filter(F.col("similarity") >= min_similarity)
-    best = verified.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first")).alias("back"), "n_window")).alias("b"))
+    best = verified.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.greatest("start", F.lit(0))).alias("back"), "n_window")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.back")).cast("long").alias("first_word"), (-F.col("b.back") + F.col("b.n_window") + k - 2).cast("long").alias("last_word"))
 
 
