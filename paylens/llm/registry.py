@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
@@ -18,12 +17,12 @@ from .substring_dedup import remove_repeats
 from .toxicity import toxicity_scores
 from .warc import warc_round_trip
 
-# Folder of the public tokenizers' files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+# The vocabulary that op1 and the pipeline use.
+VOCABULARY = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe_digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +122,8 @@ def nearest(rows: str, refs: str) -> str:
 
 QUALITY_SQL = rf"""
     WITH d AS (SELECT doc_id, lang, text, {SPLIT.format(text="coalesce(text, '')")} AS w FROM documents),
-    l AS (SELECT doc_id, unnest(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]'))) AS line FROM d),
+    l AS (SELECT doc_id, unnest(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]'))) AS line FROM d),
     dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY 1),
     p AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM d WHERE len(w) >= 8),
     pr AS (SELECT doc_id, i FROM p QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),

@@ -11,9 +11,7 @@ from tokenizers import Tokenizer
 import brute
 from compare import canonical
 from paylens.llm import bpe, components, decontaminate, html_text, jaccard_join, license_scan, quality_model, quality_rules, substring_dedup, toxicity, warc
-from paylens.llm.registry import QUERIES, SQL, TOKENIZERS
-
-VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
+from paylens.llm.registry import QUERIES, SQL, VOCABULARY
 
 
 def texts(df):

@@ -6,7 +6,7 @@ import brute
 import pytest
 from tokenizers import Tokenizer
 
-from paylens.llm.registry import TOKENIZERS
+from paylens.llm.registry import VOCABULARY
 
 pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -38,7 +38,7 @@ def test_stages_give_what_brute_force_gives(spark, tmp_path):
     assert leaking and read(docs) == {i: t for i, t in before.items() if i not in leaking}
 
     before = read(docs)
-    reference = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    reference = Tokenizer.from_file(VOCABULARY)
     rows = run("BPE encoding and decoding").collect()
     assert len(rows) == len(before)
     for r in rows:
