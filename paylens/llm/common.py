@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share, spark.checkpoint.dir. Only where Spark runs in one process and it is unset, as in tests, a temporary one is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="paylens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -27,26 +30,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-_made: list[str] = []
+class Scratch:
+    """Tables that one caller writes to the shared folder on the way to a result.
 
+    They cut lineage with files that outlive any executor. A lazy result reads them, so they stay until their
+    caller discards them, once the result is written itself, or until the folder is cleared.
+    """
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage with files that outlive any executor.
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
 
-    They stay until the folder is cleared, or until discard_scratch(), unless keep is set.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    if not keep:
-        _made.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard_scratch(spark: SparkSession) -> None:
-    """Delete what materialize() has written so far; only for callers whose results are all written themselves."""
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    def path(self, name: str) -> str:
+        self.paths.append(scratch_path(self.spark, name))
+        return self.paths[-1]
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a table and read it back."""
+        path = self.path(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def discard(self) -> None:
+        while self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def utf8_values(column: pa.Array) -> list[bytes | None]:

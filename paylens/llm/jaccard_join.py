@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, mix64, utf8_values, window_hashes, word_bounds, word_hashes
+from .common import Scratch, mix64, utf8_values, window_hashes, word_bounds, word_hashes
 from .components import connected_components
 
 GROUPS = 256
@@ -316,13 +316,13 @@ def second_look(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a", "left").join(right, "b", "left").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, k: int, percent: int, broadcast_rows: int = 500_000) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, k: int, percent: int, scratch: Scratch, broadcast_rows: int = 500_000) -> DataFrame:
     """The pairs(a, b) whose sets have the similarity, from the whole text of one document of each set.
 
     Texts are shuffled rather than shingles: they are smaller. Only texts that a pair needs leave their task;
     their ids are broadcast where they are few, by count, and joined by a shuffle beyond.
     """
-    wanted = materialize(pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct().join(points, "set_key").select("set_key", "rep"), "wanted")
+    wanted = scratch.table(pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct().join(points, "set_key").select("set_key", "rep"), "wanted")
     few = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
     texts = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("rep")).select("set_key", "text")
     left = texts.select(F.col("set_key").alias("a"), F.col("text").alias("x"))
@@ -345,7 +345,7 @@ def ordered_pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, common_share: float = 0.001) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, common_share: float = 0.001, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and n_copies (rows with the same set), per row of docs(doc_id, text).
 
     component_id is the smallest doc_id that links reach: links join sets with 100 * shared >= percent * all.
@@ -354,23 +354,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, common_share
     link nothing and have no component; rows that repeat a doc_id are points of their own. Empty tables give
     empty ones; other columns aren't read. Shingles are compared by 64-bit hashes.
     """
+    scratch = scratch or Scratch(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    surveyed = materialize(survey(docs, k, common_share), "sets")
+    surveyed = scratch.table(survey(docs, k, common_share), "sets")
     sets = surveyed.filter("not common").select("doc_id", "set_key", F.col("n").alias("n_shingles"))
     named = sets.filter("doc_id is not null and n_shingles > 0")
     points = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
     common = common_shingles(surveyed, sets.count(), common_share)
-    met = materialize(blocks(prefix_rows(docs, k, percent, common)), "blocks")
+    met = scratch.table(blocks(prefix_rows(docs, k, percent, common)), "blocks")
 
     every = surveyed.filter("not common and doc_id is not null and n > 0").select("set_key", "n", "vector", "fine")
-    known = materialize(every.join(met.select("set_key").distinct(), "set_key", "left_semi").dropDuplicates(["set_key"]), "vectors")
+    known = scratch.table(every.join(met.select("set_key").distinct(), "set_key", "left_semi").dropDuplicates(["set_key"]), "vectors")
     vectors, fine = known.select("set_key", "n", "vector"), known.filter("fine is not null").select("set_key", "n", "fine")
 
-    nearest = materialize(candidates(met.join(vectors, "set_key").withColumn("label", F.col("set_key")), percent, spanning=True), "nearest")
+    nearest = scratch.table(candidates(met.join(vectors, "set_key").withColumn("label", F.col("set_key")), percent, spanning=True), "nearest")
     two = nearest.groupBy("a").agg(F.max_by("b", F.struct("rate", "b")).alias("best"), F.max_by("b", F.struct("degree", -F.col("b"))).alias("hub"))
-    first = materialize(ordered_pairs(two.select("a", F.explode(F.array("best", "hub")).alias("b"))), "pairs")
-    links = materialize(verified(materialize(second_look(first, fine, percent), "pairs"), docs, points, k, percent), "links")
-    joined = connected_components(links)
+    first = scratch.table(ordered_pairs(two.select("a", F.explode(F.array("best", "hub")).alias("b"))), "pairs")
+    links = scratch.table(verified(scratch.table(second_look(first, fine, percent), "pairs"), docs, points, k, percent, scratch), "links")
+    joined = connected_components(links, scratch=scratch)
 
     # Only points with a candidate can have more of them, and only where components are left apart.
     label = F.coalesce("label", F.col("set_key"))
@@ -378,9 +379,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, common_share
     labelled = live.join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").select("block", "set_key", label.alias("label"))
     mixed = labelled.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("block")
     rest = candidates(labelled.join(mixed, "block").join(vectors, "set_key"), percent, spanning=False)
-    rest = materialize(ordered_pairs(rest), "pairs").join(first, ["a", "b"], "left_anti")
-    more = materialize(verified(materialize(second_look(rest, fine, percent), "pairs"), docs, points, k, percent), "links")
-    joined = materialize(connected_components(links.unionByName(more)), "components")
+    rest = scratch.table(ordered_pairs(rest), "pairs").join(first, ["a", "b"], "left_anti")
+    more = scratch.table(verified(scratch.table(second_look(rest, fine, percent), "pairs"), docs, points, k, percent, scratch), "links")
+    joined = scratch.table(connected_components(links.unionByName(more), scratch=scratch), "components")
 
     member = points.select("set_key", "rep", "n_copies").join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", label)
     least = member.groupBy("label").agg(F.min("rep").alias("component_id"))

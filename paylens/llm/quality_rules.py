@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import Scratch
 from .native import let, runs_hashed, words_of
 
 SPACES = r"[\x20\x09-\x0D]"
@@ -105,7 +105,7 @@ def _nearest(rows: DataFrame, references: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(references)).withColumn("best", F.when(F.col("n_words") > 0, F.array_min(distances))).drop("refs")
 
 
-def quality_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, min_histogram_words: int = 50, max_character_distance: float = 0.35, max_word_distance: float = 0.5, max_both: tuple[float, float] = (0.185, 0.21), languages: tuple[str, ...] = tuple(COMMON_WORDS)) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, min_histogram_words: int = 50, max_character_distance: float = 0.35, max_word_distance: float = 0.5, max_both: tuple[float, float] = (0.185, 0.21), languages: tuple[str, ...] = tuple(COMMON_WORDS), scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distances and kept.
 
     The references are the mean shares, per language, of character classes and common words over all
@@ -119,7 +119,7 @@ def quality_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int
     of the references. One pass reads the texts; its counts are written once and serve references and
     verdicts. The references have one row a language and are broadcast.
     """
-    counts = materialize(document_counts(docs), "quality")
+    counts = (scratch or Scratch(docs.sparkSession)).table(document_counts(docs), "quality")
     classes = _shares([F.col(c) for c in ("n_symbols", "n_upper", "n_digit", "n_punctuation", "n_wide")], F.col("word_chars") + F.col("n_wide"))
     words = _shares([F.col("word_counts")[i] for i in range(len(WORD_LIST))], F.col("n_words"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))

@@ -154,16 +154,20 @@ SQL: dict[str, str] = {
         l AS (SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
         r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = documents.doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id)""",
+    # Every window that shares a shingle with an item, compared as it stands: the others have similarity 0.
     "op7_decontaminate": rf"""
-        WITH d AS (SELECT doc_id, {SPLIT.format(text="lower(coalesce(text, ''))")} AS w FROM documents), t AS (SELECT item_id, {SPLIT.format(text="lower(coalesce(text, ''))")} AS w FROM benchmark),
-        dg AS (SELECT doc_id, unnest(range(len(w) - 4)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d WHERE len(w) >= 5),
-        tg AS (SELECT item_id, len(w) - 4 AS size, unnest(range(len(w) - 4)) AS j, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM t WHERE len(w) >= 5),
-        h AS (SELECT DISTINCT doc_id, item_id, size, i - j AS start FROM dg JOIN tg USING (g)),
-        c AS (SELECT h.doc_id, h.item_id, h.size, greatest(start, 0) AS first, start, dg.g, count(*) AS n FROM h JOIN dg ON dg.doc_id = h.doc_id AND dg.i >= start AND dg.i < start + size GROUP BY ALL),
-        k AS (SELECT item_id, g, count(*) AS m FROM tg GROUP BY 1, 2),
-        v AS (SELECT c.doc_id, c.item_id, first, size, sum(n) AS n_window, sum(least(n, coalesce(m, 0))) AS common FROM c LEFT JOIN k ON k.item_id = c.item_id AND k.g = c.g GROUP BY c.doc_id, c.item_id, first, start, size),
+        WITH d AS (SELECT doc_id, {SPLIT.format(text="lower(coalesce(text, ''))")} AS w FROM documents),
+        t AS (SELECT item_id, w, least(len(w), 5) AS k, len(w) - least(len(w), 5) + 1 AS size FROM (SELECT item_id, {SPLIT.format(text="lower(coalesce(text, ''))")} AS w FROM benchmark) WHERE len(w) > 0),
+        tg AS (SELECT item_id, k, size, unnest(list_transform(range(1, size + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM t),
+        m AS (SELECT item_id, k, size, g, count(*) AS n_item FROM tg GROUP BY ALL),
+        dg AS (SELECT doc_id, k, len(w) - k + 1 AS n, unnest(range(len(w) - k + 1)) AS i, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
+          FROM d, (SELECT DISTINCT k FROM t) WHERE len(w) >= k),
+        h AS (SELECT doc_id, item_id, k, size, n, i, g, n_item FROM dg JOIN m USING (k, g)),
+        s AS (SELECT DISTINCT doc_id, item_id, k, size, n, unnest(range(i - size + 1, i + 1)) AS start FROM h),
+        c AS (SELECT s.doc_id, s.item_id, s.k, s.size, s.n, start, g, n_item, count(*) AS n_held FROM s JOIN h ON h.doc_id = s.doc_id AND h.item_id = s.item_id AND h.i >= start AND h.i < start + s.size GROUP BY ALL),
+        v AS (SELECT doc_id, item_id, k, size, start, greatest(start, 0) AS first, least(start + size, n) - greatest(start, 0) AS n_window, sum(least(n_held, n_item)) AS common FROM c GROUP BY doc_id, item_id, k, size, start, n),
         q AS (SELECT *, cast(common AS double) / cast(n_window + size - common AS double) AS similarity FROM v)
-        SELECT doc_id, item_id, similarity, cast(first AS bigint) AS first_word, cast(first + n_window + 3 AS bigint) AS last_word FROM q WHERE similarity >= 0.8
+        SELECT doc_id, item_id, similarity, cast(first AS bigint) AS first_word, cast(first + n_window + k - 2 AS bigint) AS last_word FROM q WHERE similarity >= 0.8
         QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, first, n_window DESC) = 1""",
     "op8_substring_dedup": rf"""
         WITH d AS (SELECT doc_id, {SPLIT.format(text="coalesce(text, '')")} AS w FROM documents),

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, utf8_values, window_hashes, word_bounds, word_hashes
+from .common import Scratch, utf8_values, window_hashes, word_bounds, word_hashes
 
 
 def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +80,7 @@ def _shared(rows: DataFrame, window: str = "window") -> DataFrame:
     return rows.groupBy(window).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id").select(window, "first_id")
 
 
-def repeated_windows(docs: DataFrame, words: int = 50) -> DataFrame:
+def repeated_windows(docs: DataFrame, words: int = 50, scratch: Scratch | None = None) -> DataFrame:
     """doc_id and at: the starts of windows of so many words whose words also start in a document with a smaller doc_id.
 
     Level by level, lengths double up to words: the base level looks at windows of half the length, and of
@@ -91,11 +91,12 @@ def repeated_windows(docs: DataFrame, words: int = 50) -> DataFrame:
     in a third of all documents is one row a task before the shuffle; the shared windows are written, so that
     the joins back have a plain shuffle on both sides and Spark can split the rows of a window among tasks.
     """
+    scratch = scratch or Scratch(docs.sparkSession)
     half = (words + 1) // 2
     span = words - half + 1
     known = docs.filter("doc_id is not null").select("doc_id", "text")
     base = _rows(known, half, span)
-    survivors = base.join(materialize(_shared(base), "shared"), "window").select("doc_id", "at")
+    survivors = base.join(scratch.table(_shared(base), "shared"), "window").select("doc_id", "at")
     held = survivors.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("ats"))
     extended = known.join(held, "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -113,11 +114,11 @@ def repeated_windows(docs: DataFrame, words: int = 50) -> DataFrame:
                 counts.append(len(at))
             yield from _emit(batch.column(0), counts, found)
 
-    full = materialize(extended.mapInArrow(extend, f"doc_id {kind}, window long, at int"), "windows")
-    return full.join(materialize(_shared(full), "shared"), "window").filter("doc_id > first_id").select("doc_id", "at")
+    full = scratch.table(extended.mapInArrow(extend, f"doc_id {kind}, window long, at int"), "windows")
+    return full.join(scratch.table(_shared(full), "shared"), "window").filter("doc_id > first_id").select("doc_id", "at")
 
 
-def remove_repeats(docs: DataFrame, words: int = 50, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, words: int = 50, digest: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """docs with the words of repeated windows taken out; digest gives doc_id, n_words, n_removed and kept_sha256 instead.
 
     Every word in a window of so many words is removed whose words also start in a document with a smaller
@@ -127,7 +128,7 @@ def remove_repeats(docs: DataFrame, words: int = 50, digest: bool = False) -> Da
     doc_id don't count as earlier than each other, and each loses what any of them has to lose at that
     place; rows without doc_id stay as they are. Empty tables give empty ones; other columns pass through.
     """
-    lost = repeated_windows(docs, words).groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("__at")).withColumnRenamed("doc_id", "__id")
+    lost = repeated_windows(docs, words, scratch).groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("__at")).withColumnRenamed("doc_id", "__id")
     joined = docs.join(lost, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     names = docs.columns
     where = {n: i for i, n in enumerate(names)}

@@ -69,23 +69,24 @@ def licenses(text):
 
 
 def leaks(docs, items, k=5, least=0.8):
-    """Best aligned window of each document for each item, by multiset similarity of k-word shingles."""
+    """The best window of each document for each item, of all windows of the item's size, by multiset similarity of shingles."""
+    def grams(w, n):
+        return [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+
     out = {}
-    grams = lambda t: [tuple(x) for x in zip(*[words((t or "").lower())[i:] for i in range(k)], strict=False)]
-    wanted = {i: grams(t) for i, t in items}
+    wanted = [(item, grams(w, min(k, len(w))), min(k, len(w))) for item, t in items if (w := words((t or "").lower()))]
     for d, t in docs:
-        g = grams(t)
-        for item, want in wanted.items():
-            if not want:
+        w = words((t or "").lower())
+        held = {n: grams(w, n) for n in {x for _, _, x in wanted}}
+        seen = {n: set(g) for n, g in held.items()}
+        for item, want, n in wanted:
+            if seen[n].isdisjoint(want):
                 continue
-            at = collections.defaultdict(list)
-            for j, x in enumerate(want):
-                at[x].append(j)
-            starts = {n - j for n, x in enumerate(g) for j in at.get(x, ())}
-            for s in starts:
-                win = collections.Counter(g[max(0, s) : s + len(want)])
-                both = sum((win & collections.Counter(want)).values())
-                rate = both / (sum(win.values()) + len(want) - both)
+            whole = collections.Counter(want)
+            for s in range(1 - len(want), len(held[n])):
+                window = held[n][max(0, s) : s + len(want)]
+                both = sum((collections.Counter(window) & whole).values())
+                rate = both / (len(window) + len(want) - both)
                 if rate >= least:
                     out[d, item] = max(rate, out.get((d, item), 0))
     return out
