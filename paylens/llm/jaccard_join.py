@@ -10,9 +10,11 @@ documents has last (their number is bounded by that share), the rest by hash: pa
 bring unlike texts together only where a text has little else. Points with a prefix shingle in common form
 a tree; trees with the same points are built once.
 
-Links come in two rounds. First each point meets its best candidate and the one that most others have, which
-joins copies of one text into components; then points of different components meet all candidates the
-bounds let pass. So a group of n near copies costs about n verifications instead of n squared, and no link is lost.
+Links come in rounds. In the first ones each point meets a few of its candidates: the best one, and those
+that many others have, which joins copies of one text into components. Then points of different components
+meet all candidates the bounds let pass. So a group of n near copies costs about n verifications instead of
+n squared, and no link is lost. A tree with more points than one task should hold is dealt out: a point meets
+those of its part and some pivots that all parts have, and in the last round all parts meet each other.
 """
 
 from __future__ import annotations
@@ -229,37 +231,16 @@ def overlap_bound(corners: np.ndarray, vector: np.ndarray) -> np.ndarray:
     return least.sum(axis=1, dtype=np.int64) + (np.int64(2**40) * (least == TOP).any(axis=1) if vector.max(initial=0) == TOP else 0)
 
 
-def candidates(points: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    """block, a, b, rate and degree: pairs of sets that the trees let pass, from points(block, set_key, n, vector, label).
+def block_parts(met: DataFrame, most: int) -> DataFrame:
+    """block and parts, of the blocks of met(block, set_key) with more than most points."""
+    return met.groupBy("block").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).filter("parts > 1")
 
-    spanning gives each point two candidates in each block, the best one and the one that most points of the
-    block have as a candidate; otherwise all pairs of different labels pass, once. degree is the number of
-    candidates of b. Blocks are read in order, one at a time.
-    """
 
-    def pairs(block: np.ndarray, keys: np.ndarray, sizes: np.ndarray, vectors: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        tree = RTree(vectors, sizes)
-        met: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in range(len(keys)):
-            found, bound = tree.search(vectors[i], int(sizes[i]), percent)
-            other = labels[found] != labels[i]
-            met.append((found[other], bound[other] / (sizes[i] + sizes[found[other]])))
-        degree = np.array([len(found) for found, _ in met])
-        for i, (found, rate) in enumerate(met):
-            if not len(found):
-                continue
-            if spanning:
-                # Ties go to the smallest key, so that all points of a group choose the same one.
-                hub = np.lexsort((keys[found], -degree[found]))[0]
-                take = np.unique([int(np.argmax(rate)), int(hub)])
-            else:
-                take = np.flatnonzero(found > i)
-            n = len(take)
-            if n:
-                yield np.full(n, block[0]), np.full(n, keys[i]), keys[found[take]], rate[take], degree[found[take]]
+def grouped(rows: DataFrame, columns: list[str], run_group, schema: str) -> DataFrame:
+    """run_group over the rows (set_key, n, vector, label and columns) of each block, part and against, one group at a time."""
 
     def emit(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["block", "a", "b", "rate", "degree"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
@@ -268,7 +249,7 @@ def candidates(points: DataFrame, percent: int, spanning: bool) -> DataFrame:
 
         def add(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             nonlocal out, held
-            for pair in pairs(*part):
+            for pair in run_group(part[0][0], *part[3:]):
                 out.append(pair)
                 held += len(pair[0])
                 if held >= 200_000:
@@ -278,10 +259,11 @@ def candidates(points: DataFrame, percent: int, spanning: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, GROUPS)
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), vectors, batch.column(4).to_numpy()]
+            vectors = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(-1, GROUPS)
+            new = [vectors if i == 5 else batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
             whole = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
-            starts = np.flatnonzero(np.concatenate([[True], whole[0][1:] != whole[0][:-1]]))
+            change = (whole[0][1:] != whole[0][:-1]) | (whole[1][1:] != whole[1][:-1]) | (whole[2][1:] != whole[2][:-1])
+            starts = np.flatnonzero(np.concatenate([[True], change]))
             for s, e in zip(starts[:-1], starts[1:], strict=True):
                 yield from add([x[s:e] for x in whole])
             rest = [x[starts[-1] :] for x in whole]
@@ -290,8 +272,79 @@ def candidates(points: DataFrame, percent: int, spanning: bool) -> DataFrame:
         if out:
             yield emit(out)
 
-    ordered = points.select("block", "set_key", "n", "vector", "label").repartition("block").sortWithinPartitions("block", "set_key")
-    return ordered.mapInArrow(run, "block long, a long, b long, rate double, degree long")
+    key = ["block", "part", "against"]
+    ordered = rows.select(*key, "set_key", "n", "vector", "label", *columns).repartition(*key).sortWithinPartitions(*key, "set_key")
+    return ordered.mapInArrow(run, schema)
+
+
+def nearest_candidates(points: DataFrame, parts: DataFrame, percent: int, most: int, turn: int = 0, pivots: int = 32) -> DataFrame:
+    """block, a, b, rate, degree and pivot: a few candidates of other labels for each of points(block, set_key, n, vector, label).
+
+    Each point gets the best one and the one that most points of its part have as a candidate (degree); where
+    a block has several parts also those two among its pivots, about as many points as given, which stand in
+    every part. Parts and pivots are drawn anew each turn.
+    """
+
+    def run_group(block: int, keys: np.ndarray, sizes: np.ndarray, vectors: np.ndarray, labels: np.ndarray, pivot: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        tree = RTree(vectors, sizes)
+        degree, every = np.zeros(len(keys), np.int64), []
+        for i in range(len(keys)):
+            found, bound = tree.search(vectors[i], int(sizes[i]), percent)
+            other = labels[found] != labels[i]
+            found, rate = found[other], bound[other] / (sizes[i] + sizes[found[other]])
+            degree[i] = len(found)
+            every.append((found.astype(np.int32), rate.astype(np.float32)))
+        for i, (found, rate) in enumerate(every):
+            take = []
+            for some in (np.arange(len(found)), np.flatnonzero(pivot[found])):
+                if len(some):
+                    # Ties go to the smallest key, so that all points of a group choose the same one.
+                    take += [some[np.argmax(rate[some])], some[np.lexsort((keys[found[some]], -degree[found[some]]))[0]]]
+            if take:
+                take = np.unique(take)
+                b = found[take]
+                yield np.full(len(b), block), np.full(len(b), keys[i]), keys[b], rate[take].astype(float), degree[b], pivot[b]
+
+    dealt = points.join(parts, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    pivot = (F.col("parts") > 1) & (F.pmod(F.xxhash64("set_key", F.lit(turn)), F.greatest(F.col("parts") * F.lit(most) / pivots, F.lit(1)).cast("long")) == 0)
+    own = F.array(F.pmod(F.xxhash64("set_key", F.lit(-1 - turn)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("pivot", pivot).withColumn("part", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own))).withColumn("against", F.lit(0))
+    return grouped(dealt, ["pivot"], run_group, "block long, a long, b long, rate double, degree long, pivot boolean")
+
+
+def few_pairs(nearest: DataFrame) -> DataFrame:
+    """Up to four pairs for each a of the nearest candidates: the best b and the most frequent one, of all and of the pivots."""
+    best, hub = F.struct("rate", "b"), F.struct("degree", -F.col("b"))
+    four = nearest.groupBy("a").agg(*[F.max_by("b", x) for x in (best, hub, F.when(F.col("pivot"), best), F.when(F.col("pivot"), hub))]).toDF("a", "w", "x", "y", "z")
+    return ordered_pairs(four.select("a", F.explode(F.array("w", "x", "y", "z")).alias("b")).filter("b is not null"))
+
+
+def all_candidates(points: DataFrame, parts: DataFrame, main: DataFrame, percent: int) -> DataFrame:
+    """a and b: every pair with different labels that the trees let pass, from points(block, set_key, n, vector, label).
+
+    main has the label most points of a block have: those points are searched for but don't search. Where a
+    block has several parts, each part of those that search meets each part of all its points in a group.
+    """
+
+    def run_group(_: int, keys: np.ndarray, sizes: np.ndarray, vectors: np.ndarray, labels: np.ndarray, searches: np.ndarray, held: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        there = np.flatnonzero(held)
+        if not len(there):
+            return
+        tree = RTree(vectors[there], sizes[there])
+        for i in np.flatnonzero(~held):
+            found = there[tree.search(vectors[i], int(sizes[i]), percent)[0]]
+            # Two points that both search meet once.
+            found = found[(labels[found] != labels[i]) & (~searches[found] | (keys[found] > keys[i]))]
+            if len(found):
+                yield np.full(len(found), keys[i]), keys[found]
+
+    dealt = points.join(main, "block").join(parts, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("searches", F.col("label") != F.col("main"))
+    own, every = F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = dealt.filter("searches").withColumn("part", own).withColumn("against", every).withColumn("held", F.lit(False))
+    # Only parts with points that search need the others.
+    asked = left.select("block", "part").distinct()
+    right = dealt.withColumn("against", own).join(asked, "block").withColumn("held", F.lit(True))
+    return grouped(left.unionByName(right), ["searches", "held"], run_group, "a long, b long")
 
 
 def second_look(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
@@ -345,14 +398,16 @@ def ordered_pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, common_share: float = 0.001, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, common_share: float = 0.001, block_points: int = 1024, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and n_copies (rows with the same set), per row of docs(doc_id, text).
 
     component_id is the smallest doc_id that links reach: links join sets with 100 * shared >= percent * all.
     Rows with equal sets are one point, so copies are never compared or paired. Null and wordless texts have
-    empty sets and are linked with nothing; texts shorter than k words are one shingle. Rows without doc_id
-    link nothing and have no component; rows that repeat a doc_id are points of their own. Empty tables give
-    empty ones; other columns aren't read. Shingles are compared by 64-bit hashes.
+    empty sets and are linked with nothing; texts shorter than k words are one shingle, and texts of any
+    length are taken whole, one at a time. Rows without doc_id link nothing and have no component; rows that
+    repeat a doc_id are points of their own. Empty tables give empty ones; other columns aren't read.
+    Shingles are compared by 64-bit hashes. A task holds the points of one part of a block, block_points and
+    some pivots, at a time: it settles how the work is dealt out, not what is found.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -362,26 +417,44 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, common_share
     points = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
     common = common_shingles(surveyed, sets.count(), common_share)
     met = scratch.table(blocks(prefix_rows(docs, k, percent, common)), "blocks")
+    parts = scratch.table(block_parts(met, block_points), "parts")
 
-    every = surveyed.filter("not common and doc_id is not null and n > 0").select("set_key", "n", "vector", "fine")
-    known = scratch.table(every.join(met.select("set_key").distinct(), "set_key", "left_semi").dropDuplicates(["set_key"]), "vectors")
+    # Copies go before the shuffle, task by task: one set may be that of a third of all rows.
+    every = surveyed.filter("not common and doc_id is not null and n > 0").select("set_key", "n", "vector", "fine").dropDuplicates(["set_key"])
+    known = scratch.table(every.join(met.select("set_key").distinct(), "set_key", "left_semi"), "vectors")
     vectors, fine = known.select("set_key", "n", "vector"), known.filter("fine is not null").select("set_key", "n", "fine")
 
-    nearest = scratch.table(candidates(met.join(vectors, "set_key").withColumn("label", F.col("set_key")), percent, spanning=True), "nearest")
-    two = nearest.groupBy("a").agg(F.max_by("b", F.struct("rate", "b")).alias("best"), F.max_by("b", F.struct("degree", -F.col("b"))).alias("hub"))
-    first = scratch.table(ordered_pairs(two.select("a", F.explode(F.array("best", "hub")).alias("b"))), "pairs")
-    links = scratch.table(verified(scratch.table(second_look(first, fine, percent), "pairs"), docs, points, k, percent, scratch), "links")
+    def linked(pairs: DataFrame) -> DataFrame:
+        return scratch.table(verified(scratch.table(second_look(pairs, fine, percent), "pairs"), docs, points, k, percent, scratch), "links")
+
+    nearest = scratch.table(nearest_candidates(met.join(vectors, "set_key").withColumn("label", F.col("set_key")), parts, percent, block_points), "nearest")
+    tested = scratch.table(few_pairs(nearest), "pairs")
+    links = linked(tested)
     joined = connected_components(links, scratch=scratch)
 
-    # Only points with a candidate can have more of them, and only where components are left apart.
+    # Only points with a candidate can have more of them, and those of blocks that were dealt out.
+    live = nearest.select("block", F.col("a").alias("set_key")).unionByName(met.join(parts, "block").select("block", "set_key"))
+    live = scratch.table(live.distinct(), "live")
     label = F.coalesce("label", F.col("set_key"))
-    live = nearest.select("block", F.col("a").alias("set_key")).distinct()
-    labelled = live.join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").select("block", "set_key", label.alias("label"))
-    mixed = labelled.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("block")
-    rest = candidates(labelled.join(mixed, "block").join(vectors, "set_key"), percent, spanning=False)
-    rest = scratch.table(ordered_pairs(rest), "pairs").join(first, ["a", "b"], "left_anti")
-    more = scratch.table(verified(scratch.table(second_look(rest, fine, percent), "pairs"), docs, points, k, percent, scratch), "links")
-    joined = scratch.table(connected_components(links.unionByName(more), scratch=scratch), "components")
+    before, turn = None, 0
+    while True:
+        # Blocks where components are left apart, and how many pairs they have at most.
+        labelled = scratch.table(live.join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").select("block", "set_key", label.alias("label")), "labelled")
+        main = labelled.groupBy("block", "label").agg(F.count("*").alias("n")).groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("all > most")
+        main = scratch.table(main, "main")
+        work = main.agg(F.coalesce(F.sum(F.expr("(all - most) * all")), F.lit(0))).first()[0]
+        mixed = labelled.join(main.select("block"), "block").join(vectors, "set_key")
+        # Another round of a few pairs a point pays where it leaves far fewer of all pairs.
+        if work <= 50 * block_points**2 or before and work > 0.7 * before:
+            break
+        before, turn = work, turn + 1
+        more = scratch.table(few_pairs(nearest_candidates(mixed, parts, percent, block_points, turn)).join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested, links = tested.unionByName(more), links.unionByName(linked(more))
+        joined = connected_components(links, scratch=scratch)
+
+    rest = ordered_pairs(all_candidates(mixed, parts, main.select("block", "main"), percent))
+    rest = scratch.table(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
+    joined = scratch.table(connected_components(links.unionByName(linked(rest)), scratch=scratch), "components")
 
     member = points.select("set_key", "rep", "n_copies").join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", label)
     least = member.groupBy("label").agg(F.min("rep").alias("component_id"))
