@@ -7,10 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch, utf8_values, window_hashes, word_bounds, word_hashes
 
+# Stands for the hash of a window that reaches beyond its text; hashes have 32 bits.
+_OUTSIDE = -1
+
 
 def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of a text, and where its words start and end."""
@@ -44,25 +48,54 @@ def anchors(windows: np.ndarray, span: int) -> np.ndarray:
     return np.unique(least_places(windows, span))
 
 
-def _rows(docs: DataFrame, length: int, span: int) -> DataFrame:
-    """doc_id, window (hash of length words) and at, of the anchors of every text."""
+def level_lengths(words: int, base: int) -> list[int]:
+    """Lengths from the base on, each twice the one before, for windows of so many words.
+
+    Around the base window that lies at any place of a full window there must be room for one of the longer
+    ones that begin a multiple of the base before it; that takes 2**level + 1 times the base.
+    """
+    base = min(base, (words + 1) // 2)
+    return [base * 2**level for level in range(words.bit_length()) if (2**level + 1) * base <= words + 1]
+
+
+def extensions(lengths: list[int]) -> list[tuple[int, int]]:
+    """Level and offset (in base lengths) of the windows around a base window, level by level; those of a level
+    add one of the level before to either side."""
+    return [(level, c) for level in range(1, len(lengths)) for c in range(2**level)]
+
+
+def _rows(docs: DataFrame, lengths: list[int], span: int) -> DataFrame:
+    """doc_id, window (hash of the base length) and at, of the anchors of every text, with hashes x0, x1 ... of the longer windows around each (null: beyond the text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    around = extensions(lengths)
+    names = ["doc_id", "window", "at", *[f"x{i}" for i in range(len(around))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, counts = [], []
             for text in utf8_values(batch.column(1)):
-                windows = window_hashes(hashed(text or b"")[0], length)
+                words = hashed(text or b"")[0]
+                windows = window_hashes(words, lengths[0])
                 at = anchors(windows, span)
-                found.append((windows[at].view(np.int64), at.astype(np.int32)))
+                longer = []
+                for level, c in around:
+                    there = window_hashes(words, lengths[level])
+                    start = at - c * lengths[0]
+                    inside = (start >= 0) & (start < len(there))
+                    short = np.full(len(at), _OUTSIDE, np.int64)
+                    short[inside] = (there[start[inside]] >> np.uint64(32)).astype(np.int64)
+                    longer.append(short)
+                found.append((windows[at].view(np.int64), at.astype(np.int32), *longer))
                 counts.append(len(at))
-            yield from _emit(batch.column(0), counts, found)
+            for out in _emit(batch.column(0), counts, found, names):
+                columns = [c if i < 3 else pc.cast(pc.if_else(pc.equal(c, _OUTSIDE), None, pc.subtract(c, 1 << 31)), pa.int32()) for i, c in enumerate(out.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, window long, at int")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, window long, at int" + "".join(f", {x} int" for x in names[3:]))
 
 
-def _emit(ids: pa.Array, counts: list[int], found: list[tuple[np.ndarray, np.ndarray]], size: int = 500_000) -> Iterator[pa.RecordBatch]:
-    """Batches of (id, hash, position), of about size rows."""
+def _emit(ids: pa.Array, counts: list[int], found: list[tuple[np.ndarray, ...]], names: list[str], size: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Batches of ids with the arrays found for each, of about size rows."""
     first = 0
     while first < len(counts):
         last, total = first, 0
@@ -71,33 +104,52 @@ def _emit(ids: pa.Array, counts: list[int], found: list[tuple[np.ndarray, np.nda
             last += 1
         if total:
             owner = pa.array(np.repeat(np.arange(first, last), counts[first:last]))
-            yield pa.RecordBatch.from_arrays([ids.take(owner), pa.array(np.concatenate([f[0] for f in found[first:last]])), pa.array(np.concatenate([f[1] for f in found[first:last]]))], ["doc_id", "window", "at"])
+            yield pa.RecordBatch.from_arrays([ids.take(owner), *[pa.array(np.concatenate(x)) for x in zip(*found[first:last], strict=True)]], names)
         first = last
 
 
-def _shared(rows: DataFrame, window: str = "window") -> DataFrame:
+def _shared(rows: DataFrame, *keys: str) -> DataFrame:
     """The windows that more than one document has, and the smallest of their doc_ids. Counts are summed before the shuffle."""
-    return rows.groupBy(window).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id").select(window, "first_id")
+    return rows.groupBy(*keys).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id").select(*keys, "first_id")
 
 
-def repeated_windows(docs: DataFrame, words: int = 50, scratch: Scratch | None = None) -> DataFrame:
+def surviving_anchors(known: DataFrame, lengths: list[int], span: int, scratch: Scratch) -> DataFrame:
+    """doc_id and at of the anchors around which every length is repeated in another document.
+
+    Level by level: a window that two documents have is extended to twice its length, to either side; one that
+    is in one document alone goes no further. Levels end when none is left.
+    """
+    base = _rows(known, lengths, span)
+    names = {pair: f"x{i}" for i, pair in enumerate(extensions(lengths))}
+    alive = base.join(scratch.table(_shared(base, "window").select("window"), "shared"), "window").withColumn("c", F.lit(0))
+    for level in range(1, len(lengths)):
+        # Windows of a level have the same base window in common, so short hashes of the rest tell them apart.
+        longer = F.array(*[F.col(names[level, c]) for c in range(2**level)])
+        alive = scratch.table(alive, "alive")
+        grown = alive.withColumn("c", F.explode(F.array("c", F.col("c") + 2 ** (level - 1)))).withColumn("x", F.get(longer, F.col("c"))).filter("x is not null")
+        shared = scratch.table(_shared(grown, "window", "c", "x").drop("first_id"), "shared")
+        alive = grown.join(shared, ["window", "c", "x"]).drop("x")
+        if shared.isEmpty():
+            break
+    return alive.select("doc_id", "at").distinct()
+
+
+def repeated_windows(docs: DataFrame, words: int = 50, base_words: int = 10, scratch: Scratch | None = None) -> DataFrame:
     """doc_id and at: the starts of windows of so many words whose words also start in a document with a smaller doc_id.
 
-    Level by level, lengths double up to words: the base level looks at windows of half the length, and of
-    those only at anchors, one in every run of windows that a full window has. Only where an anchor occurs
-    in two documents is it extended, to all full windows around it; those are compared in turn. What occurs
+    Lengths double from base_words on (10, 20, 40 for 50 words). The base level looks at anchors only, one in
+    every run of windows that a full window has; what is repeated there is extended to twice the length, and
+    so on, while anything survives. Around surviving anchors alone the full windows are compared in turn. What occurs
     in one document alone ends at the base level, so most of a corpus is never looked at in full length.
     Equality is that of 64-bit hashes. Rows without doc_id neither lose words nor cost others theirs. A window
     in a third of all documents is one row a task before the shuffle; the shared windows are written, so that
     the joins back have a plain shuffle on both sides and Spark can split the rows of a window among tasks.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    half = (words + 1) // 2
-    span = words - half + 1
+    lengths = level_lengths(words, base_words)
+    span = words - lengths[0] + 1
     known = docs.filter("doc_id is not null").select("doc_id", "text")
-    base = _rows(known, half, span)
-    survivors = base.join(scratch.table(_shared(base), "shared"), "window").select("doc_id", "at")
-    held = survivors.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    held = surviving_anchors(known, lengths, span, scratch).groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("ats"))
     extended = known.join(held, "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -108,14 +160,16 @@ def repeated_windows(docs: DataFrame, words: int = 50, scratch: Scratch | None =
                 hashes = hashed(text or b"")[0]
                 windows = window_hashes(hashes, words)
                 alive = np.zeros(len(hashes), bool)
-                alive[np.asarray(ats.values, np.int64)] = True
-                at = np.flatnonzero(alive[least_places(window_hashes(hashes, half), span)])
+                ats = np.asarray(ats.values, np.int64)
+                # Rows that repeat a doc_id may have other texts, with other places.
+                alive[ats[ats < len(hashes)]] = True
+                at = np.flatnonzero(alive[least_places(window_hashes(hashes, lengths[0]), span)])
                 found.append((windows[at].view(np.int64), at.astype(np.int32)))
                 counts.append(len(at))
-            yield from _emit(batch.column(0), counts, found)
+            yield from _emit(batch.column(0), counts, found, ["doc_id", "window", "at"])
 
     full = scratch.table(extended.mapInArrow(extend, f"doc_id {kind}, window long, at int"), "windows")
-    return full.join(scratch.table(_shared(full), "shared"), "window").filter("doc_id > first_id").select("doc_id", "at")
+    return full.join(scratch.table(_shared(full, "window"), "shared"), "window").filter("doc_id > first_id").select("doc_id", "at")
 
 
 def remove_repeats(docs: DataFrame, words: int = 50, digest: bool = False, scratch: Scratch | None = None) -> DataFrame:
@@ -124,11 +178,11 @@ def remove_repeats(docs: DataFrame, words: int = 50, digest: bool = False, scrat
     Every word in a window of so many words is removed whose words also start in a document with a smaller
     doc_id, as judged on the input. What is kept of a changed text is its lines, with words that stood in one
     line joined by one space; a text that loses nothing stays as it is, and n_chars follows if there is one.
-    The digest is that of all kept words joined by one space. Null texts have no words. Rows with the same
+    The digest is that of all kept words joined by one space. Null texts have no words, and texts of any length are taken whole, one at a time. Rows with the same
     doc_id don't count as earlier than each other, and each loses what any of them has to lose at that
     place; rows without doc_id stay as they are. Empty tables give empty ones; other columns pass through.
     """
-    lost = repeated_windows(docs, words, scratch).groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("__at")).withColumnRenamed("doc_id", "__id")
+    lost = repeated_windows(docs, words, scratch=scratch).groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("__at")).withColumnRenamed("doc_id", "__id")
     joined = docs.join(lost, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     names = docs.columns
     where = {n: i for i, n in enumerate(names)}
