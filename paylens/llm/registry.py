@@ -85,13 +85,17 @@ LICENSE_SQL = f"""
     p AS (SELECT doc_id, i, CASE {" ".join(f"WHEN {' AND '.join(f'{v} = {chr(39)}{word}{chr(39)}' for v, word in zip('abc', phrase.split(), strict=False))} THEN '{label}'" for phrase, label in PHRASES.items())} END AS label FROM x),
     base AS (SELECT doc_id, count(label) AS n_base, min(i) FILTER (WHERE label IS NOT NULL) AS first_word, max(i) FILTER (WHERE label IS NOT NULL) AS last_word, list(DISTINCT label) FILTER (WHERE label IS NOT NULL) AS found FROM p GROUP BY 1),
     g AS (SELECT doc_id, i, a || ' ' || b || ' ' || c AS g FROM x WHERE c <> ''),
-    tg AS (SELECT id, label, len(w) - 2 AS grams, unnest(range(len(w) - 2)) AS j, unnest(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' '))) AS g FROM t),
-    h AS (SELECT DISTINCT doc_id, id, label, grams, i - j AS diagonal, j FROM g JOIN tg USING (g)),
-    v AS (SELECT doc_id, id, label, grams, diagonal, list(j) AS js FROM h GROUP BY ALL),
+    tg AS (SELECT id, label, w AS tw, len(w) - 2 AS grams, unnest(range(len(w) - 2)) AS j, unnest(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' '))) AS g FROM t),
+    h AS (SELECT DISTINCT doc_id, id, label, tw, grams, i - j AS diagonal, j FROM g JOIN tg USING (g)),
+    v AS (SELECT doc_id, id, label, tw, grams, diagonal, list(j) AS js FROM h GROUP BY ALL),
     m AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= 3 THEN 0 ELSE 1 END AS fresh FROM v WINDOW w AS (PARTITION BY doc_id, id ORDER BY diagonal)),
     n AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, id ORDER BY diagonal) AS band FROM m),
-    s AS (SELECT doc_id, label, len(list_distinct(flatten(list(js)))) / grams AS coverage FROM n GROUP BY doc_id, id, label, grams, band),
-    o AS (SELECT doc_id, list(DISTINCT label) AS labels, max(coverage) AS coverage FROM s WHERE coverage >= 0.6 GROUP BY 1)
+    s AS (SELECT doc_id, label, tw, grams, min(diagonal) AS low, max(diagonal) AS high, len(list_distinct(flatten(list(js)))) AS hit FROM n GROUP BY doc_id, id, label, tw, grams, band),
+    z AS (SELECT doc_id, label, tw, w[greatest(low, 0) + 1:least(high + len(tw), len(w))] AS span FROM s JOIN d USING (doc_id) WHERE hit >= 0.4 * grams),
+    -- Edit distance by rows: a row's own dependence is the running least of what comes from the row before.
+    e AS (SELECT doc_id, label, tw, list_reduce(list_transform(span, lambda x: {{'w': x, 'r': cast([] AS bigint[])}}), lambda a, x: {{'w': x.w, 'r': list_transform(range(0, len(tw) + 1), lambda j: j + list_min(list_transform(range(0, j + 1),
+      lambda k: CASE WHEN k = 0 THEN a.r[1] + 1 ELSE least(a.r[k + 1] + 1, a.r[k] + CASE WHEN tw[k] = x.w THEN 0 ELSE 1 END) END - k)))}}, {{'w': '', 'r': range(0, len(tw) + 1)}}).r[-1] AS edits FROM z),
+    o AS (SELECT doc_id, list(DISTINCT label) AS labels, max(1 - edits / len(tw)) AS coverage FROM e WHERE 1 - edits / len(tw) >= 0.6 GROUP BY 1)
     SELECT doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(found), ','), '') AS base_labels,
     coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(found, []), coalesce(labels, [])))), ','), '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(coverage, 0.0) END AS score
     FROM d LEFT JOIN base USING (doc_id) LEFT JOIN o USING (doc_id)"""
