@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import scratch_path, utf8_values
+from .common import Scratch, utf8_values
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
@@ -79,9 +79,11 @@ def records(identifier: str, url: str, payload: bytes, digest: str, page_id: str
         yield record("continuation", [("WARC-Record-ID", f"<urn:page:{identifier}/{n}>"), ("WARC-Date", date), ("WARC-Segment-Origin-ID", f"<urn:page:{identifier}>"), ("WARC-Segment-Number", str(n)), *last], part)
 
 
-def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 1000, chunk_bytes: int = 8192, segment_bytes: int = 65536, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 50_000) -> None:
+def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 1000, chunk_bytes: int = 1024, segment_bytes: int = 4096, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 64_000_000, scratch: Scratch | None = None) -> None:
     """Write one WARC record (or a segmented one) per row of pages(page_id, url, html) to gzip files in path.
 
+    Blocks beyond segment_bytes are cut into segments, so no record is much longer than that, and files end at
+    as many records as make about file_bytes before compression.
     Of the rows with equal payloads of at least min_revisit_bytes, those with the largest page_id become
     response, the others revisit it; a null html is an empty payload, and rows that share the largest id are
     all response. A row without page_id is response if its payload is not found under an id. Which payloads
@@ -92,7 +94,9 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 1000, c
     keyed = keyed.withColumn("digest", F.sha1("html"))
     sizes = keyed.filter(F.octet_length("html") >= min_revisit_bytes).select("page_id", "digest")
     shared = sizes.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null")
-    revisits = sizes.join(shared.select("digest", "refers_to"), "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("revisit_id"), F.col("digest").alias("revisit_digest"), "refers_to").distinct()
+    # Written, so that both sides of the join have a plain shuffle and Spark can split a digest that many pages share.
+    shared = (scratch or Scratch(pages.sparkSession)).table(shared.select("digest", "refers_to"), "shared")
+    revisits = sizes.join(shared, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("revisit_id"), F.col("digest").alias("revisit_digest"), "refers_to").distinct()
     rows = keyed.join(revisits, F.col("page_id").eqNullSafe(F.col("revisit_id")) & (F.col("digest") == F.col("revisit_digest")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,21 +109,25 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 1000, c
             # The writer adds the last line feed.
             yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in out], pa.binary()).cast(pa.string())], ["value"])
 
-    rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "value string").write.option("maxRecordsPerFile", records_per_file).option("lineSep", "\n").option("compression", "gzip").text(path)
+    rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "value string").write.option("maxRecordsPerFile", max(1, file_bytes // segment_bytes)).option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
-def inflate(content: bytes, size: int = 1 << 20) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or more members, or of a plain file."""
+def inflate(content: bytes, size: int = 1 << 15) -> Iterator[bytes]:
+    """The bytes of a gzip file of one or more members, or of a plain file.
+
+    A member may be one record: what the last piece holds beyond its end is read again for the next one, a
+    piece at most.
+    """
     if content[:2] != b"\x1f\x8b":
         yield content
         return
-    rest = content
-    while rest:
-        z, at = zlib.decompressobj(31), 0
-        while not z.eof and at < len(rest):
-            yield z.decompress(rest[at : at + size])
-            at += size
-        rest = z.unused_data + rest[at:] if z.eof else b""
+    whole, at = memoryview(content), 0
+    while at < len(whole):
+        z = zlib.decompressobj(31)
+        while not z.eof and at < len(whole):
+            yield z.decompress(whole[at : at + size])
+            at = min(at + size, len(whole))
+        at -= len(z.unused_data)
 
 
 def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -170,7 +178,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     Whole records are decoded where they are read. Segments alone are shuffled, by the identifier of the
     record they belong to; a record is put together once all its numbers from 1 on are there and their
     length is the total that the last one states, otherwise the job fails with the identifier. Files are read
-    whole, one a task at a time, so their size (records_per_file) bounds the memory. payloads=False leaves
+    whole, one a task at a time, so their size (file_bytes) bounds the memory. payloads=False leaves
     the payload null, for callers that need digests only. Empty folders give no rows.
     """
 
@@ -235,14 +243,17 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def warc_round_trip(pages: DataFrame, path: str | None = None, payloads: bool = False) -> DataFrame:
-    """Write pages to archives in path (a new folder of the shared ones by default) and read them back.
+def warc_round_trip(pages: DataFrame, path: str | None = None, payloads: bool = False, scratch: Scratch | None = None, **options) -> DataFrame:
+    """Write pages to archives in path and read them back; options as in write_archives.
 
-    page_id and refers_to come back in the type of pages.page_id. See write_archives and read_archives for
-    nulls, ties and repeated rows; columns other than page_id, url and html are not read.
+    By default the archives are scratch, in a new folder of the shared ones, which the caller's scratch
+    discards once the result is written. page_id and refers_to come back in the type of pages.page_id. See
+    write_archives and read_archives for nulls, ties and repeated rows; very long pages are cut into segments,
+    an empty table gives an empty one, and columns other than page_id, url and html are not read.
     """
-    path = path or scratch_path(pages.sparkSession, "warc")
+    scratch = scratch or Scratch(pages.sparkSession)
+    path = path or scratch.path("warc")
     kind = pages.schema["page_id"].dataType
-    write_archives(pages, path)
+    write_archives(pages, path, scratch=scratch, **options)
     back = read_archives(pages.sparkSession, path, payloads)
     return back.withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})
