@@ -100,34 +100,54 @@ def _references(rows: DataFrame) -> DataFrame:
 
 
 def _nearest(rows: DataFrame, references: DataFrame) -> DataFrame:
-    """rows with best: the language with the nearest words, and the distances to it."""
+    """rows with best, the language with the nearest words and the distances to it, and foreign: a language without a reference."""
     distances = F.transform("refs", lambda r: F.struct(divergence(F.col("words"), r.w).alias("word_distance"), divergence(F.col("classes"), r.c).alias("character_distance"), r.lang.alias("nearest")))
-    return rows.join(F.broadcast(references)).withColumn("best", F.when(F.col("n_words") > 0, F.array_min(distances))).drop("refs")
+    foreign = F.col("lang").isNotNull() & ~F.exists("refs", lambda r: r.lang == F.col("lang"))
+    return rows.join(F.broadcast(references)).withColumns({"best": F.when(F.col("n_words") > 0, F.array_min(distances)), "foreign": foreign}).drop("refs")
 
 
-def quality_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, min_histogram_words: int = 50, max_character_distance: float = 0.35, max_word_distance: float = 0.5, max_both: tuple[float, float] = (0.185, 0.21), languages: tuple[str, ...] = tuple(COMMON_WORDS), scratch: Scratch | None = None) -> DataFrame:
+def document_histograms(counts: DataFrame, min_words: int, max_repeat_percent: int) -> DataFrame:
+    """document_counts with base_failed, and the shares of character classes and of common words."""
+    classes = _shares([F.col(c) for c in ("n_symbols", "n_upper", "n_digit", "n_punctuation", "n_wide")], F.col("word_chars") + F.col("n_wide"))
+    words = _shares([F.col("word_counts")[i] for i in range(len(WORD_LIST))], F.col("n_words"))
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    return counts.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), classes.alias("classes"), words.alias("words"))
+
+
+def language_references(histograms: DataFrame, languages: tuple[str, ...] = tuple(COMMON_WORDS), min_histogram_words: int = 50, max_character_distance: float = 0.35, max_word_distance: float = 0.5) -> DataFrame:
+    """One row with refs, the mean shares of each language's documents that pass the base rules and aren't far from the mean of all those.
+
+    Junk that the base rules let pass would blur the means: those far from the first means don't count for the
+    second. Written once, the row can judge later corpora by the same measure.
+    """
+    known = histograms.filter(F.col("lang").isin(list(languages)) & ~F.col("base_failed") & (F.col("n_words") >= min_histogram_words))
+    first = _nearest(known, _references(known))
+    return _references(first.filter((F.col("best.character_distance") <= max_character_distance) & (F.col("best.word_distance") <= max_word_distance)))
+
+
+def quality_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, min_histogram_words: int = 50, max_character_distance: float = 0.35, max_word_distance: float = 0.5, max_both: tuple[float, float] = (0.185, 0.21), languages: tuple[str, ...] = tuple(COMMON_WORDS), references: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distances and kept.
 
-    The references are the mean shares, per language, of character classes and common words over all
-    documents that pass the base rules and aren't far from the means of all those; a document is compared with
-    the language whose words are nearest.
-    It is kept if it passes the base rules and each distance is within its bound and not both are over those of
-    max_both, or if it has too few words
-    for a histogram to say anything (min_histogram_words) or there are no references. Null text counts as
-    none: 0 words, base_failed. Null ids and repeated rows keep rows of their own, an empty table gives an
-    empty one; columns beyond doc_id, text and lang are not read, and a null lang only keeps a document out
-    of the references. One pass reads the texts; its counts are written once and serve references and
+    The references are the mean shares, per language, of character classes and common words: those of
+    language_references over all documents, unless a row of references is given. A document is compared with
+    the language whose words are nearest. It is kept if it passes the base rules and each distance is within
+    its bound and not both are over those of max_both, or if it has too few words for a histogram to say
+    anything (min_histogram_words), or if there is no reference for its language: then the base rules alone
+    decide. A document without lang is held against all references; equal distances go to the first language by name.
+    Null text counts as none: 0 words, base_failed. Texts of any length are counted whole. Null ids and
+    repeated rows keep rows of their own, an empty table gives an empty one; columns beyond doc_id, text and
+    lang are not read. One pass reads the texts; its counts are written once and serve references and
     verdicts. The references have one row a language and are broadcast.
     """
     counts = (scratch or Scratch(docs.sparkSession)).table(document_counts(docs), "quality")
-    classes = _shares([F.col(c) for c in ("n_symbols", "n_upper", "n_digit", "n_punctuation", "n_wide")], F.col("word_chars") + F.col("n_wide"))
-    words = _shares([F.col("word_counts")[i] for i in range(len(WORD_LIST))], F.col("n_words"))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    rows = counts.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), classes.alias("classes"), words.alias("words"))
-    known = rows.filter(F.col("lang").isin(list(languages)) & ~F.col("base_failed") & (F.col("n_words") >= min_histogram_words))
-    # Junk that the base rules let pass would blur the means: those far from the first means don't count for the second.
-    first = _nearest(known, _references(known))
-    judged = _nearest(rows, _references(first.filter((F.col("best.character_distance") <= max_character_distance) & (F.col("best.word_distance") <= max_word_distance))))
+    rows = document_histograms(counts, min_words, max_repeat_percent)
+    if references is None:
+        references = language_references(rows, languages, min_histogram_words, max_character_distance, max_word_distance)
+    judged = _nearest(rows, references)
     far_in_both = (F.col("best.character_distance") > max_both[0]) & (F.col("best.word_distance") > max_both[1])
-    fits = (F.col("n_words") < min_histogram_words) | F.col("best").isNull() | ((F.col("best.character_distance") <= max_character_distance) & (F.col("best.word_distance") <= max_word_distance) & ~far_in_both)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fits).alias("kept"), F.col("best.nearest").alias("nearest_language"), F.col("best.character_distance"), F.col("best.word_distance"))
+    near = (F.col("best.character_distance") <= max_character_distance) & (F.col("best.word_distance") <= max_word_distance) & ~far_in_both
+    fits = (F.col("n_words") < min_histogram_words) | F.col("best").isNull() | F.col("foreign") | near
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fits).alias("kept"),
+        F.col("best.nearest").alias("nearest_language"), F.col("best.character_distance"), F.col("best.word_distance"),
+    )

@@ -140,7 +140,7 @@ QUALITY_SQL = rf"""
     r1 AS ({references("a")}), k AS (SELECT * FROM a WHERE lang IN ({", ".join(repr(x) for x in COMMON_WORDS)}) AND NOT base_failed AND n_words >= 50), n1 AS ({nearest("k", "r1")}),
     r2 AS ({references("(SELECT * FROM n1 WHERE best.cd <= 0.35 AND best.wd <= 0.5)")}), n2 AS ({nearest("a", "r2")})
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT base_failed AND (n_words < 50 OR (best.cd <= 0.35 AND best.wd <= 0.5 AND NOT (best.cd > 0.185 AND best.wd > 0.21))) AS kept FROM n2"""
+    NOT base_failed AND (n_words < 50 OR (lang IS NOT NULL AND lang NOT IN (SELECT lang FROM r2)) OR (best.cd <= 0.35 AND best.wd <= 0.5 AND NOT (best.cd > 0.185 AND best.wd > 0.21))) AS kept FROM n2"""
 
 SQL: dict[str, str] = {
     "op2_warc": """
