@@ -398,7 +398,7 @@ def ordered_pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, common_share: float = 0.001, block_points: int = 1024, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, common_share: float = 0.001, block_points: int = 256, enough_pairs: int = 50_000_000, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and n_copies (rows with the same set), per row of docs(doc_id, text).
 
     component_id is the smallest doc_id that links reach: links join sets with 100 * shared >= percent * all.
@@ -407,7 +407,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, common_share
     length are taken whole, one at a time. Rows without doc_id link nothing and have no component; rows that
     repeat a doc_id are points of their own. Empty tables give empty ones; other columns aren't read.
     Shingles are compared by 64-bit hashes. A task holds the points of one part of a block, block_points and
-    some pivots, at a time: it settles how the work is dealt out, not what is found.
+    some pivots, at a time; rounds of a few pairs a point go on while more than enough_pairs pairs may be left.
+    Both settle how the work is dealt out, not what is found.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -445,7 +446,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, common_share
         work = main.agg(F.coalesce(F.sum(F.expr("(all - most) * all")), F.lit(0))).first()[0]
         mixed = labelled.join(main.select("block"), "block").join(vectors, "set_key")
         # Another round of a few pairs a point pays where it leaves far fewer of all pairs.
-        if work <= 50 * block_points**2 or before and work > 0.7 * before:
+        if work <= enough_pairs or before and work > 0.7 * before:
             break
         before, turn = work, turn + 1
         more = scratch.table(few_pairs(nearest_candidates(mixed, parts, percent, block_points, turn)).join(tested, ["a", "b"], "left_anti"), "pairs")

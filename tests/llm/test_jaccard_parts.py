@@ -28,8 +28,8 @@ def families(seed, size):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("most", [16, 50, 1024])
-def test_parts_lose_no_link(spark, most):
+@pytest.mark.parametrize(("most", "enough"), [(16, 0), (16, 10**9), (50, 0), (1024, 10**9)])
+def test_parts_lose_no_link(spark, most, enough):
     docs = families(most, 60)
-    got = jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), block_points=most).collect()
+    got = jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), block_points=most, enough_pairs=enough).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(docs)
