@@ -3,7 +3,8 @@
 Merges run over a segment tree whose leaves hold, for each adjacent pair of symbols, the pair's rank and
 position as one number. The root is the leftmost pair of the lowest rank; a merge changes three leaves and
 the paths above them, so a word of n bytes takes O(n log n). Many words are merged at once: words of like
-length form the rows of an array, and each step merges the root pair of every row that still has one.
+length form the rows of an array, and each step merges the root pair of every row that still has one; the few words
+of a rare length, long ones above all, have a tree each.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ _NONE = np.int64(2**62)
 _POSITION_BITS = 40
 # Bytes of words merged at once: the arrays stay in the processor's cache.
 STEP = 30_000
+# Below so many words of a length each is merged by itself.
+FEW = 24
 
 
 def byte_symbols() -> dict[str, int]:
@@ -63,6 +66,7 @@ class Merger:
 
     def __init__(self, vocabulary: dict):
         self.single, self.keys, self.rank, self.made = (vocabulary[k] for k in ("single", "keys", "rank", "made"))
+        self.pairs: dict[int, tuple[int, int]] | None = None
         # The sum of a pair's ids picks a slot; only pairs whose slot is used are looked up.
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self._slot(self.keys)] = True
@@ -89,6 +93,8 @@ class Merger:
         ids = self.single[np.frombuffer(b"".join(words), np.uint8)].reshape(count, n)
         if n == 1:
             return [x.tobytes() for x in ids.astype("<u4")]
+        if count < FEW:
+            return [self.merge_one(row) for row in ids.tolist()]
         # All arrays are flat: word i holds ids from i * step on, with one more place for the word's end, and
         # its tree from i * size on, with the root at 1 and the leaves from width on.
         step, width = n + 1, 1 << (n - 2).bit_length() if n > 2 else 1
@@ -138,6 +144,48 @@ class Merger:
         data, ends = flat[keep].astype("<u4").tobytes(), np.cumsum(keep.sum(axis=1)) * 4
         return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
+    def merge_one(self, ids: list[int]) -> bytes:
+        """The same for one word, in plain numbers: steps over an array pay only for many words at once."""
+        if self.pairs is None:
+            self.pairs = dict(zip(self.keys.tolist(), zip((self.rank << _POSITION_BITS).tolist(), self.made.tolist(), strict=True), strict=True))
+        n, pairs, none = len(ids), self.pairs, int(_NONE)
+        unknown = (none, -1)
+        after, before = [*range(1, n), n], [-1, *range(n - 1)]
+        width = 1 << (n - 2).bit_length() if n > 2 else 1
+        tree = [none] * (2 * width)
+        for i in range(n - 1):
+            rank = pairs.get(ids[i] << 32 | ids[i + 1], unknown)[0]
+            tree[width + i] = rank | i if rank < none else none
+        for node in range(width - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+
+        def update(leaf: int, rank: int) -> None:
+            node = leaf + width
+            tree[node] = rank | leaf if rank < none else none
+            node >>= 1
+            while node:
+                least = min(tree[2 * node], tree[2 * node + 1])
+                if tree[node] == least:
+                    return
+                tree[node] = least
+                node >>= 1
+
+        while tree[1] < none:
+            at = tree[1] & ((1 << _POSITION_BITS) - 1)
+            gone = after[at]
+            new = ids[at] = pairs[ids[at] << 32 | ids[gone]][1]
+            ids[gone] = -1
+            right, left = after[gone], before[at]
+            after[at] = right
+            if right < n:
+                before[right] = at
+            update(at, pairs.get(new << 32 | ids[right], unknown)[0] if right < n else none)
+            if gone < n - 1:
+                update(gone, none)
+            if left >= 0:
+                update(left, pairs.get(ids[left] << 32 | new, unknown)[0])
+        return np.array([i for i in ids if i >= 0], "<u4").tobytes()
+
 
 class Codec:
     """Encodes and decodes texts. memo bounds the remembered words, not the texts: a full memory starts anew."""
@@ -232,7 +280,8 @@ def bpe_round_trip(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_
     """id, n_tokens, ids (little-endian unsigned 32-bit integers) and the decoded text of every whole text.
 
     A null text counts as empty: no ids, an empty text. Null ids, repeated rows and ties stay rows of their
-    own; an empty table gives an empty one. Other columns aren't read. The only state is the vocabulary,
+    own; an empty table gives an empty one. Texts of any length are coded whole, a word without a space or other
+    break too: its tree grows with it. Other columns aren't read. The only state is the vocabulary,
     broadcast once (its size is fixed), and a bounded memory of words in each task, so a lost task is
     simply run again. Nothing is shuffled.
     """
