@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import held_out, mix64, utf8_values, word_hashes
 
 BUCKETS = 1 << 20
+# Lengths in bytes of the beginnings of words that count as features.
+BEGINNINGS = (4, 6)
 
 # Letters and digits; A-Z count as lower case.
 _LETTER = np.zeros(256, bool)
@@ -20,20 +22,29 @@ _LOWER[65:91] += 32
 
 
 def word_buckets(text: bytes) -> np.ndarray:
-    """The bucket of each run of letters and digits in a whole text, repeats included."""
+    """The buckets of each run of letters and digits in a whole text and of its first bytes, repeats included.
+
+    Beginnings bring the forms of a word together, also those that no training text has.
+    """
     data = np.frombuffer(text, np.uint8)
     edge = np.diff(np.concatenate([[False], _LETTER[data], [False]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return np.zeros(0, np.int32)
-    return (mix64(word_hashes(_LOWER[data], starts, ends)) >> np.uint64(44)).astype(np.int32)
+    lower = _LOWER[data]
+    parts = [word_hashes(lower, starts, ends)]
+    for n in BEGINNINGS:
+        long = ends - starts > n
+        parts.append(word_hashes(lower, starts[long], starts[long] + n) + np.uint64(n))
+    return (mix64(np.concatenate(parts)) >> np.uint64(44)).astype(np.int32)
 
 
 def select_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], min_ratio: float = 2.0, min_evidence: float = 7.0) -> np.ndarray:
     """Buckets that positive texts have more often than chance explains, given their share of unlabelled texts.
 
     With k positive texts where the unlabelled ones let e expect, the evidence is k log(k / e) - (k - e),
-    the negative logarithm of Chernoff's bound for so many by chance.
+    the negative logarithm of Chernoff's bound for so many by chance. A lower bound lets words in that a few
+    positive texts have by chance, and clean texts are rejected for them.
     """
     p, u = (np.bincount(np.concatenate(x), minlength=BUCKETS) if len(x) else np.zeros(BUCKETS, int) for x in (positive, unlabelled))
     expected = (u + 0.5) / (len(unlabelled) + 1) * len(positive)
@@ -78,11 +89,12 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_positive: int = 3000, max_unlabelled: int = 9000, classifiers: int = 3) -> list[tuple[int, float]]:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_positive: int = 3000, max_unlabelled: int = 9000, classifiers: int = 3, max_values: int = 50_000_000) -> list[tuple[int, float]]:
     """Weights by bucket (BUCKETS: the bias), the mean of several classifiers learnt in one task.
 
     Positives are training rows labelled 1, at most max_positive; unlabelled are any documents, at most
-    max_unlabelled, whatever their labels, which aren't looked at; both are those of the smallest hashes.
+    max_unlabelled, whatever their labels, which aren't looked at; both are those of the smallest hashes. Each
+    side ends earlier where its texts have max_values features, 4 bytes each, so the task's memory has a bound.
     The class prior is the share of label 1 among all training labels.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
@@ -104,9 +116,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_p
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides: tuple[list, list] = ([], [])
+        held = [0, 0]
         for b in batches:
             for kind, words in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                sides[kind].append(np.frombuffer(words, np.int32))
+                if held[kind] < max_values:
+                    sides[kind].append(np.frombuffer(words, np.int32))
+                    held[kind] += len(words) // 4
         chosen = select_words(sides[1], sides[0])
         place = np.full(BUCKETS, -1)
         place[chosen] = np.arange(len(chosen))
@@ -124,7 +139,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", th
 
     bounds as in fit_toxicity. Labels are learnt only from rows that aren't held out; lang, source and ids
     are no inputs. Null texts are empty and get the score of the bias; without positive labels every score is
-    0. Null ids aren't held out; repeated rows keep rows of their own, an empty table gives an empty one,
+    0. Texts of any length are scored whole. Null ids aren't held out; repeated rows keep rows of their own,
+    equal texts have equal scores, a score at the threshold is 1, an empty table gives an empty one,
     other columns aren't read. The weights (2**20 at most) are broadcast; scoring shuffles nothing.
     """
     weights = np.zeros(BUCKETS + 1)
@@ -154,7 +170,11 @@ def scores(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.7, **bounds: int) -> DataFrame:
-    """The rows of docs, all columns as they are, whose score stays below the threshold."""
+    """The rows of docs, all columns as they are, whose score stays below the threshold.
+
+    As toxicity_scores: null texts are empty and stay, as do all rows where no label is positive; null ids,
+    repeated rows and empty tables pass through.
+    """
     weights = np.zeros(BUCKETS + 1)
     weights[BUCKETS] = -30.0
     for bucket, weight in fit_toxicity(docs, labels, label, **bounds):
