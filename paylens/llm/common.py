@@ -82,7 +82,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_of_base(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the polynomials' base from 0 to n at least, and their inverses modulo 2**64."""
     global _POWERS, _INVERSES
     if len(_POWERS) < n:
         size = max(n, 1 << 16)
@@ -99,7 +100,7 @@ def word_bounds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word: differences of prefix sums of a polynomial, shifted to the word's start."""
-    powers, inverses = _powers(len(text) + 1)
+    powers, inverses = powers_of_base(len(text) + 1)
     sums = np.zeros(len(text) + 1, np.uint64)
     np.cumsum(_BYTES[text] * powers[: len(text)], out=sums[1:])
     return mix64((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
@@ -109,7 +110,7 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of each run of n word hashes, in order; none where there are fewer."""
     if len(words) < n:
         return words[:0]
-    powers, inverses = _powers(len(words) + 1)
+    powers, inverses = powers_of_base(len(words) + 1)
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * powers[: len(words)], out=sums[1:])
     count = len(words) - n + 1

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, mix64, utf8_values, window_hashes, word_bounds, word_hashes
+from .common import held_out, mix64, powers_of_base, utf8_values, window_hashes, word_bounds, word_hashes
 
 BUCKETS = 1 << 18
 
@@ -36,12 +36,10 @@ def shapes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 def window_sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """A hash of values[first:last], in order, for each pair."""
-    n = np.minimum(last - first, 12)
-    out = np.zeros(len(first), np.uint64)
-    for i in range(int(n.max()) if len(n) else 0):
-        has = i < n
-        out[has] = mix64(out[has] * np.uint64(31) + values[first[has] + i])
-    return out
+    powers, inverses = powers_of_base(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers[: len(values)], out=sums[1:])
+    return mix64((sums[last] - sums[first]) * inverses[first] + (last - first).astype(np.uint64))
 
 
 def document_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +98,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("place", "label", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 8000) -> list[tuple[int, float]]:
-    """Weights other than 0 by bucket, learnt in one task from at most max_rows labelled whole texts."""
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 8000, max_values: int = 40_000_000) -> list[tuple[int, float]]:
+    """Weights other than 0 by bucket, learnt in one task from at most max_rows labelled whole texts.
+
+    Texts are taken in the order of their ids' hashes until they have max_values features, 8 bytes each: the
+    task's memory has a bound however long they are.
+    """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +111,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["place", "label", "index", "value"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(y, np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for b in batches for y, i, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        rows, held = [], 0
+        for b in batches:
+            for y, i, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if held < max_values:
+                    rows.append((y, np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)))
+                    held += len(v) // 4
         w = train_ftrl(rows)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at], pa.float64())], ["bucket", "weight"])
@@ -125,8 +132,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", m
     The score is the logistic function of a sparse dot product of the text's hashed n-grams with the fitted
     weights. Labels are learnt only from rows that aren't held out, at most max_rows of them; lang, source
     and ids are no inputs. Null texts are empty and get the score of the bias; without any labels every score
-    is 0.5. Null ids aren't held out; repeated rows keep rows of their own, an empty table gives an empty
-    one, other columns aren't read. The fitted weights (2**18 at most) are broadcast; scoring shuffles nothing.
+    is 0.5. Texts of any length are scored whole. Null ids aren't held out; repeated rows keep rows of their own
+    and count once each if they are labelled, equal texts have equal scores, a score at the threshold is 1, an
+    empty table gives an empty one, other columns aren't read. The fitted weights (2**18 at most) are broadcast; scoring shuffles nothing.
     """
     weights = np.zeros(BUCKETS + 1)
     for bucket, weight in fit_quality(docs, labels, label, max_rows):

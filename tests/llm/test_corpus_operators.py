@@ -1,7 +1,9 @@
 """Each operator against a plain version, and on odd rows."""
 
 import hashlib
+import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -50,6 +52,17 @@ def test_bpe_forgets_words_but_not_texts():
     assert list(small.encode(samples)) == list(large.encode(samples))
 
 
+def test_bpe_codes_long_words():
+    reference = Tokenizer.from_file(VOCABULARY)
+    rng = random.Random(1)
+    made = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000)), "日本語" * 7000, "ab" * 30_000, "x" * 50_001, *("word" * i for i in range(1, 90))]
+    began = time.time()
+    codec = bpe.Codec(bpe.load_vocabulary(VOCABULARY))
+    for text, ids in zip(made, codec.encode(made), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+    assert time.time() - began < 30
+
+
 def test_warc(spark, tmp_path):
     long = "<p>" + "ü\r\n\r\nWARC/1.1\r\n" * 9000 + "</p>"
     rows = [(1, "http://a", long), (2, "http://b", long), (3, "http://c", "short"), (4, "http://d", "short"), (5, None, None), (6, "u\r\nv", ""), (None, None, "x" * 2000), (7, "e", "y" * 1500), (7, "e", "y" * 1500)]
@@ -133,18 +146,31 @@ def test_quality_classifier(spark, odd_docs):
     odd = quality_model.quality_scores(odd_docs, labels)
     assert odd.count() == odd_docs.count() and odd.filter("score is null or score < 0 or score > 1").count() == 0
     assert quality_model.quality_scores(odd_docs, labels.limit(0)).filter("score = 0.5").count() == odd_docs.count()
+    assert quality_model.quality_scores(odd_docs.limit(0), labels).count() == 0
 
 
 def test_toxicity(spark, odd_docs):
-    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     scored = toxicity.toxicity_scores(documents, labels).join(labels, "doc_id").filter("held_out")
     rates = scored.agg(F.avg(F.when(F.col("predicted") == 1, (F.col("toxic") == 1).cast("double"))), F.avg(F.when(F.col("toxic") == 1, F.col("predicted").cast("double")))).first()
-    assert rates[0] > 0.9 and rates[1] > 0.4
+    # A seventh of these toxic documents has no word that training texts mark as such; see also the larger tables below.
+    assert rates[0] > 0.9 and rates[1] > 0.75
     odd = toxicity.toxicity_scores(odd_docs, labels)
     assert odd.count() == odd_docs.count() and odd.filter("score is null").count() == 0
     assert toxicity.toxicity_scores(odd_docs, labels.limit(0)).filter("score = 0").count() == odd_docs.count()
+    assert toxicity.toxicity_scores(odd_docs.limit(0), labels).count() == 0
     kept = toxicity.drop_toxic(odd_docs, labels)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
+    assert toxicity.drop_toxic(odd_docs.limit(0), labels).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/check_s/labels.parquet"), reason="the larger tables are not here")
+def test_toxicity_on_larger_tables(spark):
+    documents, labels = (spark.read.parquet(f"/root/testdata/check_s/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.toxicity_scores(documents, labels).join(labels, "doc_id").filter("held_out")
+    rates = scored.agg(F.avg(F.when(F.col("predicted") == 1, (F.col("toxic") == 1).cast("double"))), F.avg(F.when(F.col("toxic") == 1, F.col("predicted").cast("double")))).first()
+    print(rates)
+    assert rates[0] > 0.98 and rates[1] > 0.95
 
 
 def test_positive_unlabelled_learning_finds_the_hidden_positives():
@@ -250,14 +276,21 @@ def test_divergence(spark):
     assert all(abs(r[0] - r[1]) < 1e-9 for r in df.select(quality_rules.divergence(F.col("p"), F.col("q")), "e").collect())
 
 
-def test_pipeline(spark, tmp_path):
+def test_pipeline(spark, tmp_path, odd_docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
-    for i, (_, stage) in enumerate(pipeline.STAGES[:-1]):
-        before = docs.count()
-        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{i}")
-        docs = spark.read.parquet(f"{tmp_path}/{i}")
-        assert docs.columns == columns and 0 < docs.count() <= before
-    assert pipeline.run(spark, sf).count() == docs.count()
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    last = pipeline.STAGES[-1][1]
+    for name, docs in (("documents", documents), ("odd", odd_docs), ("empty", odd_docs.limit(0))):
+        columns, first = docs.columns, docs.count()
+        for i, (_, stage) in enumerate(pipeline.STAGES[:-1]):
+            before = docs.count()
+            stage(spark, docs, sf).write.parquet(f"{tmp_path}/{name}/{i}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}/{i}")
+            assert docs.columns == columns and docs.count() <= before
+        assert last(spark, docs, sf).count() == docs.count() > (0 if first else -1)
+        if name == "documents":
+            assert counted(pipeline.run(spark, sf)) == counted(last(spark, docs, sf))
+        if name == "odd":
+            # Of two rows with one text the smaller id stays, and rows without id all do.
+            assert sorted(r.doc_id for r in docs.collect() if r.doc_id is not None) == sorted([5, *(i for i in range(11) if i != 6)]) and docs.filter("doc_id is null").count() == 2
