@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, null without one."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
@@ -14,31 +21,69 @@ def first_of(text: Column, patterns: list[str], group: int = 1) -> Column:
     return F.coalesce(*[first_match(text, p, group) for p in patterns])
 
 
+def either(words: list[str], gap: str = r"[\s-]*") -> str:
+    """A pattern for any of the words, the longest first; a space in one stands for white space, a hyphen or nothing.
+
+    No letter stands right before or after it.
+    """
+    ordered = sorted(words, key=lambda w: (-len(w), w))
+    plain = "|".join(gap.join(p.replace(".", r"\.") for p in w.split()) for w in ordered)
+    return rf"(?<!\p{{L}})(?:{plain})(?!\p{{L}})"
+
+
 def money_value(raw: Column) -> Column:
     """A number from a money token: the last comma or dot is a decimal mark by what follows it."""
-    s = F.regexp_replace(F.regexp_replace(raw, r"(?i)\b[A-Z]{2,3}\b", ""), r"[€$£¥\s]", "")
-    dotless = F.replace(s, F.lit("."), F.lit(""))
-    comma = F.replace(dotless, F.lit(","), F.lit("."))
-    value = F.when(s.rlike(r",\d{1,2}$"), comma).when(s.rlike(r"^-?\d{1,2},\d{3}$"), F.replace(s, F.lit(","), F.lit("."))).when(s.rlike(r"^-?\d{1,3}(\.\d{3})+$"), dotless).otherwise(F.replace(s, F.lit(","), F.lit("")))
-    return value.try_cast("double")
+    def parsed(s: Column) -> Column:
+        dotless = F.replace(s, F.lit("."), F.lit(""))
+        comma = F.replace(dotless, F.lit(","), F.lit("."))
+        whole = F.replace(s, F.lit(","), F.lit(""))
+        value = F.when(s.rlike(r",\d{1,2}$"), comma).when(s.rlike(r"^-?\d{1,2},\d{3}$"), F.replace(s, F.lit(","), F.lit("."))).when(s.rlike(r"^-?\d{1,3}(\.\d{3})+$"), dotless).otherwise(whole)
+        return value.try_cast("double")
+
+    return let(F.regexp_replace(F.regexp_replace(raw, r"(?i)\b[A-Z]{2,3}\b", ""), r"[€$£¥\s]", ""), parsed)
 
 
-# Month names by their first three letters (Dutch, English, German, French, Spanish).
+# Month names by their first letters (Dutch, English, German, French, Spanish).
 MONTHS = {
     "jan": 1, "ene": 1, "feb": 2, "fev": 2, "fév": 2, "mrt": 3, "maa": 3, "mar": 3, "mär": 3, "apr": 4, "avr": 4, "abr": 4, "mei": 5, "may": 5, "mai": 5,
-    "jun": 6, "jul": 7, "aug": 8, "aoû": 8, "ago": 8, "sep": 9, "okt": 10, "oct": 10, "nov": 11, "dec": 12, "dez": 12, "déc": 12, "dic": 12,
+    "jun": 6, "juin": 6, "jul": 7, "juil": 7, "aug": 8, "aoû": 8, "ago": 8, "sep": 9, "okt": 10, "oct": 10, "nov": 11, "dec": 12, "dez": 12, "déc": 12, "dic": 12,
 }
+DATE = r"\d{1,2}\.?\s+\p{L}{3,12}\.?\s+\d{4}|\p{L}{3,12}\.?\s+\d{1,2},?\s+\d{4}|\d{4}[/\-.]\d{1,2}[/\-.]\d{1,2}|\d{1,2}[/\-.]\d{1,2}[/\-.](?:\d{4}|\d{2})(?!\d)"
 
 
-def date_value(raw: Column) -> Column:
-    """A date from day-first numbers, year-first numbers or a day and month name; null if there is no such day."""
-    day_first = F.concat_ws("-", first_match(raw, r"^\s*\d{1,2}[/\-.]\d{1,2}[/\-.](\d{4})\s*$"), F.lpad(first_match(raw, r"^\s*\d{1,2}[/\-.](\d{1,2})[/\-.]\d{4}\s*$"), 2, "0"), F.lpad(first_match(raw, r"^\s*(\d{1,2})[/\-.]\d{1,2}[/\-.]\d{4}\s*$"), 2, "0"))
-    year_first = F.concat_ws("-", first_match(raw, r"^\s*(\d{4})[/\-.]\d{1,2}[/\-.]\d{1,2}\s*$"), F.lpad(first_match(raw, r"^\s*\d{4}[/\-.](\d{1,2})[/\-.]\d{1,2}\s*$"), 2, "0"), F.lpad(first_match(raw, r"^\s*\d{4}[/\-.]\d{1,2}[/\-.](\d{1,2})\s*$"), 2, "0"))
+def date_value(raw: Column, month_first: Column | None = None) -> Column:
+    """A date from day-first numbers, year-first numbers or a day and month name in either order; null if there is no such day.
+
+    Years of two digits are of this century. month_first reads numbers with slashes as month, day, year where
+    it is true and the first can be a month.
+    """
     names = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-    named = r"^\s*(\d{1,2})\.?\s+(\p{L}{3,12})\s+(\d{4})\s*$"
-    month = F.try_element_at(names, F.substring(F.lower(first_match(raw, named, 2)), 1, 3))
-    by_name = F.concat_ws("-", first_match(raw, named, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(first_match(raw, named, 1), 2, "0"))
-    return F.coalesce(*[F.when(F.length(x) == 10, F.try_to_date(x, "yyyy-MM-dd")) for x in (day_first, year_first, by_name)])
+
+    def made(year: Column, month: Column, day: Column) -> Column:
+        whole = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+        return F.try_to_date(F.concat_ws("-", whole, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+
+    def named(parts: Column, year: int, month: int, day: int) -> Column:
+        name = F.lower(parts[month])
+        return made(parts[year], F.coalesce(F.try_element_at(names, F.substring(name, 1, 4)), F.try_element_at(names, F.substring(name, 1, 3))), parts[day])
+
+    def numbers(parts: Column) -> Column:
+        turned = F.lit(False) if month_first is None else month_first & F.contains(parts[0], F.lit("/")) & (parts[1].cast("int") <= 12)
+        return F.when(turned, made(parts[3], parts[1], parts[2])).otherwise(made(parts[3], parts[2], parts[1]))
+
+    def groups(s: Column, pattern: str) -> Column:
+        """The whole match and its groups."""
+        return F.array(*[F.regexp_extract(s, pattern, i) for i in range(4)])
+
+    def parsed(s: Column) -> Column:
+        return (
+            F.when(s.rlike(r"^\d{1,2}[/\-.]\d{1,2}[/\-.](?:\d{4}|\d{2})$"), let(groups(s, r"^(\d+)[/\-.](\d+)[/\-.](\d+)$"), numbers))
+            .when(s.rlike(r"^\d{4}[/\-.]\d{1,2}[/\-.]\d{1,2}$"), let(groups(s, r"^(\d+)[/\-.](\d+)[/\-.](\d+)$"), lambda p: made(p[1], p[2], p[3])))
+            .when(s.rlike(r"^\d{1,2}\.?\s+\p{L}{3,12}\.?\s+\d{4}$"), let(groups(s, r"^(\d+)\.?\s+(\p{L}+)\.?\s+(\d+)$"), lambda p: named(p, 3, 2, 1)))
+            .when(s.rlike(r"^\p{L}{3,12}\.?\s+\d{1,2},?\s+\d{4}$"), let(groups(s, r"^(\p{L}+)\.?\s+(\d+),?\s+(\d+)$"), lambda p: named(p, 3, 1, 2)))
+        )
+
+    return let(F.trim(raw), parsed)
 
 
 def words_in(text: Column) -> Column:

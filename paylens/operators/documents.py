@@ -1,91 +1,150 @@
-"""Fields from document text: one job over (doc_id, page, text), native expressions only."""
+"""Fields from document text: one job over (doc_id, page, text), native expressions only.
+
+What is printed beside a value, by language, stands in the tables below; the patterns are made of them by rule.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.money import iban_valid, normal_id
-from ..functions.text import date_value, first_match, first_of, money_value, words_in
+from ..functions.text import DATE, date_value, either, first_match, first_of, let, money_value, words_in
 from .checks import VAT_FORMATS
 
-TEXT = F.col
-
-# Cue words by language, in the order that settles ties.
+# Cue words by language, in the order that settles ties, and currencies with their signs, in that of precedence.
 LOCALE_CUES = {
-    "NL": r"(?i)\b(?:factuur|btw|totaal|leverancier|vervaldatum|kvk)\b",
-    "EN": r"(?i)\b(?:invoice|subtotal|total due|supplier|tax|due date)\b",
-    "DE": r"(?i)\b(?:rechnung|gesamtbetrag|mwst|lieferant|fällig)\b",
-    "FR": r"(?i)\b(?:facture|sous-total|fournisseur|tva|échéance)\b",
-    "ES": r"(?i)\b(?:factura|subtotal|proveedor|iva|vencimiento)\b",
+    "NL": ["factuur", "btw", "totaal", "leverancier", "vervaldatum", "kvk"],
+    "EN": ["invoice", "subtotal", "total due", "supplier", "tax", "due date"],
+    "DE": ["rechnung", "gesamtbetrag", "mwst", "lieferant", "fällig"],
+    "FR": ["facture", "sous-total", "fournisseur", "tva", "échéance"],
+    "ES": ["factura", "subtotal", "proveedor", "iva", "vencimiento"],
 }
-CURRENCY_CUES = [("EUR", r"(?i)\bEUR\b|€"), ("USD", r"(?i)\bUSD\b|\$"), ("GBP", r"(?i)\bGBP\b|£"), ("CAD", r"(?i)\bCAD\b"), ("AUD", r"(?i)\bAUD\b"), ("CHF", r"(?i)\bCHF\b"), ("JPY", r"(?i)\bJPY\b|¥")]
-AMOUNT_LABELS = {
-    "subtotal": ["subtotaal", "sub-?total", "zwischensumme", "sous-total"],
-    "tax": ["btw[ -]?bedrag", "btw", "vat", "mwst", "tva"],
-    "total": ["te betalen", "totaal bedrag", "total due", "gesamtbetrag", "totaal", "total"],
-}
-DATE_LABELS = {
+CURRENCY_SIGNS = {"EUR": "€", "USD": "$", "GBP": "£", "CAD": "", "AUD": "", "CHF": "", "JPY": "¥"}
+
+# Labels by what they stand for: Dutch, English, German, French, Spanish.
+LABELS = {
+    "vendor": ["leverancier", "supplier", "vendor", "lieferant", "fournisseur", "proveedor"],
+    "invoice_number": [
+        "factuurnummer", "factuur nr", "factuur no", "notanummer", "invoice number", "invoice no", "invoice nr", "invoice #", "bill number", "bill no",
+        "rechnungsnummer", "rechnungs nr", "rechnung nr", "numéro de facture", "facture no", "facture n°", "número de factura", "factura no", "factura n.º", "factura nº",
+    ],
+    "order_number": ["ordernummer", "order nr", "order number", "order no", "bestelnummer", "bestellnummer", "purchase order"],
     "issue_date": ["factuurdatum", "invoice date", "rechnungsdatum", "date de facture", "fecha de factura"],
-    "due_date": ["vervaldatum", "due date", "fällig am", "échéance", "vencimiento"],
-}
-NUMBER_LADDER = [
-    r"(?i)(?:invoice|factuur|rechnung|facture|factura)\s*(?:no\.?|nummer|nr\.?|number|num|#)[^A-Za-z0-9\n]{0,6}([A-Z0-9][A-Z0-9\-/.]{2,})",
-    r"(?i)(?:rechnungsnummer|numéro de facture|número de factura)\s*[:#-]?\s*([A-Z0-9][A-Z0-9\-/.]{2,})",
-    r"(?i)(?:order\s*nummer|ordernr|order\s*no)\s*[:#-]?\s*([A-Z0-9][A-Z0-9\-/.]{2,})",
-    r"\b(F\d{4,8})\b",
-    r"\b([A-Z]{2,5}[-/]\d{3,8})\b",
-    r"\b((?:19|20)\d{2}[-/]\d{2,8})\b",
+    "due_date": ["vervaldatum", "uiterste betaaldatum", "due date", "payable by", "fällig am", "fälligkeitsdatum", "échéance", "vencimiento"],
+    "terms": ["betalingstermijn", "betaaltermijn", "betalingsconditie", "betaal binnen", "betalen binnen", "payment terms", "payment term", "payable within", "zahlbar innerhalb", "zahlbar binnen", "zahlbar", "paiement à", "pago a"],
+    "subtotal": ["subtotaal", "subtotal", "sub-total", "zwischensumme", "sous-total"],
+    "tax": ["btw bedrag", "btw", "vat", "mwst", "tva", "iva"],
+    "total": ["te betalen", "totaal bedrag", "total due", "gesamtbetrag", "total à payer", "total a pagar", "totaal", "total"],
+    "address": ["adres", "address", "adresse", "dirección"],
+    "contact": ["contact", "e-mail", "email", "leverancier", "supplier", "vendor", "billing", "info"],
+    "bank": ["iban", "bankrekening", "rekeningnummer", "bank account", "kontonummer", "compte bancaire", "cuenta"],
+    "vat": ["btw-nummer", "btw nr", "vat number", "vat no", "vat id", "ust-idnr", "ust-id", "numéro de tva", "n° tva", "nif"],
+    "balance": ["saldo", "balance", "openstaand", "amount due", "reste à payer"],
+}
+# Company registers: their labels, and the least and the greatest number of digits.
+REGISTERS = [
+    (["kvk", "kvk nr", "kvk nummer", "kvk number", "kamer van koophandel", "chamber of commerce", "coc", "coc number"], 7, 8),
+    (["siren", "siret"], 9, 14),
+    (["handelsregister", "handelsregisternummer", "hrb", "hra", "handelsregister hrb", "handelsregister hra"], 3, 8),
+    (["company number", "company no", "company registration number", "crn"], 6, 10),
+    (["kbo", "bce", "ondernemingsnummer"], 8, 10),
+    (["y-tunnus", "business id"], 6, 8),
 ]
+# Ways to say that an amount was paid.
+PAID = [
+    "al betaald", "reeds betaald", "reeds voldaan", "is voldaan", "voldaan op", "betaald op", "betaald via", "betaald per", "already paid", "paid in full", "payment received", "paid on", "paid by",
+    "bereits bezahlt", "dankend erhalten", "déjà payé", "déjà réglé", "acquittée", "ya pagado", "pagado el",
+]
+# Units of quantities.
+UNITS = ["x", "stuk", "stuks", "st", "uur", "uren", "dag", "dagen", "week", "weken", "maand", "maanden", "keer", "unit", "units", "pc", "pcs", "hour", "hours", "hr", "hrs", "day", "days", "set", "sets", "kg", "g", "l", "liter", "m", "km"]
+STREETS = ["straat", "laan", "weg", "plein", "kade", "street", "road", "avenue", "lane", "strasse", "straße", "platz", "rue", "calle"]
+POST_BOXES = ["postbus", "po box", "p.o. box", "postfach", "boîte postale", "apartado"]
+
+GAP = r"[ \t:.#°º-]{0,6}"
+TOKEN = r"((?=[A-Za-z/.-]*\d)[A-Za-z0-9]+(?:[-/.][A-Za-z0-9]+)*)"
+# A number of a series without a label: letters or a year, a separator, and three digits or more.
+SERIES = r"\b([A-Z]{1,6}[-/]\d{3,10}(?:[-/]\d{1,10})*|(?:19|20)\d{2}[-/]\d{3,8})\b"
+AMOUNT = r"(-?(?:\d{1,3}(?:[ .,]\d{3})+|\d+)(?:[.,]\d{1,2})?)(?!\d)"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}\b"
 DUTCH_IBAN = r"^NL\d{2}[A-Z]{4}\d{10}$"
-PREPAID = r"(?i)reeds\s+betaald|reeds\s+voldaan|\bal\s+betaald\b|voldaan\s+op|betaald\s+(?:op|via|door\s+middel)|paid\s+in\s+full|payment\s+received"
-SIGNAL = r"(?i)leverancier|supplier|vendor|adres|address|email|e-mail|contact|iban|bankrekening|rekening|account|btw|vat|tax\s*id|totaal|total|te betalen|payment|remittance|beneficiary"
+
+
+def labelled(kind: str) -> str:
+    return "(?iu)" + either(LABELS[kind])
+
+
+def place(text: Column, part: Column) -> Column:
+    """Where the part begins in the text, from 1; null without either."""
+    return F.nullif(F.instr(text, part), F.lit(0))
 
 
 def doc_locale(text: Column) -> Column:
     """Language by cue words, three more for the country of an IBAN; Dutch without any."""
     country = F.upper(F.regexp_extract(text, r"(?i)\b([A-Z]{2})\d{2}", 1))
-    scores = [F.struct((F.size(F.regexp_extract_all(text, F.lit(cue), F.lit(0))) + F.when(country == loc, 3 if loc != "EN" else 0).otherwise(0)).alias("n"), F.lit(-i).alias("back"), F.lit(loc).alias("locale")) for i, (loc, cue) in enumerate(LOCALE_CUES.items())]
-    best = F.array_max(F.array(*scores))
-    return F.when(best.n > 0, best.locale).otherwise("NL")
+
+    def scored(cc: Column) -> Column:
+        scores = []
+        for i, (loc, cues) in enumerate(LOCALE_CUES.items()):
+            n = F.regexp_count(text, F.lit("(?iu)" + either(cues, r"\s")))
+            scores.append(F.struct((n + F.when(cc == loc, 3 if loc != "EN" else 0).otherwise(0)).alias("n"), F.lit(-i).alias("back"), F.lit(loc).alias("locale")))
+        return F.array_max(F.array(*scores))
+
+    return let(let(country, scored), lambda best: F.when(best.n > 0, best.locale).otherwise("NL"))
 
 
 def doc_currency(text: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for code, cue in reversed(CURRENCY_CUES):
-        out = F.when(text.rlike(cue), F.lit(code)).otherwise(out)
-    return out
+    """The first currency in order of precedence whose code or sign is there."""
+    def there(code: str, sign: str) -> Column:
+        found = text.rlike(rf"(?iu)(?<![A-Z]){code}(?![A-Z])")
+        return found | F.contains(text, F.lit(sign)) if sign else found
+
+    return F.coalesce(*[F.when(there(code, sign), F.lit(code)) for code, sign in CURRENCY_SIGNS.items()])
 
 
 def doc_amount(text: Column, field: str) -> Column:
-    """The amount after the first label that has one on its line."""
-    return F.coalesce(*[money_value(first_match(text, rf"(?i)\b{label}[^\na-zA-Z]{{0,60}}?((?:[A-Z]{{2,3}}\$?\s*)?-?\d[\d.,]*\d|\d)")) for label in AMOUNT_LABELS[field]])
+    """The amount on the line of the first label that has one, without a letter between but those of a currency."""
+    between = r"[^\n\p{L}]{0,60}?(?:[A-Z]{2,3}\s*)?[€$£¥]?\s{0,3}"
+    return money_value(first_of(text, [rf"(?iu){either([label])}{between}{AMOUNT}" for label in LABELS[field]]))
 
 
 def doc_date(text: Column, field: str) -> Column:
-    return F.coalesce(*[date_value(first_match(text, rf"(?i){label}[^0-9\p{{L}}]{{0,18}}(\d{{1,2}}\.?\s+\p{{L}}{{3,12}}\s+\d{{4}}|\d{{1,4}}[/\-.]\d{{1,2}}[/\-.]\d{{1,4}})")) for label in DATE_LABELS[field]])
+    """The date after a label; in English text, numbers with slashes begin with the month where they can."""
+    raw = first_match(text, rf"{labelled(field)}[^0-9\p{{L}}\n]{{0,18}}({DATE})")
+    return date_value(raw, F.contains(raw, F.lit("/")) & (doc_locale(text) == "EN"))
 
 
 def doc_due_from_terms(text: Column, issued: Column) -> Column:
     """Due date from payment terms: days after the end of the next month where the text says so, else after the issue date."""
     flat = F.regexp_replace(text, r"\s+", " ")
     days = lambda raw: F.when(raw.try_cast("int").between(1, 365), raw.try_cast("int"))
-    end = flat.rlike(r"(?i)einde (van de )?maand|\be\.?o\.?m\.?\b")
-    end_days = F.coalesce(days(first_match(flat, r"(?i)(\d{1,3}) ?dagen? (?:einde|e\.?o\.?m)")), days(first_match(flat, r"(?i)(?:maand|e\.?o\.?m\.?) ?(?:\+|en) ?(\d{1,3}) ?dagen?")), F.lit(14))
-    plain = F.coalesce(days(first_match(text, r"(?i)\bnet\s*(\d{1,3})\b")), days(first_match(text, r"(?i)(?:betalingsconditie|betalingstermijn|betaaltermijn|betaal\s*binnen|payment\s*terms?|zahlbar)[^\n]{0,60}?(\d{1,3})\s*(?:dagen|days|tage)")))
+    eom = r"(?:einde (?:van de )?maand|(?<!\p{L})e\.?o\.?m(?!\p{L})\.?)"
+    end = flat.rlike(f"(?iu){eom}")
+    end_days = F.coalesce(days(first_match(flat, rf"(?iu)(\d{{1,3}}) ?dagen? {eom}")), days(first_match(flat, rf"(?iu){eom} ?(?:\+|en) ?(\d{{1,3}}) ?dagen?")), F.lit(14))
+    unit = r"\s*(?:dagen|days|tagen?|jours|días)"
+    plain = F.coalesce(days(first_match(text, r"(?i)(?<!\p{L})net\s*(\d{1,3})(?!\d)")), days(first_match(text, rf"{labelled('terms')}[^\n\d]{{0,60}}(\d{{1,3}}){unit}")))
     return F.when(end, F.date_add(F.last_day(F.add_months(issued, 1)), end_days)).otherwise(F.date_add(issued, plain))
 
 
 def doc_invoice_number(text: Column) -> Column:
-    return F.regexp_replace(first_of(text, NUMBER_LADDER), r"[./-]+$", "")
+    """The token with a digit after a label of invoice numbers, else of order numbers, else one that looks like a number of a series."""
+    return first_of(text, [f"{labelled('invoice_number')}{GAP}{TOKEN}", f"{labelled('order_number')}{GAP}{TOKEN}", SERIES])
+
 
+def doc_emails(pages: DataFrame, own: str = "") -> DataFrame:
+    """doc_id and its distinct addresses but our own, by score: how much of the vendor's name they hold, and 0.3 for a labelled one.
 
-def doc_emails(pages: DataFrame) -> DataFrame:
-    """doc_id and its distinct addresses, with the labelled one first, then by name."""
-    rows = pages.select("doc_id", F.lower(first_match(F.col("text"), rf"(?i)(?:vendor|supplier|leverancier|billing|e-?mail|contact|info)\s*[:\-]?[^\n]{{0,48}}?({EMAIL})")).alias("labelled"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0)), F.lower))).alias("email"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc(F.coalesce(F.col("email") == F.col("labelled"), F.lit(False))), "email")
-    return rows.select("doc_id", "email", F.row_number().over(order).alias("rank"))
+    The name is that of pages.vendor where there is such a column, else there is no likeness; ties go by name.
+    """
+    vendor = F.col("vendor") if "vendor" in pages.columns else F.lit("")
+    label = F.lower(first_match(F.col("text"), rf"{labelled('contact')}\s*[:-]?[^\n@]{{0,48}}?(?<![A-Za-z0-9._%+-])({EMAIL})"))
+    every = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0)), F.lower))
+    rows = pages.select("doc_id", label.alias("labelled"), F.filter(words_in(F.coalesce(vendor, F.lit(""))), lambda w: F.length(w) > 2).alias("name"), F.explode(every).alias("email")).filter(F.col("email") != own.lower())
+    plain = F.regexp_replace("email", "[^a-z0-9]", "")
+    like = F.size(F.filter("name", lambda w: F.contains(plain, w))) / F.greatest(F.size("name"), F.lit(1))
+    score = F.round(like + F.when(F.col("email") == F.col("labelled"), 0.3).otherwise(0.0), 6)
+    best = rows.groupBy("doc_id", "email").agg(F.max(score).alias("score"))
+    return best.select("doc_id", "email", "score", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "email")).alias("rank"))
 
 
 def doc_ibans(text: Column) -> Column:
@@ -94,23 +153,46 @@ def doc_ibans(text: Column) -> Column:
     return F.filter(F.array_distinct(found), lambda x: x.rlike(DUTCH_IBAN) | iban_valid(x))
 
 
-def doc_iban(text: Column, own: str = "") -> Column:
-    """The first of them that isn't our own (unless no other is left), Dutch ones first."""
-    found = doc_ibans(text)
-    others = F.filter(found, lambda x: x != own)
-    pool = F.when(F.size(others) > 0, others).otherwise(found)
-    return F.coalesce(F.get(F.filter(pool, lambda x: x.startswith("NL")), 0), F.get(pool, 0))
+def doc_iban(text: Column, own: str = "", vendor: Column | None = None, reach: int = 200) -> Column:
+    """The first of them that isn't our own (unless no other is left): those near the vendor's name, then Dutch ones first."""
+    flat = F.regexp_replace(F.upper(text), " ", "")
+    name = None if vendor is None else F.regexp_replace(F.upper(vendor), " ", "")
+
+    def order(x: Column, i: Column) -> Column:
+        far = F.lit(0) if name is None else F.when(F.abs(place(flat, x) - place(flat, name)) <= reach, 0).otherwise(1)
+        return F.struct(far.alias("far"), F.when(x.startswith("NL"), 0).otherwise(1).alias("foreign"), i.alias("i"), x.alias("v"))
+
+    def chosen(found: Column) -> Column:
+        others = F.filter(found, lambda x: x != own)
+        return F.array_min(F.transform(F.when(F.size(others) > 0, others).otherwise(found), order)).v
+
+    return let(doc_ibans(text), chosen)
 
 
-def doc_vat(text: Column, own: str = "") -> Column:
-    """The longest token with the structure of a VAT number, not our own, the first of equals."""
+def doc_vat(text: Column, own: str = "", vendor: Column | None = None) -> Column:
+    """The longest token with the structure of a VAT number, not our own; of equals the one nearest to the vendor's name, or else to a label."""
     pattern = r"\b(?:" + "|".join(f"{cc}{p}" for cc, p in VAT_FORMATS.items()) + r")\b"
-    found = F.filter(F.regexp_extract_all(F.upper(text), F.lit(pattern), F.lit(0)), lambda x: x != own)
-    return F.get(F.array_sort(F.transform(found, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("v")))), 0).v
 
+    def chosen(upper: Column) -> Column:
+        label = F.nullif(F.regexp_instr(upper, F.lit(labelled("vat"))), F.lit(0))
+        anchor = label if vendor is None else F.coalesce(place(upper, F.upper(vendor)), label)
+        found = F.filter(F.regexp_extract_all(upper, F.lit(pattern), F.lit(0)), lambda x: x != own)
+        order = F.transform(found, lambda x, i: F.struct((-F.length(x)).alias("n"), F.coalesce(F.abs(F.instr(upper, x) - anchor), F.lit(0)).alias("far"), i.alias("i"), x.alias("v")))
+        return F.array_min(order).v
 
-def doc_registration(text: Column) -> Column:
-    return first_of(text, [r"(?i)\bkvk(?:[ -]?(?:nr|nummer|number))?\.?\s*[:#-]?\s*(\d{8})\b", r"(?i)\bhandelsregister\s*[:#-]?\s*(?:HR[AB]\s*)?(\d{4,8})\b", r"(?i)\b(?:siren|siret)\s*[:#-]?\s*(\d{9,14})\b", r"(?i)\bcompany\s*(?:no|number)\.?\s*[:#-]?\s*(\d{6,8})\b"])
+    return let(F.upper(text), chosen)
+
+
+def doc_registration(text: Column, email: Column | None = None) -> Column:
+    """The digits after a register's label: those nearest to the e-mail address where one is given and there, else by the order of registers."""
+    found = []
+    for i, (labels, least, most) in enumerate(REGISTERS):
+        pattern = rf"(?iu){either(labels)}{GAP}(\d(?:[ .-]?\d){{{least - 1},{most - 1}}})(?!\d)"
+        ranks = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        found.append(F.transform(ranks, lambda x, k: F.struct(F.lit(i).alias("i"), k.alias("k"), x.alias("v"))))  # noqa: B023
+    anchor = F.lit(None).cast("int") if email is None else place(F.lower(text), F.lower(email))
+    ranked = F.transform(F.concat(*found), lambda x: F.struct(F.coalesce(F.abs(F.instr(text, x.v) - anchor), F.lit(0)).alias("far"), x.i.alias("i"), x.k.alias("k"), x.v.alias("v")))
+    return F.regexp_replace(F.array_min(ranked).v, "[ .-]", "")
 
 
 def lines_of(text: Column) -> Column:
@@ -118,16 +200,22 @@ def lines_of(text: Column) -> Column:
 
 
 def doc_address(text: Column) -> Column:
-    """Labelled, else a PO box, else a street with number (and the postcode line below it), else a postcode line."""
-    rows = lines_of(text)
-    labelled = first_match(text, r"(?i)\b(?:adres|address|adresse)\s*[:\-]\s*([^\n]{5,120})")
-    box = F.get(F.filter(rows, lambda x: x.rlike(r"(?i)^(?:postbus|p\.?o\.? box|postfach)\s+\d+")), 0)
-    street = r"(?i)^[\p{L}.' -]{3,40}(?:straat|laan|weg|plein|street|road|avenue|strasse|straße|rue)[\p{L} ]{0,20}\s+\d{1,5}\s?[a-z]?$"
+    """Labelled, else a PO box or a street with number, each with the postcode line below it, else a postcode line."""
     post = r"\b\d{4}\s?[A-Z]{2}\b|\b\d{5}\b"
-    at = F.array_position(F.transform(rows, lambda x: x.rlike(street)), True).cast("int")
-    below = F.get(rows, at)
-    whole = F.when(at > 0, F.concat_ws(", ", F.get(rows, at - 1), F.when(below.rlike(post), below)))
-    return F.coalesce(labelled, box, whole, F.get(F.filter(rows, lambda x: x.rlike(post)), 0))
+    box = rf"(?iu)^{either(POST_BOXES)}\s+\d+$"
+    street = rf"(?iu)^[\p{{L}}.' -]{{0,40}}(?:{'|'.join(STREETS)})(?:\s[\p{{L}} ]{{1,20}})?\s+\d{{1,5}}\s?[a-z]?$"
+
+    def of_lines(rows: Column) -> Column:
+        def with_next(pattern: str) -> Column:
+            def joined(at: Column) -> Column:
+                below = F.get(rows, at)
+                return F.when(at > 0, F.concat_ws(", ", F.get(rows, at - 1), F.when(below.rlike(post), below)))
+
+            return let(F.array_position(F.transform(rows, lambda x: x.rlike(pattern)), True).cast("int"), joined)
+
+        return F.coalesce(with_next(box), with_next(street), F.get(F.filter(rows, lambda x: x.rlike(post)), 0))
+
+    return F.coalesce(first_match(text, rf"{labelled('address')}\s*[:-]\s*([^\n]{{5,120}})"), let(lines_of(text), of_lines))
 
 
 LEGAL_FORM = r"(?i)\b(?:B\.?V\.?|N\.?V\.?|GmbH|AG|Ltd\.?|LLC|Inc\.?|S\.?A\.?|S\.?L\.?|V\.?O\.?F\.?)(?:\s|$|,)"
@@ -135,42 +223,60 @@ LEGAL_FORM = r"(?i)\b(?:B\.?V\.?|N\.?V\.?|GmbH|AG|Ltd\.?|LLC|Inc\.?|S\.?A\.?|S\.
 
 def doc_vendor(text: Column, own: str = "") -> Column:
     """Labelled, else the first line with a legal form, else the first plausible line; never our own name."""
-    foreign = F.filter(lines_of(text), lambda x: ~F.lit(bool(own)) | ~F.contains(F.lower(x), F.lit(own.lower())))
-    labelled = first_match(text, r"(?i)\b(?:leverancier|supplier|vendor|lieferant)\s*[:\-]\s*([^\n]{2,80})")
-    formed = F.get(F.filter(foreign, lambda x: x.rlike(LEGAL_FORM) & (F.length(x) <= 80)), 0)
-    plain = F.get(F.filter(foreign, lambda x: x.rlike(r"^\p{L}") & (F.length(x) <= 60) & ~x.rlike(r"(?i)factuur|invoice|rechnung|datum|date|iban|btw|vat|totaal|total")), 0)
-    return F.coalesce(labelled, formed, plain)
+    others = "(?iu)" + either([w for k in ("invoice_number", "issue_date", "due_date", "bank", "vat", "total", "tax") for w in LABELS[k]] + ["factuur", "invoice", "rechnung", "facture", "factura", "datum", "date"])
+
+    def of_lines(rows: Column) -> Column:
+        foreign = F.filter(rows, lambda x: ~F.contains(F.lower(x), F.lit(own.lower()))) if own else rows
+        formed = F.get(F.filter(foreign, lambda x: x.rlike(LEGAL_FORM) & (F.length(x) <= 80)), 0)
+        plain = F.get(F.filter(foreign, lambda x: x.rlike(r"^\p{L}") & (F.length(x) <= 60) & ~x.rlike(others)), 0)
+        return F.coalesce(formed, plain)
+
+    return F.coalesce(first_match(text, rf"{labelled('vendor')}\s*[:-]\s*([^\n]{{2,80}})"), let(lines_of(text), of_lines))
 
 
 MONEY = r"-?\d{1,3}(?:[.,]\d{3})*[.,]\d{2}\b"
-NOT_ITEMS = r"(?i)totaal|subtotaal|btw|omzetbelasting|total|tax|vat|balance|saldo|bedrag|amount\s*due|te betalen|te voldoen|payment|remit|account|rekening|\b(?:datum|date)\b"
+NOT_ITEMS = "(?iu)" + either([w for k in ("subtotal", "tax", "total", "balance", "terms", "bank", "vat", "issue_date", "due_date") for w in LABELS[k]] + ["datum", "date", "omzetbelasting", "betaling", "payment"])
 
 
 def doc_line_items(pages: DataFrame, per_page: int = 8, per_document: int = 20) -> DataFrame:
-    """doc_id, page, line, description, quantity and amount of lines with money that aren't totals or dates; the limits are part of what an item list is."""
+    """doc_id, page, line, description, quantity and amount of lines with money that aren't totals or dates; the limits are part of what an item list is.
+
+    In product blocks the amount stands on a line with no name of its own, below the product's: such a line
+    takes the one above it as its description.
+    """
     rows = pages.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    amounts = F.regexp_extract_all("raw", F.lit(MONEY), F.lit(0))
-    rows = rows.withColumn("amount", money_value(F.try_element_at(amounts, F.lit(-1)))).withColumn("description", F.trim(F.regexp_replace(F.regexp_replace("raw", MONEY, ""), r"\s{2,}", " ")))
-    rows = rows.filter((F.col("amount") >= 1) & (F.length("description") >= 4) & ~F.col("description").rlike(NOT_ITEMS))
-    quantity = F.coalesce(first_match(F.col("description"), r"(?i)\b(\d{1,4})\s?(?:x|units?|hrs?|pcs?|stuks?|st|uur|uren|keer|dag|dagen|week|weken|set|sets|kg|g|liter)\b").try_cast("double"), F.lit(1.0))
+    above = F.lag("raw").over(Window.partitionBy("doc_id", "page").orderBy("line"))
+    rows = rows.withColumn("above", F.trim(above)).filter(F.col("raw").rlike(MONEY))
+    rows = rows.withColumn("amount", money_value(F.try_element_at(F.regexp_extract_all("raw", F.lit(MONEY), F.lit(0)), F.lit(-1))))
+    rest = F.trim(F.regexp_replace(F.regexp_replace("raw", MONEY, ""), r"\s{2,}", " "))
+    bare = ~rest.rlike(r"\p{L}{4}") & F.col("above").rlike(r"\p{L}{4}") & ~F.col("above").rlike(MONEY)
+    rows = rows.select("doc_id", "page", "line", "amount", rest.alias("own"), F.when(bare, F.col("above")).otherwise(rest).alias("description"))
+    rows = rows.filter((F.col("amount") >= 1) & (F.length("description") >= 4) & ~F.col("description").rlike(NOT_ITEMS) & ~F.col("own").rlike(NOT_ITEMS))
+    quantity = F.coalesce(first_match(F.concat_ws(" ", "own", "description"), rf"(?iu)(?<![\d.,])(\d{{1,4}})\s?{either(UNITS)}").try_cast("double"), F.lit(1.0))
     rows = rows.select("doc_id", "page", "line", F.substring("description", 1, 80).alias("description"), quantity.alias("quantity"), "amount")
-    on_page = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("line"))
-    rows = rows.withColumn("n", on_page).filter(F.col("n") <= per_page)
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("line"))).filter(F.col("n") <= per_page)
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "line"))).filter(F.col("n") <= per_document).drop("n")
 
 
 def doc_prepaid(text: Column) -> Column:
-    """The phrase that says the amount was paid, with some of what stands around it; null without one."""
-    at = F.instr(text, F.regexp_extract(text, PREPAID, 0))
-    start = F.greatest(at - 40, F.lit(1))
-    return F.when(text.rlike(PREPAID), F.trim(F.regexp_replace(F.substring(text, start, at - start + 80), r"\s+", " ")))
+    """The phrase that says the amount was paid, with 40 characters before it and 80 in all; null without one."""
+    def around(at: Column) -> Column:
+        start = F.greatest(at - 40, F.lit(1))
+        return F.when(at > 0, F.trim(F.regexp_replace(F.substring(text, start, at - start + 80), r"\s+", " ")))
+
+    return let(F.regexp_instr(text, F.lit("(?iu)" + either(PAID, r"\s+"))), around)
+
+
+# What makes a page worth reading: labels of the vendor, of money and of ways to pay.
+SIGNAL_WORDS = [w for k in ("vendor", "address", "contact", "bank", "vat", "tax", "total", "terms", "balance") for w in LABELS[k]]
 
 
 def doc_relevant_pages(pages: DataFrame) -> DataFrame:
     """All pages of documents with one or two, else the first, the last and those with a signal word."""
     of = Window.partitionBy("doc_id")
     rows = pages.withColumns({"n": F.count("*").over(of), "first": F.min("page").over(of), "last": F.max("page").over(of)})
-    return rows.filter((F.col("n") <= 2) | (F.col("page") == F.col("first")) | (F.col("page") == F.col("last")) | F.col("text").rlike(SIGNAL)).select("doc_id", "page")
+    ends = (F.col("n") <= 2) | (F.col("page") == F.col("first")) | (F.col("page") == F.col("last"))
+    return rows.filter(ends | F.col("text").rlike("(?iu)" + either(SIGNAL_WORDS, r"\s"))).select("doc_id", "page")
 
 
 def doc_structured_kind(text: Column) -> Column:
@@ -183,11 +289,13 @@ def doc_structured_kind(text: Column) -> Column:
 
 def document_fields(pages: DataFrame, own_iban: str = "", own_vat: str = "", own_name: str = "") -> DataFrame:
     """doc_id, page, field, value of every field that a page gives, as text, in one pass over the pages."""
-    t = F.col("text")
-    issued = doc_date(t, "issue_date")
+    t, issued, vendor = F.col("text"), F.col("issued"), F.col("vendor")
+    # The issue date and the vendor serve other fields too: they are read first.
+    pages = pages.select("doc_id", "page", "text", doc_date(t, "issue_date").alias("issued"), doc_vendor(t, own_name).alias("vendor"))
     values = {
-        "vendor": doc_vendor(t, own_name), "invoice_number": doc_invoice_number(t), "issue_date": issued, "due_date": F.coalesce(doc_date(t, "due_date"), doc_due_from_terms(t, issued)),
-        "currency": doc_currency(t), "subtotal": doc_amount(t, "subtotal"), "tax": doc_amount(t, "tax"), "total": doc_amount(t, "total"), "iban": doc_iban(t, own_iban), "vat_number": doc_vat(t, own_vat),
+        "vendor": vendor, "invoice_number": doc_invoice_number(t), "issue_date": issued, "due_date": F.coalesce(doc_date(t, "due_date"), doc_due_from_terms(t, issued)),
+        "currency": doc_currency(t), "subtotal": doc_amount(t, "subtotal"), "tax": doc_amount(t, "tax"), "total": doc_amount(t, "total"),
+        "iban": doc_iban(t, own_iban, vendor), "vat_number": doc_vat(t, own_vat, vendor),
         "registration": doc_registration(t), "address": doc_address(t), "locale": doc_locale(t), "prepaid": doc_prepaid(t),
     }
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.cast("string").alias("value")) for f, v in values.items()]))
@@ -201,11 +309,35 @@ def page_first_value(reads: DataFrame) -> DataFrame:
     return best.select("doc_id", "field", "b.*")
 
 
-def extraction_assemble(reads: DataFrame) -> DataFrame:
-    """A header row per document from (doc_id, field, value), one column a field; a missing total is subtotal plus tax."""
-    wide = reads.groupBy("doc_id").pivot("field", ["vendor", "invoice_number", "issue_date", "due_date", "currency", "subtotal", "tax", "total"]).agg(F.first("value"))
-    number = lambda c: F.nullif(F.col(c).try_cast("double"), F.lit(0.0))
-    return wide.withColumn("total", F.coalesce(number("total"), F.round(number("subtotal") + F.coalesce(number("tax"), F.lit(0.0)), 2)))
+HEADER = ["vendor", "invoice_number", "issue_date", "due_date", "currency", "subtotal", "tax", "total"]
+
+
+def extraction_assemble(reads: DataFrame, items: DataFrame, files: DataFrame) -> DataFrame:
+    """A header row per document of files(doc_id, file_name, terms_days) from reads(doc_id, field, value) and line items(doc_id, amount).
+
+    A total that is missing or 0 is subtotal plus tax, else the sum of the lines; total_from says which. A missing
+    due date is the issue date and the terms, a missing vendor the file's name up to its last underscore or
+    dot. original keeps the reads as they were, by field. Of several reads of a field the least stands; a
+    document without any keeps a row with its file's name.
+    """
+    known = reads.filter(F.col("field").isin(HEADER) & (F.coalesce("value", F.lit("")) != ""))
+    least = known.groupBy("doc_id", "field").agg(F.min("value").alias("value"))
+    wide = least.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("original"))
+    sums = items.groupBy("doc_id").agg(F.count("*").alias("line_items"), F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("lines_sum"))
+    rows = files.select("doc_id", "file_name", "terms_days").join(wide, "doc_id", "left").join(sums, "doc_id", "left")
+    read = lambda f: F.try_element_at("original", F.lit(f))
+    number = lambda f: F.nullif(read(f).try_cast("double"), F.lit(0.0))
+    name = F.regexp_extract("file_name", r"([^/\\\\]+?)(?:[_.][^_/\\\\]*)?$", 1)
+    issued = F.try_to_date(read("issue_date"), "yyyy-MM-dd")
+    added = F.round(number("subtotal") + F.coalesce(number("tax"), F.lit(0.0)), 2)
+    totals = [(number("total"), "read"), (added, "parts"), (F.nullif("lines_sum", F.lit(0.0)), "lines")]
+    return rows.select(
+        "doc_id", F.coalesce(read("vendor"), F.nullif(name, F.lit(""))).alias("vendor"), read("invoice_number").alias("invoice_number"), issued.alias("issue_date"),
+        F.coalesce(F.try_to_date(read("due_date"), "yyyy-MM-dd"), F.date_add(issued, F.col("terms_days"))).alias("due_date"), read("currency").alias("currency"),
+        number("subtotal").alias("subtotal"), number("tax").alias("tax"),
+        F.coalesce(*[v for v, _ in totals]).alias("total"), F.coalesce(*[F.when(v.isNotNull(), F.lit(k)) for v, k in totals]).alias("total_from"),
+        F.coalesce("line_items", F.lit(0)).alias("line_items"), "original",
+    )
 
 
 def fill_gaps(primary: DataFrame, secondary: DataFrame) -> DataFrame:
@@ -256,11 +388,19 @@ def producer_signals(pages: DataFrame, by: str = "source") -> DataFrame:
 
 
 def vendor_embedding(texts: DataFrame, buckets: int = 256) -> DataFrame:
-    """doc_id and a unit vector of hashed words of two letters or more."""
-    tokens = F.filter(words_in(F.col("text")), lambda w: F.length(w) > 1)
-    rows = texts.select("doc_id", F.explode(tokens).alias("w")).groupBy("doc_id", F.pmod(F.crc32(F.encode("w", "utf-8")), F.lit(buckets)).cast("int").alias("i")).agg(F.count("*").cast("double").alias("n"))
-    sums = rows.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"), F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"))
-    return sums.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).alias("embedding"))
+    """doc_id, the fingerprint of a text's distinct words, and a unit vector of its hashed words; words have two letters or more.
+
+    A text without such a word has a vector of zeros.
+    """
+    rows = texts.select("doc_id", F.filter(words_in(F.coalesce("text", F.lit(""))), lambda w: F.length(w) > 1).alias("words"))
+    bucket = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
+    rows = rows.select("doc_id", F.sha2(F.array_join(F.sort_array(F.array_distinct("words")), " "), 256).alias("fingerprint"), F.sort_array(F.transform("words", bucket)).alias("found"))
+
+    def counted(found: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.size(F.filter(found, lambda b: b == i)).cast("double"))
+        return let(each, lambda n: let(F.sqrt(F.aggregate(n, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: F.transform(n, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))))
+
+    return rows.select("doc_id", "fingerprint", counted(F.col("found")).alias("embedding"))
 
 
 def identity_key(c: str) -> Column:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import anomalies, checks, duplicates, governance, lookups, matching
+from ..operators import anomalies, checks, documents, duplicates, governance, lookups, matching, vendors
+from ..streaming import checks as streams
 from .lines import COVER, CROSS, ISSUES, KEYED, MATCH, PEERS, QUERIES as LINE_QUERIES, keyed, lines_of
+from .vendors import QUERIES as VENDOR_QUERIES, proposed
 from .views import AS_OF
 
 OPEN = "status IN ('vendor_profile', 'processing', 'failed', 'draft', 'review', 'scheduled')"
@@ -18,7 +20,7 @@ st AS (SELECT id, vendor_key, total, issue_date, due_date, status, term, gap, nu
   count(CASE WHEN gap > 0 THEN 1 END) OVER w AS n_gaps, quantile_cont(CASE WHEN gap > 0 THEN gap END, 0.5) OVER w AS mi,
   count(CASE WHEN term >= 0 THEN 1 END) OVER w AS n_terms, quantile_cont(CASE WHEN term >= 0 THEN term END, 0.5) OVER w AS mt,
   avg(CASE WHEN total > 0 THEN CASE WHEN total % 100 = 0 THEN 1.0 ELSE 0.0 END END) OVER w AS rs, max(num) OVER w AS ln, list(num) OVER w AS nums
-  FROM r1 WINDOW w AS (PARTITION BY vendor_key ORDER BY issue_date, created_at, id ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING)),
+  FROM r1 WINDOW w AS (PARTITION BY vendor_key ORDER BY issue_date, created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 sm AS (SELECT *, coalesce(list_median(list_transform(list_filter(am, lambda x: x IS NOT NULL), lambda x: abs(x - median_total))), 0) AS mad,
   coalesce(list_max(list_transform(list_filter(am, lambda x: x IS NOT NULL), lambda x: len(list_filter(am, lambda y: y = x)))), 0) AS rep FROM st),
 kn4 AS (SELECT * FROM sm WHERE n_prior >= 4),
@@ -56,20 +58,56 @@ def attention(d):
 
 
 def audit(d):
-    """Requests as an audit trail with a hash over each entry and the one before; one entry in 97 is altered, one in 89 has no hash."""
-    from pyspark.sql import Window
+    """Requests as an audit trail, each entry with a hash over itself and the one before.
 
-    order = Window.partitionBy("invoice_id").orderBy("seq")
-    rows = d.v_requests.select("invoice_id", F.col("event_id").alias("seq"), "actor", F.col("transition").alias("action"), "note")
-    plain = rows.withColumn("link", F.sha2(F.concat_ws("|", "invoice_id", "seq"), 256))
-    chained = plain.withColumn("previous_hash", F.lag("link").over(order))
-    return chained.select("invoice_id", "seq", "actor", "action", F.when(F.col("seq") % 97 == 0, "altered").otherwise(F.col("note")).alias("note"), "previous_hash", F.when(F.col("seq") % 89 != 0, F.col("link")).alias("hash"))
+    One entry in 89 has no hash, and the chain starts anew after it. Later one in 97 was altered and one in
+    101 was taken out.
+    """
+    entry = F.struct(F.col("event_id").alias("seq"), "actor", F.col("transition").alias("action"), "note")
+    trails = d.v_requests.groupBy("invoice_id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+
+    def chained(so_far, e):
+        known = F.when(e.seq % 89 != 0, governance.entry_hash(so_far.last, [F.col("invoice_id"), e.seq, e.actor, e.action, e.note]))
+        link = F.struct(so_far.last.alias("previous"), known.alias("hash"))
+        return F.struct(F.coalesce(known, F.lit("")).alias("last"), F.array_append(so_far.links, link).alias("links"))
+
+    start = F.struct(F.lit("").alias("last"), F.array().cast("array<struct<previous:string,hash:string>>").alias("links"))
+    rows = trails.select("invoice_id", F.explode(F.arrays_zip("entries", F.aggregate("entries", start, chained).links.alias("links"))).alias("z"))
+    rows = rows.select("invoice_id", "z.entries.*", F.nullif("z.links.previous", F.lit("")).alias("previous_hash"), "z.links.hash")
+    return rows.filter("seq % 101 <> 0").withColumn("note", F.when(F.col("seq") % 97 == 0, "altered").otherwise(F.col("note")))
 
 
 def events(d):
     return d.v_requests.select("invoice_id", F.col("event_id").alias("seq"), "actor", F.col("transition").alias("action"))
 
 
+def approval_checks(d):
+    """Everything that an approval is judged by, from the invoices, their orders, vendors' records, tags and letters."""
+    matches = matching.po_match(lines_of(d), d.v_po_lines, d.v_receipts).withColumn("mode", F.lit("three_way"))
+    tags = duplicates.auto_tags(d.v_invoices, peers(d), AS_OF).select("id", F.explode("tags").alias("tag"))
+    prepaid = d.v_letters.filter(documents.doc_prepaid(F.col("text")).isNotNull()).select(F.col("doc_id").alias("id"))
+    identity = vendors.vendor_record_compare(d.v_invoices, proposed(d).filter("k % 9 <> 0"))
+    issues = checks.validation_issues(d.v_invoices, d.v_lines, "approve")
+    return governance.approval_checks(d.v_invoices, issues, identity, checks.tax_findings(d.v_invoices, "NL123456789B01"), matches, coverage(d), tags, prepaid)
+
+
+SPECS = ", ".join(f"('{t}', {starts or ['']}, '{to}', {roles}, {str(reason).lower()}, '{governance.DUTIES.get(t, '')}')" for t, (starts, to, roles, reason) in governance.TRANSITIONS.items())
+LAST = "SELECT invoice_id, event_id, outcome, status FROM f WHERE n > 0"
+# One request after the other, invoice by invoice: the state after each is that of the next.
+REPLAY = f"""WITH RECURSIVE t(transition, starts, target, roles, reason, duty) AS (VALUES {SPECS}),
+q AS (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY event_at, event_id) AS n FROM v_requests),
+x AS (SELECT q.*, t.starts, t.target, t.roles, t.reason, t.duty FROM q LEFT JOIN t USING (transition)),
+f AS (SELECT invoice_id, cast(0 AS bigint) AS n, cast(NULL AS bigint) AS event_id, '' AS outcome, 'draft' AS status, cast(NULL AS varchar) AS confirmed, cast(NULL AS varchar) AS approved, cast(NULL AS varchar) AS released FROM (SELECT DISTINCT invoice_id FROM q)
+UNION ALL SELECT invoice_id, n, event_id, o, CASE o WHEN 'accepted' THEN target ELSE was END, CASE WHEN o = 'accepted' AND duty = 'confirmed' THEN actor ELSE confirmed END,
+  CASE WHEN o = 'accepted' AND duty = 'approved' THEN actor ELSE approved END, CASE WHEN o = 'accepted' AND duty = 'released' THEN actor ELSE released END FROM (
+  SELECT x.invoice_id, x.n, x.event_id, x.actor, x.target, x.duty, f.status AS was, f.confirmed, f.approved, f.released,
+    CASE WHEN f.status = 'paid' AND x.transition <> 're-open' THEN 'immutable' WHEN x.target IS NULL OR NOT list_contains(x.starts, f.status) THEN 'illegal' WHEN NOT list_contains(x.roles, x.role) THEN 'role'
+      WHEN x.reason AND trim(coalesce(x.note, '')) = '' THEN 'reason-required' WHEN x.role <> 'system' AND coalesce(x.duty = 'confirmed' AND x.actor = f.confirmed
+        OR x.duty = 'approved' AND (x.actor = f.confirmed OR x.actor = f.approved) OR x.duty = 'released' AND (x.actor = f.approved OR x.actor = f.released), false) THEN 'sod' ELSE 'accepted' END AS o
+  FROM f JOIN x ON x.invoice_id = f.invoice_id AND x.n = f.n + 1))
+{LAST}"""
+
+
 QUERIES = {
     "vendor_baseline": (
         lambda d: anomalies.vendor_baseline(keyed(d)),
@@ -89,7 +127,10 @@ QUERIES = {
     "anomaly_number_gap": (lambda d: anomalies.anomaly_number_gap(stats(d)), f"WITH {STATS} SELECT * FROM f_gap"),
     "anomaly_timing": (lambda d: anomalies.anomaly_timing(stats(d)), f"WITH {STATS} SELECT * FROM f_time"),
     "anomaly_round": (lambda d: anomalies.anomaly_round(stats(d)), f"WITH {STATS} SELECT * FROM f_round"),
-    "anomaly_benign_dup": (lambda d: anomalies.anomaly_benign_dup(stats(d), peers(d)), f"WITH {STATS} SELECT * FROM f_benign"),
+    "anomaly_benign_dup": (
+        lambda d: anomalies.anomaly_benign_dup(anomalies.prior_stats(d.v_weekly), duplicates.duplicate_peers(d.v_weekly)),
+        "SELECT id, 'benign_duplicate' AS kind, 'info' AS severity FROM v_weekly WHERE id % 10 = 5 OR id % 10 = 7 AND total = 100.5",
+    ),
     "anomaly_findings": (lambda d: anomalies.anomaly_findings(keyed(d), peers(d)), f"WITH {STATS} SELECT * FROM found"),
     "attention": (
         lambda d: attention(d),
@@ -107,14 +148,13 @@ QUERIES = {
         f"""SELECT coalesce(nullif(currency, ''), 'EUR') AS currency, count(*) AS n, cast(sum(cast(total AS decimal(18,2))) AS double) AS amount, count(*) FILTER (WHERE status <> 'scheduled' AND status <> 'processing') AS needs_person,
         count(*) FILTER (WHERE due_date < DATE '{AS_OF}') AS n_late FROM v_invoices WHERE {OPEN} GROUP BY 1""",
     ),
-    "blocked_groups": (lambda d: governance.blocked_groups(attention(d)), f"WITH {COVER}, {ATTENTION} SELECT kind, count(*) AS n, list_sort(list(id)) AS ids FROM att WHERE kind IS NOT NULL GROUP BY 1"),
+    "blocked_groups": (lambda d: governance.blocked_groups(attention(d)), f"WITH {COVER}, {ATTENTION} SELECT kind, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM att WHERE kind IS NOT NULL GROUP BY 1"),
     "audit_chain_verify": (
         lambda d: governance.audit_chain_verify(audit(d)),
-        """WITH p AS (SELECT invoice_id, event_id AS seq, actor, transition AS action, note, sha256(concat(invoice_id, '|', event_id)) AS link FROM v_requests),
-        c AS (SELECT *, lag(link) OVER w AS ph FROM p WINDOW w AS (PARTITION BY invoice_id ORDER BY seq)),
-        e AS (SELECT *, CASE WHEN seq % 89 <> 0 THEN link END AS h, CASE WHEN seq % 97 = 0 THEN 'altered' ELSE note END AS n2 FROM c),
-        l AS (SELECT *, lag(h) OVER w AS before FROM e WINDOW w AS (PARTITION BY invoice_id ORDER BY seq)),
-        b AS (SELECT *, h IS NOT NULL AND NOT (coalesce(ph, '') = coalesce(before, '') AND h = sha256(concat(coalesce(ph, ''), '|', invoice_id, '|', seq, '|', actor, '|', action, '|', n2))) AS broken FROM l)
+        """WITH p AS (SELECT invoice_id, event_id AS seq, CASE WHEN event_id % 89 <> 0 THEN event_id END AS own FROM v_requests),
+        c AS (SELECT *, lag(own) OVER (PARTITION BY invoice_id ORDER BY seq) AS written FROM p),
+        l AS (SELECT *, lag(own) OVER (PARTITION BY invoice_id ORDER BY seq) AS found FROM c WHERE seq % 101 <> 0),
+        b AS (SELECT *, own IS NOT NULL AND (written IS DISTINCT FROM found OR seq % 97 = 0) AS broken FROM l)
         SELECT invoice_id, count(*) AS n_entries, count(*) FILTER (WHERE broken) = 0 AS valid, min(seq) FILTER (WHERE broken) AS first_break FROM b GROUP BY 1""",
     ),
     "audit_diff": (
@@ -137,7 +177,7 @@ QUERIES = {
         lambda d: governance.last_decision(events(d)),
         "SELECT invoice_id, transition AS action, actor, event_id AS seq FROM v_requests WHERE transition IN ('approve', 'reject') QUALIFY row_number() OVER (PARTITION BY invoice_id ORDER BY event_id DESC) = 1",
     ),
-    "lifecycle_replay": (lambda d: governance.lifecycle_replay(d.v_requests), None),
+    "lifecycle_replay": (lambda d: governance.lifecycle_replay(d.v_requests), REPLAY),
     "approval_gate": (
         lambda d: governance.approval_gate(d.v_invoices.filter("status in ('draft', 'review')").select("id", "po_id"), checks.validation_issues(d.v_invoices, d.v_lines, "approve"), matching.po_match_summary(matching.po_match(lines_of(d), d.v_po_lines, d.v_receipts), True), coverage(d)),
         f"""WITH {MATCH[5:]}, {COVER_ALONE}, bad AS (SELECT DISTINCT id FROM ({APPROVE_ISSUES}) WHERE severity = 'error'), orderless AS (SELECT invoice_id AS id FROM m3 GROUP BY 1 HAVING bool_and(status = 'no_po')), short AS (SELECT DISTINCT invoice_id AS id FROM m3 WHERE status <> 'matched')
@@ -145,8 +185,25 @@ QUERIES = {
         FROM v_invoices i LEFT JOIN cover c USING (id) WHERE i.status IN ('draft', 'review')""",
     ),
     "approval_verdict": (
-        lambda d: governance.approval_verdict(d.v_invoices, checks.validation_issues(d.v_invoices, d.v_lines, "approve"), checks.tax_findings(d.v_invoices, "NL123456789B01")),
-        f"""WITH f AS (SELECT id, severity FROM ({APPROVE_ISSUES}) UNION ALL SELECT id, severity FROM ({LINE_QUERIES["tax_findings"][1]}))
-        SELECT i.id, count(*) FILTER (WHERE f.severity = 'error') AS n_blocking, count(*) FILTER (WHERE f.severity = 'attention') AS n_attention, count(*) FILTER (WHERE f.severity = 'error') = 0 AS approvable FROM v_invoices i LEFT JOIN f USING (id) GROUP BY 1""",
+        lambda d: governance.approval_verdict(d.v_invoices, approval_checks(d)),
+        f"""WITH {MATCH[5:]}, {COVER_ALONE}, ol AS (SELECT invoice_id, count(*) FILTER (WHERE status <> 'matched') AS n_off FROM m3 GROUP BY 1 HAVING NOT bool_and(status = 'no_po')),
+        f AS (SELECT id, 'blocking' AS s FROM ({APPROVE_ISSUES}) WHERE severity = 'error'
+          UNION ALL SELECT id, CASE verdict WHEN 'ok' THEN 'ok' ELSE 'attention' END FROM ({VENDOR_QUERIES["vendor_record_compare"][1]})
+          UNION ALL SELECT id, CASE severity WHEN 'ok' THEN 'ok' ELSE 'attention' END FROM ({LINE_QUERIES["tax_findings"][1]})
+          UNION ALL SELECT invoice_id, CASE status WHEN 'matched' THEN 'ok' ELSE 'blocking' END FROM m3 WHERE invoice_id IN (SELECT invoice_id FROM ol)
+          UNION ALL SELECT i.id, CASE c.status WHEN 'exception' THEN 'blocking' WHEN 'matched' THEN 'ok' ELSE 'attention' END FROM v_invoices i LEFT JOIN cover c USING (id) WHERE i.id NOT IN (SELECT invoice_id FROM ol)
+          UNION ALL SELECT invoice_id, CASE n_off WHEN 0 THEN 'ok' ELSE 'attention' END FROM ol
+          UNION ALL SELECT id, CASE WHEN tag IN ('Duplicate risk', 'First-time vendor', 'Late') THEN 'attention' ELSE 'ok' END FROM (SELECT id, unnest(tags) AS tag FROM ({LINE_QUERIES["auto_tags"][1]}))
+          UNION ALL SELECT id, 'ok' FROM v_invoices WHERE gl_account <> '' OR department <> ''
+          UNION ALL SELECT id, 'attention' FROM v_invoices WHERE id % 9 = 0 AND total > 0),
+        n AS (SELECT id, count(*) FILTER (WHERE s = 'blocking') AS b, count(*) FILTER (WHERE s = 'attention') AS a, count(*) FILTER (WHERE s = 'ok') AS o FROM f GROUP BY 1)
+        SELECT i.id, coalesce(b, 0) AS n_blocking, coalesce(a, 0) AS n_attention, coalesce(o, 0) AS n_ok, coalesce(b, 0) = 0 AS approvable FROM v_invoices i LEFT JOIN n USING (id)""",
+    ),
+    "lifecycle_outcomes": (lambda d: governance.lifecycle_replay(d.v_requests).groupBy("outcome").agg(F.count("*").alias("n")), f"{REPLAY.removesuffix(LAST)} SELECT outcome, count(*) AS n FROM f WHERE n > 0 GROUP BY 1"),
+    "stream_lifecycle": (lambda d: streams.drained(streams.lifecycle(streams.folder_stream(d.spark, d.v_requests, "requests", key="invoice_id")), "lifecycle"), REPLAY),
+    "stream_invoice_monitor": (
+        lambda d: streams.drained(streams.folder_stream(d.spark, keyed(d), "arrivals", 2), "monitor", each=lambda b: streams.monitored(b, keyed(d), AS_OF)),
+        f"""WITH {STATS} SELECT id, 'tag' AS source, unnest(tags) AS finding FROM ({LINE_QUERIES["auto_tags"][1]})
+        UNION ALL SELECT id, 'duplicate', cast(peer AS varchar) FROM peers UNION ALL SELECT id, 'anomaly', kind FROM found""",
     ),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import duplicates, governance, lookups, vendors as V, words as W
+from ..operators import duplicates, lookups, vendors as V, words as W
 from ..sources.invoices import invoice_load
 from ..sources.scratch import scratch_path
 from ..streaming import checks as S
@@ -40,11 +40,18 @@ def clustered(d):
     return W.line_cluster(words(d))
 
 
+def letter_words(d):
+    """The words of the letters, with places by line and order."""
+    lines = d.v_letters.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "row"))
+    each = lines.select("doc_id", "line_no", F.posexplode(F.filter(F.split("row", " "), lambda w: w != "")).alias("p", "text"))
+    return each.select("doc_id", F.lit(1).alias("page"), (F.col("line_no") * 1000 + F.col("p")).alias("pos"), "text", (F.col("p") / 100).alias("x"), (F.col("line_no") / 1000).alias("y"))
+
+
 def known_values(d):
-    """The first word of each document's first line, and the next two together."""
-    first = W.line_texts(clustered(d)).filter("line = 0").select("doc_id", F.split("text", " ").alias("w"))
-    one = first.select("doc_id", F.lit("one").alias("field"), F.get("w", 0).alias("value"))
-    return one.unionByName(first.filter("size(w) >= 3").select("doc_id", F.lit("two").alias("field"), F.concat(F.get("w", 1), F.get("w", 2)).alias("value")))
+    """What invoices hold for the letters: vendor, issue date, total and account number."""
+    held = {"vendor": F.col("vendor"), "issue_date": F.col("issue_date").cast("string"), "total": F.col("total").cast("decimal(18,2)").cast("string"), "iban": F.col("iban")}
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in held.items()]))
+    return d.v_invoices.select(F.col("id").alias("doc_id"), each.alias("v")).select("doc_id", "v.*")
 
 
 def bands(d):
@@ -55,7 +62,9 @@ def vectors(d):
     rows = d.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     templates = rows.filter("id % 10 = 0")
     copies = templates.select((F.col("id") + 1000000).alias("id"), F.transform("embedding", lambda x, i: F.when(i == 0, x * 1.1).otherwise(x)).alias("embedding"))
-    return rows.filter("id % 10 <> 0").unionByName(copies), templates
+    twins = templates.filter("id % 20 = 0").select((F.col("id") + 2000000).alias("id"), "embedding")
+    printed = lambda df: df.withColumn("fingerprint", F.sha2(F.to_json("embedding"), 256))
+    return printed(rows.filter("id % 10 <> 0").unionByName(copies).unionByName(twins)), printed(templates)
 
 
 def stored(d):
@@ -126,12 +135,14 @@ QUERIES = {
         f"WITH {WORDS} SELECT doc_id, line, CASE WHEN p < 3 THEN 'description' WHEN p < 5 THEN 'quantity' ELSE 'amount' END AS field, string_agg(text, ' ' ORDER BY p) AS value FROM cl WHERE p < 8 GROUP BY 1, 2, 3",
     ),
     "value_locate": (
-        lambda d: W.value_locate(clustered(d), known_values(d), 3).drop("page"),
-        f"""WITH {WORDS}, pl AS (SELECT *, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS t, row_number() OVER (PARTITION BY doc_id, line ORDER BY p) AS i FROM cl),
-        g AS (SELECT doc_id, line, i, 1 AS n, t AS run FROM pl UNION ALL SELECT a.doc_id, a.line, a.i, 2, a.t || b.t FROM pl a JOIN pl b ON a.doc_id = b.doc_id AND a.line = b.line AND b.i = a.i + 1
-          UNION ALL SELECT a.doc_id, a.line, a.i, 3, a.t || b.t || c.t FROM pl a JOIN pl b ON a.doc_id = b.doc_id AND a.line = b.line AND b.i = a.i + 1 JOIN pl c ON a.doc_id = c.doc_id AND a.line = c.line AND c.i = a.i + 2),
-        v AS (SELECT DISTINCT doc_id, 'one' AS field, t AS run FROM pl WHERE line = 0 AND i = 1 AND t <> '' UNION ALL SELECT DISTINCT a.doc_id, 'two', a.t || b.t FROM pl a JOIN pl b ON a.doc_id = b.doc_id AND a.line = 0 AND b.line = 0 AND a.i = 2 AND b.i = 3 AND a.t || b.t <> '')
-        SELECT doc_id, field, line, cast(i AS int) AS first, n FROM g JOIN v USING (doc_id, run) WHERE run <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, field, line, i ORDER BY n DESC) = 1""",
+        lambda d: W.value_locate(W.line_cluster(letter_words(d)), known_values(d)).drop("page"),
+        # Where the letters print each value follows from their language and layout.
+        """WITH p AS (SELECT l.*, i.iban, 1 + CASE WHEN l.doc_id % 2 = 0 THEN 2 ELSE 0 END AS top, 1 + CASE WHEN l.doc_id % 4 IN (1, 2) THEN 1 ELSE 0 END + CASE WHEN lang <> 'ES' THEN 1 ELSE 0 END AS more,
+          CASE WHEN l.currency IS NULL THEN 0 ELSE 1 END AS cur, CASE WHEN lang = 'FR' AND l.total >= 1000 THEN 1 ELSE 0 END AS split, CASE WHEN lang = 'EN' THEN 1 ELSE 0 END AS en FROM v_letters l JOIN v_invoices i ON i.id = l.doc_id)
+        SELECT doc_id, 'vendor' AS field, top AS line, 2 AS first, 1 + CASE WHEN vendor LIKE '% B.V.' THEN 1 ELSE 0 END + CASE WHEN lang = 'FR' THEN 1 ELSE 0 END AS n, true AS exact FROM p
+        UNION ALL SELECT doc_id, 'issue_date', top + more + 3, CASE lang WHEN 'EN' THEN 3 WHEN 'FR' THEN 5 WHEN 'ES' THEN 4 ELSE 2 END, CASE WHEN lang IN ('EN', 'FR') THEN 3 ELSE 1 END, true FROM p
+        UNION ALL SELECT doc_id, 'iban', top + more + 5, 2, 1, true FROM p WHERE iban <> ''
+        UNION ALL SELECT doc_id, 'total', top + more + 13, CASE lang WHEN 'DE' THEN 2 WHEN 'NL' THEN 3 WHEN 'EN' THEN 2 ELSE 4 END, 1 + cur + split + en, true FROM p""",
     ),
     "vendor_block": (
         lambda d: W.vendor_block(clustered(d)),
@@ -145,10 +156,11 @@ QUERIES = {
     "template_match": (
         lambda d: W.template_match(*vectors(d)),
         """WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: cast(x AS double)) AS v FROM embeddings), t AS (SELECT * FROM e WHERE id % 10 = 0),
-        q AS (SELECT * FROM e WHERE id % 10 <> 0 UNION ALL SELECT id + 1000000, list_concat([v[1] * 1.1], v[2:]) FROM t),
-        p AS (SELECT q.id AS query_id, t.id AS template_id, round(list_cosine_similarity(q.v, t.v), 6) AS cosine FROM q CROSS JOIN t),
+        q AS (SELECT * FROM e WHERE id % 10 <> 0 UNION ALL SELECT id + 1000000, list_concat([v[1] * 1.1], v[2:]) FROM t UNION ALL SELECT id + 2000000, v FROM t WHERE id % 20 = 0),
+        s AS (SELECT q.id AS query_id, min(t.id) AS template_id FROM q JOIN t ON q.v = t.v GROUP BY 1),
+        p AS (SELECT q.id AS query_id, t.id AS template_id, round(list_cosine_similarity(q.v, t.v), 6) AS cosine FROM q CROSS JOIN t WHERE q.id NOT IN (SELECT query_id FROM s)),
         r AS (SELECT *, row_number() OVER w AS rk, lead(cosine) OVER w AS nx FROM p WINDOW w AS (PARTITION BY query_id ORDER BY cosine DESC, template_id))
-        SELECT query_id, template_id, cosine FROM r WHERE rk = 1 AND cosine >= 0.82 AND (nx IS NULL OR round(cosine - nx, 6) >= 0.06)""",
+        SELECT query_id, template_id, 1.0 AS cosine FROM s UNION ALL SELECT query_id, template_id, cosine FROM r WHERE rk = 1 AND cosine >= 0.82 AND (nx IS NULL OR round(cosine - nx, 6) >= 0.06)""",
     ),
     "stream_hash_gate": (
         lambda d: S.drained(S.first_seen(S.folder_stream(d.spark, hashes(d), "hashes")), "gate").select("file_hash"),
@@ -158,12 +170,6 @@ QUERIES = {
         lambda d: S.drained(S.newest_sync(S.folder_stream(d.spark, d.v_sync, "sync")), "latest", "update", keys=["invoice_id"]),
         "SELECT invoice_id, max(event_at) AS event_at, arg_max(event_id, event_at) AS event_id, arg_max(status, event_at) AS status FROM v_sync GROUP BY 1",
     ),
-    "stream_lifecycle": (lambda d: S.drained(S.lifecycle(S.folder_stream(d.spark, d.v_requests, "requests", 1)), "lifecycle"), None),
-    "stream_invoice_monitor": (
-        lambda d: S.drained(S.folder_stream(d.spark, keyed(d).filter("id % 10 = 0"), "arrivals", 2), "monitor", each=lambda b: S.monitored(b, keyed(d), duplicates.duplicate_peers)).select("id", "peer"),
-        f"WITH {PEERS} SELECT id, peer FROM peers WHERE id % 10 = 0",
-    ),
-    "lifecycle_outcomes": (lambda d: governance.lifecycle_replay(d.v_requests).groupBy("outcome").agg(F.count("*").alias("n")), None),
     "latest_sync_by_kind": (
         lambda d: lookups.latest_sync(d.v_sync, ("invoice_id", "kind")),
         "SELECT invoice_id, kind, max(event_at) AS event_at, arg_max(event_id, event_at) AS event_id, arg_max(status, event_at) AS status FROM v_sync GROUP BY 1, 2",
