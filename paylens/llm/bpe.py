@@ -190,7 +190,7 @@ class Merger:
 class Codec:
     """Encodes and decodes texts. memo bounds the remembered words, not the texts: a full memory starts anew."""
 
-    def __init__(self, vocabulary: dict, memo: int = 500_000):
+    def __init__(self, vocabulary: dict, memo: int = 200_000):
         self.tokens, self.added = vocabulary["tokens"], vocabulary["added"]
         self.merger, self.memo, self.known = Merger(vocabulary), memo, {}
         self.split = regex.compile(PATTERN).findall
@@ -226,7 +226,7 @@ class Codec:
         at = 0
         while at < len(texts):
             size, end = 0, at
-            while end < len(texts) and (size == 0 or size + len(texts[end]) <= 4_000_000):
+            while end < len(texts) and (size == 0 or size + len(texts[end]) <= 1_000_000):
                 size += len(texts[end])
                 end += 1
             split = [self.pieces(t) for t in texts[at:end]]

@@ -100,7 +100,7 @@ def survey(docs: DataFrame, k: int, share: float) -> DataFrame:
                 fine.append(fine_vector(s))
                 held.append(s)
                 size += len(s)
-                if size >= 3_000_000:
+                if size >= 1_000_000:
                     yield frequent(ids)
                     held, size = [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.zeros(len(keys), bool)), pa.array(vectors, pa.binary()), pa.array(fine, pa.binary())], ["doc_id", "set_key", "n", "common", "vector", "fine"])

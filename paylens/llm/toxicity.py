@@ -183,7 +183,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", thresho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = scores([t or b"" for t in utf8_values(batch.column(at))], shared.value)
-            yield batch.filter(pa.array(s < threshold))
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                yield part.filter(pa.array(scores([t or b"" for t in utf8_values(part.column(at))], shared.value) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
