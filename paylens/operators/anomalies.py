@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.money import exact_sum, is_round, same_amount
 from ..functions.running import Past
+from ..sources.scratch import scratch_path
 
 # Thresholds of the detectors.
 MIN_PRIOR, OUTLIER_SCALE, RELATIVE_FLOOR, HIGH_MULTIPLE, TERM_SHIFT, ROUND_CEILING, REPEAT_MIN = 4, 3.5, 0.5, 3, 7, 0.25, 3
@@ -143,9 +144,12 @@ OPEN = ["vendor_profile", "processing", "failed", "draft", "review", "scheduled"
 def anomaly_findings(invoices: DataFrame, peers: DataFrame) -> DataFrame:
     """All findings on open invoices; callers order them by severity, then id.
 
-    The statistics are computed once and read five times, so they are cached.
+    The statistics are computed once and read five times, so they are written to the shared folder first.
     """
-    stats = prior_stats(invoices).filter(F.col("status").isin(OPEN)).cache()
+    learnt = prior_stats(invoices).filter(F.col("status").isin(OPEN) & (F.col("n_prior") >= MIN_PRIOR))
+    path = scratch_path(invoices.sparkSession, "stats")
+    learnt.write.parquet(path)
+    stats = invoices.sparkSession.read.schema(learnt.schema).parquet(path)
     out = anomaly_amount(stats).unionByName(anomaly_number_gap(stats)).unionByName(anomaly_timing(stats)).unionByName(anomaly_round(stats))
     return out.unionByName(anomaly_benign_dup(stats, peers))
 

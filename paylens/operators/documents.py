@@ -187,7 +187,7 @@ def doc_registration(text: Column, email: Column | None = None) -> Column:
     """The digits after a register's label: those nearest to the e-mail address where one is given and there, else by the order of registers."""
     found = []
     for i, (labels, least, most) in enumerate(REGISTERS):
-        pattern = rf"(?iu){either(labels)}{GAP}(\d(?:[ .-]?\d){{{least - 1},{most - 1}}})(?!\d)"
+        pattern = rf"(?iu){either(labels)}(?:[\s-]*(?:nr|no|num|nummer|number)(?!\p{{L}}))?{GAP}(\d(?:[ .-]?\d){{{least - 1},{most - 1}}})(?!\d)"
         ranks = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
         found.append(F.transform(ranks, lambda x, k: F.struct(F.lit(i).alias("i"), k.alias("k"), x.alias("v"))))  # noqa: B023
     anchor = F.lit(None).cast("int") if email is None else place(F.lower(text), F.lower(email))
@@ -341,13 +341,17 @@ def extraction_assemble(reads: DataFrame, items: DataFrame, files: DataFrame) ->
 
 
 def fill_gaps(primary: DataFrame, secondary: DataFrame) -> DataFrame:
-    """doc_id, field, value and source: the primary reader's value unless it is empty or 0, then the secondary's."""
-    def useful(c: str) -> Column:
-        return F.when(~F.col(c).isin("", "0", "0.0", "0.00"), F.col(c))
+    """doc_id, field, value, page, provenance and source: the primary reader's value unless it is empty or 0, then the secondary's.
 
-    both = primary.withColumnRenamed("value", "p").join(secondary.withColumnRenamed("value", "s"), ["doc_id", "field"], "full_outer")
-    out = both.withColumn("value", F.coalesce(useful("p"), useful("s")))
-    return out.filter("value is not null").select("doc_id", "field", "value", F.when(useful("p").isNotNull(), "primary").otherwise("secondary").alias("source"))
+    Page and provenance are those of the reader whose value it is.
+    """
+    def read(df: DataFrame, name: str) -> DataFrame:
+        useful = ~F.coalesce("value", F.lit("")).isin("", "0", "0.0", "0.00")
+        return df.filter(useful).select("doc_id", "field", F.struct("value", "page", "provenance").alias(name))
+
+    both = read(primary, "p").join(read(secondary, "s"), ["doc_id", "field"], "full_outer")
+    chosen = both.select("doc_id", "field", F.coalesce("p", "s").alias("c"), F.when(F.col("p").isNotNull(), "primary").otherwise("secondary").alias("source"))
+    return chosen.select("doc_id", "field", "c.*", "source")
 
 
 def template_drift(expected: DataFrame, reads: DataFrame) -> DataFrame:
@@ -355,13 +359,17 @@ def template_drift(expected: DataFrame, reads: DataFrame) -> DataFrame:
     return expected.join(reads.filter(F.coalesce("value", F.lit("")) != ""), ["doc_id", "field"], "left_anti")
 
 
-def reader_crosscheck(a: DataFrame, b: DataFrame, money_fields: tuple[str, ...] = ("subtotal", "tax", "total")) -> DataFrame:
-    """doc_id, field and verdict of two readers: agree, disagree, or unverified where only one read it."""
+def reader_crosscheck(a: DataFrame, b: DataFrame, money_fields: tuple[str, ...] = ("subtotal", "tax", "total"), date_fields: tuple[str, ...] = ("issue_date", "due_date")) -> DataFrame:
+    """doc_id, field and verdict of two readers: agree, disagree, or unverified where only one read it.
+
+    Amounts agree within 0.02, dates where they are one day, whatever their form, other texts where one holds the other.
+    """
     both = a.withColumnRenamed("value", "a").join(b.withColumnRenamed("value", "b"), ["doc_id", "field"], "full_outer")
     plain = lambda c: F.regexp_replace(F.lower(F.col(c)), r"[^\p{L}\p{N}]", "")
     money = F.abs(F.col("a").try_cast("double") - F.col("b").try_cast("double")) <= 0.02
+    day = date_value(F.col("a")) == date_value(F.col("b"))
     text = F.contains(plain("a"), plain("b")) | F.contains(plain("b"), plain("a"))
-    same = F.when(F.col("field").isin(list(money_fields)), F.coalesce(money, F.lit(False))).otherwise(text)
+    same = F.when(F.col("field").isin(list(money_fields)), F.coalesce(money, F.lit(False))).when(F.col("field").isin(list(date_fields)), F.coalesce(day, F.lit(False))).otherwise(text)
     lacking = (F.coalesce("a", F.lit("")) == "") | (F.coalesce("b", F.lit("")) == "")
     return both.select("doc_id", "field", F.when(lacking, "unverified").when(same, "agree").otherwise("disagree").alias("verdict"))
 

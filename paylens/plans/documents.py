@@ -21,6 +21,16 @@ def long(d, name, drop=7):
     return getattr(d, name).select("doc_id", "field", "value").filter(F.col("doc_id") % drop != 0)
 
 
+def read_by(d, name, drop, page, provenance):
+    return long(d, name, drop).withColumns({"page": F.lit(page), "provenance": F.lit(provenance)})
+
+
+def days(d, wrong):
+    """Issue dates as a reader prints them, a day late where wrong says so."""
+    day = F.date_add("issue_date", F.when(wrong, 1).otherwise(0))
+    return d.v_invoices.select(F.col("id").alias("doc_id"), F.lit("issue_date").alias("field"), day.alias("day"))
+
+
 OUT = """o AS (SELECT coalesce(t.doc_id, p.doc_id) AS doc_id, coalesce(t.source, p.source) AS source, coalesce(t.field, p.field) AS field,
 CASE WHEN coalesce(t.value, '') <> '' AND coalesce(p.value, '') <> '' THEN CASE WHEN t.value = p.value THEN 'correct' ELSE 'wrong' END WHEN coalesce(t.value, '') <> '' THEN 'missing' WHEN coalesce(p.value, '') <> '' THEN 'unexpected' END AS outcome
 FROM v_truth t FULL JOIN v_predicted p ON t.doc_id = p.doc_id AND t.source = p.source AND t.field = p.field),
@@ -104,8 +114,9 @@ QUERIES = {
         cast(2 + (invoice_number IS NOT NULL)::int + 1 + (currency IS NOT NULL)::int + 1 - (l.doc_id % 11 = 0)::int - (l.doc_id % 7 = 0)::int + CASE WHEN l.doc_id % 3 = 0 THEN 0 WHEN l.doc_id % 5 = 0 THEN 1 ELSE 2 END AS int) AS n_original FROM v_letters l""",
     ),
     "fill_gaps": (
-        lambda d: D.fill_gaps(long(d, "v_predicted"), long(d, "v_truth", 11)),
-        """SELECT coalesce(p.doc_id, t.doc_id) AS doc_id, coalesce(p.field, t.field) AS field, coalesce(nullif(p.value, ''), t.value) AS value, CASE WHEN coalesce(p.value, '') <> '' THEN 'primary' ELSE 'secondary' END AS source
+        lambda d: D.fill_gaps(read_by(d, "v_predicted", 7, 2, "read"), read_by(d, "v_truth", 11, 1, "exact")),
+        """SELECT coalesce(p.doc_id, t.doc_id) AS doc_id, coalesce(p.field, t.field) AS field, coalesce(nullif(p.value, ''), t.value) AS value,
+        CASE WHEN coalesce(p.value, '') <> '' THEN 2 ELSE 1 END AS page, CASE WHEN coalesce(p.value, '') <> '' THEN 'read' ELSE 'exact' END AS provenance, CASE WHEN coalesce(p.value, '') <> '' THEN 'primary' ELSE 'secondary' END AS source
         FROM (SELECT * FROM v_predicted WHERE doc_id % 7 <> 0) p FULL JOIN (SELECT * FROM v_truth WHERE doc_id % 11 <> 0) t ON p.doc_id = t.doc_id AND p.field = t.field WHERE coalesce(nullif(p.value, ''), nullif(t.value, '')) IS NOT NULL""",
     ),
     "template_drift": (
@@ -113,10 +124,14 @@ QUERIES = {
         "SELECT doc_id, field FROM v_truth t WHERE NOT EXISTS (SELECT 1 FROM v_predicted p WHERE p.doc_id = t.doc_id AND p.field = t.field AND p.value <> '')",
     ),
     "reader_crosscheck": (
-        lambda d: D.reader_crosscheck(long(d, "v_truth"), long(d, "v_predicted", 11)),
+        lambda d: D.reader_crosscheck(
+            long(d, "v_truth").unionByName(days(d, F.lit(False)).select("doc_id", "field", F.col("day").cast("string").alias("value"))),
+            long(d, "v_predicted", 11).unionByName(days(d, F.col("id") % 10 == 1).select("doc_id", "field", F.date_format("day", "d-MM-yyyy").alias("value"))),
+        ),
         """WITH x AS (SELECT coalesce(t.doc_id, p.doc_id) AS doc_id, coalesce(t.field, p.field) AS field, t.value AS a, p.value AS b FROM (SELECT * FROM v_truth WHERE doc_id % 7 <> 0) t FULL JOIN (SELECT * FROM v_predicted WHERE doc_id % 11 <> 0) p ON p.doc_id = t.doc_id AND p.field = t.field)
         SELECT doc_id, field, CASE WHEN coalesce(a, '') = '' OR coalesce(b, '') = '' THEN 'unverified' WHEN field = 'total' THEN CASE WHEN coalesce(abs(try_cast(a AS double) - try_cast(b AS double)) <= 0.02, false) THEN 'agree' ELSE 'disagree' END
-        WHEN contains(regexp_replace(lower(a), '[^\\p{L}\\p{N}]', '', 'g'), regexp_replace(lower(b), '[^\\p{L}\\p{N}]', '', 'g')) OR contains(regexp_replace(lower(b), '[^\\p{L}\\p{N}]', '', 'g'), regexp_replace(lower(a), '[^\\p{L}\\p{N}]', '', 'g')) THEN 'agree' ELSE 'disagree' END AS verdict FROM x""",
+        WHEN contains(regexp_replace(lower(a), '[^\\p{L}\\p{N}]', '', 'g'), regexp_replace(lower(b), '[^\\p{L}\\p{N}]', '', 'g')) OR contains(regexp_replace(lower(b), '[^\\p{L}\\p{N}]', '', 'g'), regexp_replace(lower(a), '[^\\p{L}\\p{N}]', '', 'g')) THEN 'agree' ELSE 'disagree' END AS verdict FROM x
+        UNION ALL SELECT id, 'issue_date', CASE WHEN id % 10 = 1 THEN 'disagree' ELSE 'agree' END FROM v_invoices""",
     ),
     "field_triage": (
         lambda d: D.field_triage(d.v_truth.select(F.col("doc_id").alias("id"), "field", "value", F.when(F.col("doc_id") % 5 == 0, "derived").otherwise("read").alias("provenance")), ("invoiceNumber", "currency", "total")),

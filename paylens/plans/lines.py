@@ -70,9 +70,11 @@ QUERIES = {
         UNION ALL SELECT id, 'tax:reverse-charge', CASE WHEN tax > 0.02 THEN 'attention' ELSE 'ok' END FROM x WHERE cc <> 'NL' AND cc IN ({EU})""",
     ),
     "identifier_quality": (
-        lambda d: checks.identifier_quality(d.v_invoices, iban_valid("iban")),
+        lambda d: checks.identifier_quality(d.v_invoices.withColumn("registration_number", F.lpad((F.col("id") % 90000000 + 10000000).cast("string"), 8, "0")), iban_valid("iban")),
         f"""SELECT vat_number[1:2] AS country, 'vat' AS kind, regexp_matches(vat_number, {VAT}) AS valid, count(*) AS n FROM v_invoices WHERE vat_number <> '' GROUP BY 1, 3
-        UNION ALL SELECT iban[1:2], 'iban', list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(iban[5:] || iban[1:4], ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN cast(ascii(c) - 55 AS string) ELSE c END), ''), ''), lambda c: cast(c AS int)), lambda r, c: (r * 10 + c) % 97) = 1, count(*) FROM v_invoices WHERE iban <> '' GROUP BY 1, 3""",
+        UNION ALL SELECT iban[1:2], 'iban', list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(iban[5:] || iban[1:4], ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN cast(ascii(c) - 55 AS string) ELSE c END), ''), ''), lambda c: cast(c AS int)), lambda r, c: (r * 10 + c) % 97) = 1, count(*) FROM v_invoices WHERE iban <> '' GROUP BY 1, 3
+        UNION ALL SELECT 'NL', 'vat_checksum', cast(vat_number[3:11] || vat_number[13:14] AS bigint) % 97 = 0, count(*) FROM v_invoices WHERE vat_number LIKE 'NL%' GROUP BY 1, 3
+        UNION ALL SELECT 'NL', 'kvk', list_sum(list_transform(range(1, 8), lambda i: i * cast(r[i] AS int))) % 11 = cast(r[8] AS int), count(*) FROM (SELECT cast(id % 90000000 + 10000000 AS varchar) AS r FROM v_invoices WHERE vat_number LIKE 'NL%' OR vat_number = '' AND iban LIKE 'NL%') GROUP BY 1, 3""",
     ),
     "reconcile_extraction": (
         lambda d: checks.reconcile_extraction(d.v_invoices.select("id", F.explode(F.array(F.lit("total"), F.lit("vendor"))).alias("field"), F.lit("read").alias("provenance")), checks.totals_crosscheck(d.v_invoices, d.v_lines)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lookups, queue, spend
+from ..sources.scratch import scratch_path
 from .views import AS_OF
 
 CUR = "coalesce(nullif(currency, ''), 'EUR')"
@@ -22,6 +23,15 @@ def paid(d):
     return d.v_invoices.filter("status = 'paid'")
 
 
+def bookkeeping_file(d):
+    """The lines of the hand-off file as they are read back; the reader takes the byte order mark off."""
+    path = scratch_path(d.spark, "handoff")
+    marked = d.v_invoices.withColumns({"vendor": F.concat("vendor", F.lit(', "Dept"')), "memo": F.concat(F.lit("="), "memo")})
+    numbers = d.v_po_lines.select("po_id").distinct().withColumn("number", F.upper("po_id"))
+    queue.write_bookkeeping_csv(queue.bookkeeping_rows(marked, numbers), path)
+    return d.spark.read.option("lineSep", "\r\n").text(path).select(F.col("value").alias("line"))
+
+
 QUERIES = {
     "totals_by_currency": (lambda d: spend.totals_by_currency(d.v_invoices), f"SELECT {CUR} AS currency, {SUM} AS total, count(*) AS n FROM v_invoices GROUP BY 1"),
     "spend_filter": (
@@ -69,6 +79,15 @@ QUERIES = {
         gl_account, department, category, '' AS cost_center, '' AS project, '' AS location, coalesce(p.number, '') AS po_number, memo
         FROM v_invoices i LEFT JOIN (SELECT DISTINCT po_id, upper(po_id) AS number FROM v_po_lines) p USING (po_id) WHERE status = 'scheduled' AND source <> 'sample'""",
     ),
+    "bookkeeping_file": (
+        lambda d: bookkeeping_file(d),
+        """WITH r AS (SELECT i.invoice_number, cast(issue_date AS string) AS a, cast(due_date AS string) AS b, concat(chr(34), vendor, ', ', chr(34), chr(34), 'Dept', chr(34), chr(34), chr(34)) AS vendor, vat_number, iban, currency,
+        cast(cast(round(subtotal, 2) AS decimal(18,2)) AS string) AS s, cast(cast(round(tax, 2) AS decimal(18,2)) AS string) AS x, cast(cast(round(total, 2) AS decimal(18,2)) AS string) AS t,
+        gl_account, department, category, '' AS c, '' AS p, '' AS l, coalesce(p.number, '') AS po_number, concat(chr(39), '=', memo) AS m
+        FROM v_invoices i LEFT JOIN (SELECT DISTINCT po_id, upper(po_id) AS number FROM v_po_lines) p USING (po_id) WHERE status = 'scheduled' AND source <> 'sample')
+        SELECT 'invoice_number,invoice_date,due_date,vendor,vat_number,iban,currency,subtotal,vat_amount,total,gl_account,department,category,cost_center,project,location,po_number,memo' AS line
+        UNION ALL SELECT concat_ws(',', invoice_number, a, b, vendor, vat_number, iban, currency, s, x, t, gl_account, department, category, c, p, l, po_number, m) FROM r""",
+    ),
     "queue_split": (
         lambda d: queue.queue_split(d.v_invoices.filter("id % 3 <> 0"), d.v_invoices.filter("id % 3 <> 1").withColumn("status", F.lit("archived"))).select("id", "status", "place"),
         "SELECT id, CASE WHEN id % 3 = 0 THEN 'archived' ELSE status END AS status, CASE WHEN id % 3 = 0 THEN 'removed' WHEN status = 'paid' THEN 'history' ELSE 'active' END AS place FROM v_invoices",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import duplicates, lookups, vendors as V, words as W
-from ..sources.invoices import invoice_load
+from ..sources.invoices import invoice_load, truth_load
 from ..sources.scratch import scratch_path
 from ..streaming import checks as S
 from .lines import KEYED, PEERS, keyed
@@ -78,6 +78,16 @@ def stored(d):
     return invoice_load(d.spark, path)
 
 
+def truths(d):
+    """Truth files as arrays of records, one folder a producer, written and read again."""
+    path = scratch_path(d.spark, "truths")
+    held = F.to_json(F.struct((F.col("id") % 7 == 0).alias("_skip"), F.create_map(F.lit("total"), F.col("total").cast("decimal(18,2)").cast("string"), F.lit("vendor"), F.col("vendor")).alias("fields")))
+    rows = d.v_invoices.select("engine", F.pmod(F.xxhash64("id"), F.lit(8)).alias("file"), held.alias("held"))
+    arrays = rows.groupBy("engine", "file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("held"), ","), F.lit("]")).alias("value"))
+    arrays.select("engine", "value").write.option("maxRecordsPerFile", 1).partitionBy("engine").text(path)
+    return truth_load(d.spark, path, "*/part-*")
+
+
 def hashes(d):
     return duplicates.file_inventory(d.documents, "text").select("doc_id", "file_hash")
 
@@ -87,6 +97,11 @@ QUERIES = {
         lambda d: stored(d).select("id", "vendor", "invoice_number", "issue_date", "due_date", "currency", "total", "status", "po_id", F.size("field_evidence").alias("n_evidence")),
         "SELECT cast(id AS string) AS id, vendor, invoice_number, CASE WHEN id % 50 <> 1 THEN issue_date END AS issue_date, due_date, currency, total, status, po_id, 0 AS n_evidence FROM v_invoices",
     ),
+    "truth_load": (
+        lambda d: truths(d),
+        """SELECT engine AS producer, 'total' AS field, cast(cast(total AS decimal(18,2)) AS varchar) AS value FROM v_invoices WHERE id % 7 <> 0
+        UNION ALL SELECT engine, 'vendor', vendor FROM v_invoices WHERE id % 7 <> 0""",
+    ),
     "profile_completeness": (
         lambda d: V.profile_completeness(master(d)),
         f"""WITH mst AS ({MASTER}) SELECT name, cast(2 + (email <> '')::int + 1 + (iban <> '')::int + (registration_number <> '')::int + (department IS NOT NULL)::int AS int) AS n_filled,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir, or in a temporary folder where that is unset (tests)."""
+    """A new path in spark.checkpoint.dir. Only where Spark runs in one process and that is unset, as in tests, a temporary folder is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="paylens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
