@@ -31,6 +31,15 @@ def either(words: list[str], gap: str = r"[\s-]*") -> str:
     return rf"(?<!\p{{L}})(?:{plain})(?!\p{{L}})"
 
 
+def mentions(lower: Column, words: list[str]) -> Column:
+    """Whether the beginning of any of the words, up to a space or hyphen, is in a text in lower case: a cheap test before a pattern is tried."""
+    parts = sorted({w.replace("-", " ").split()[0] for w in words})
+    out = F.contains(lower, F.lit(parts[0]))
+    for p in parts[1:]:
+        out = out | F.contains(lower, F.lit(p))
+    return out
+
+
 def money_value(raw: Column) -> Column:
     """A number from a money token: the last comma or dot is a decimal mark by what follows it."""
     def parsed(s: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.money import iban_valid, normal_id
-from ..functions.text import DATE, date_value, either, first_match, first_of, let, money_value, words_in
+from ..functions.text import DATE, date_value, either, first_match, first_of, let, mentions, money_value, words_in
 from .checks import VAT_FORMATS
 
 # Cue words by language, in the order that settles ties, and currencies with their signs, in that of precedence.
@@ -105,7 +105,11 @@ def doc_currency(text: Column) -> Column:
 def doc_amount(text: Column, field: str) -> Column:
     """The amount on the line of the first label that has one, without a letter between but those of a currency."""
     between = r"[^\n\p{L}]{0,60}?(?:[A-Z]{2,3}\s*)?[€$£¥]?\s{0,3}"
-    return money_value(first_of(text, [rf"(?iu){either([label])}{between}{AMOUNT}" for label in LABELS[field]]))
+
+    def raw(lower: Column) -> Column:
+        return F.coalesce(*[F.when(mentions(lower, [label]), first_match(text, rf"(?iu){either([label])}{between}{AMOUNT}")) for label in LABELS[field]])
+
+    return money_value(let(F.lower(text), raw))
 
 
 def doc_date(text: Column, field: str) -> Column:
@@ -119,11 +123,16 @@ def doc_due_from_terms(text: Column, issued: Column) -> Column:
     flat = F.regexp_replace(text, r"\s+", " ")
     days = lambda raw: F.when(raw.try_cast("int").between(1, 365), raw.try_cast("int"))
     eom = r"(?:einde (?:van de )?maand|(?<!\p{L})e\.?o\.?m(?!\p{L})\.?)"
-    end = flat.rlike(f"(?iu){eom}")
-    end_days = F.coalesce(days(first_match(flat, rf"(?iu)(\d{{1,3}}) ?dagen? {eom}")), days(first_match(flat, rf"(?iu){eom} ?(?:\+|en) ?(\d{{1,3}}) ?dagen?")), F.lit(14))
+    end_days = F.coalesce(days(first_match(flat, rf"(?i)(\d{{1,3}}) ?dagen? {eom}")), days(first_match(flat, rf"(?i){eom} ?(?:\+|en) ?(\d{{1,3}}) ?dagen?")), F.lit(14))
     unit = r"\s*(?:dagen|days|tagen?|jours|días)"
-    plain = F.coalesce(days(first_match(text, r"(?i)(?<!\p{L})net\s*(\d{1,3})(?!\d)")), days(first_match(text, rf"{labelled('terms')}[^\n\d]{{0,60}}(\d{{1,3}}){unit}")))
-    return F.when(end, F.date_add(F.last_day(F.add_months(issued, 1)), end_days)).otherwise(F.date_add(issued, plain))
+    net = days(first_match(text, r"(?i)(?<!\p{L})net\s*(\d{1,3})(?!\d)"))
+
+    def due(lower: Column) -> Column:
+        end = mentions(lower, ["einde", "eom", "e.o.m"]) & flat.rlike(f"(?i){eom}")
+        plain = F.coalesce(F.when(mentions(lower, ["net"]), net), F.when(mentions(lower, LABELS["terms"]), days(first_match(text, rf"{labelled('terms')}[^\n\d]{{0,60}}(\d{{1,3}}){unit}"))))
+        return F.when(end, F.date_add(F.last_day(F.add_months(issued, 1)), end_days)).otherwise(F.date_add(issued, plain))
+
+    return let(F.lower(text), due)
 
 
 def doc_invoice_number(text: Column) -> Column:
@@ -185,13 +194,16 @@ def doc_vat(text: Column, own: str = "", vendor: Column | None = None) -> Column
 
 def doc_registration(text: Column, email: Column | None = None) -> Column:
     """The digits after a register's label: those nearest to the e-mail address where one is given and there, else by the order of registers."""
-    found = []
-    for i, (labels, least, most) in enumerate(REGISTERS):
-        pattern = rf"(?iu){either(labels)}(?:[\s-]*(?:nr|no|num|nummer|number)(?!\p{{L}}))?{GAP}(\d(?:[ .-]?\d){{{least - 1},{most - 1}}})(?!\d)"
-        ranks = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        found.append(F.transform(ranks, lambda x, k: F.struct(F.lit(i).alias("i"), k.alias("k"), x.alias("v"))))  # noqa: B023
+    def found(lower: Column) -> Column:
+        out = []
+        for i, (labels, least, most) in enumerate(REGISTERS):
+            pattern = rf"(?iu){either(labels)}(?:[\s-]*(?:nr|no|num|nummer|number)(?!\p{{L}}))?{GAP}(\d(?:[ .-]?\d){{{least - 1},{most - 1}}})(?!\d)"
+            every = F.when(mentions(lower, labels), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
+            out.append(F.transform(every, lambda x, k: F.struct(F.lit(i).alias("i"), k.alias("k"), x.alias("v"))))  # noqa: B023
+        return F.concat(*out)
+
     anchor = F.lit(None).cast("int") if email is None else place(F.lower(text), F.lower(email))
-    ranked = F.transform(F.concat(*found), lambda x: F.struct(F.coalesce(F.abs(F.instr(text, x.v) - anchor), F.lit(0)).alias("far"), x.i.alias("i"), x.k.alias("k"), x.v.alias("v")))
+    ranked = F.transform(let(F.lower(text), found), lambda x: F.struct(F.coalesce(F.abs(F.instr(text, x.v) - anchor), F.lit(0)).alias("far"), x.i.alias("i"), x.k.alias("k"), x.v.alias("v")))
     return F.regexp_replace(F.array_min(ranked).v, "[ .-]", "")
 
 
