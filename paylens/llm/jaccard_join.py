@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, mix64, utf8_values, window_hashes, word_bounds, word_hashes
+from .common import Scratch, mix64, small, utf8_values, window_hashes, word_bounds, word_hashes
 from .components import connected_components
 
 GROUPS = 256
@@ -90,7 +90,7 @@ def survey(docs: DataFrame, k: int, share: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.nulls(int(many.sum()), ids), pa.array(u[many].view(np.int64)), pa.array(c[many]), pa.array(np.ones(int(many.sum()), bool)), pa.nulls(int(many.sum()), pa.binary()), pa.nulls(int(many.sum()), pa.binary())], ["doc_id", "set_key", "n", "common", "vector", "fine"])
 
         ids = None
-        for batch in batches:
+        for batch in small(batches):
             ids, keys, sizes, vectors, fine = batch.column(0).type, [], [], [], []
             for text in utf8_values(batch.column(1)):
                 s = shingle_set(text, k)
@@ -129,7 +129,7 @@ def prefix_rows(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> Da
             counts = [len(x) for x in keys]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(owners, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))], ["shingle", "set_key", "n"])
 
-        for batch in batches:
+        for batch in small(batches):
             for text in utf8_values(batch.column(0)):
                 s = shingle_set(text, k)
                 if not len(s) or (key := set_key(s)) in seen:
@@ -356,7 +356,7 @@ def second_look(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
     right = fine.select(F.col("set_key").alias("b"), F.col("n").alias("n_b"), F.col("fine").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             keep = []
             for n_a, n_b, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                 if x is None or y is None:
@@ -382,7 +382,7 @@ def verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, k: int, perce
     right = texts.select(F.col("set_key").alias("b"), F.col("text").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             keep = []
             for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8_values(batch.column(2)), utf8_values(batch.column(3)), strict=True):
                 x, y = shingle_set(x, k), shingle_set(y, k)
@@ -458,7 +458,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, common_share
     joined = scratch.table(connected_components(links.unionByName(linked(rest)), scratch=scratch), "components")
 
     member = points.select("set_key", "rep", "n_copies").join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", label)
-    least = member.groupBy("label").agg(F.min("rep").alias("component_id"))
+    # Written, so that Spark can split the join's rows of a label that very many points have.
+    least = scratch.table(member.groupBy("label").agg(F.min("rep").alias("component_id")), "least")
     found = member.join(least, "label").select(F.col("set_key").alias("key"), "component_id", "n_copies")
     out = sets.join(found, (F.col("set_key") == F.col("key")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").cast(kind).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))

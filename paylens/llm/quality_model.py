@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, mix64, powers_of_base, utf8_values, window_hashes, word_bounds, word_hashes
+from .common import held_out, mix64, powers_of_base, small, utf8_values, window_hashes, word_bounds, word_hashes
 
 BUCKETS = 1 << 18
 
@@ -106,7 +106,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [document_features(t) for t in utf8_values(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["place", "label", "index", "value"])
 
@@ -145,7 +145,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", m
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for batch in batches:
+        for batch in small(batches):
             dots = [float(w[i] @ v) + w[BUCKETS] for i, v in map(document_features, utf8_values(batch.column(2)))]
             s = 1 / (1 + np.exp(-np.clip(np.array(dots, float), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])

@@ -10,12 +10,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, utf8_values, window_hashes, word_bounds, word_hashes
+from .common import Scratch, small, utf8_values, window_hashes, word_bounds, word_hashes
 
 # Stands for the hash of a window that reaches beyond its text; hashes have 32 bits.
 _OUTSIDE = -1
-# Texts of which the windows are held at once.
-PART = 1000
 
 
 def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,28 +71,25 @@ def _rows(docs: DataFrame, lengths: list[int], span: int) -> DataFrame:
     names = ["doc_id", "window", "at", *[f"x{i}" for i in range(len(around))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # A part of a batch at a time: the arrays of a part are let go before the next.
-            for first in range(0, batch.num_rows, PART):
-                part = batch.slice(first, PART)
-                found, counts = [], []
-                for text in utf8_values(part.column(1)):
-                    words = hashed(text or b"")[0]
-                    windows = window_hashes(words, lengths[0])
-                    at = anchors(windows, span)
-                    longer = [window_hashes(words, n) for n in lengths]
-                    short = []
-                    for level, c in around:
-                        start = at - c * lengths[0]
-                        inside = (start >= 0) & (start < len(longer[level]))
-                        value = np.full(len(at), _OUTSIDE, np.int64)
-                        value[inside] = (longer[level][start[inside]] >> np.uint64(32)).astype(np.int64)
-                        short.append(value)
-                    found.append((windows[at].view(np.int64), at.astype(np.int32), *short))
-                    counts.append(len(at))
-                for out in _emit(part.column(0), counts, found, names):
-                    columns = [c if i < 3 else pc.cast(pc.if_else(pc.equal(c, _OUTSIDE), None, pc.subtract(c, 1 << 31)), pa.int32()) for i, c in enumerate(out.columns)]
-                    yield pa.RecordBatch.from_arrays(columns, names)
+        for part in small(batches):
+            found, counts = [], []
+            for text in utf8_values(part.column(1)):
+                words = hashed(text or b"")[0]
+                windows = window_hashes(words, lengths[0])
+                at = anchors(windows, span)
+                longer = [window_hashes(words, n) for n in lengths]
+                short = []
+                for level, c in around:
+                    start = at - c * lengths[0]
+                    inside = (start >= 0) & (start < len(longer[level]))
+                    value = np.full(len(at), _OUTSIDE, np.int64)
+                    value[inside] = (longer[level][start[inside]] >> np.uint64(32)).astype(np.int64)
+                    short.append(value)
+                found.append((windows[at].view(np.int64), at.astype(np.int32), *short))
+                counts.append(len(at))
+            for out in _emit(part.column(0), counts, found, names):
+                columns = [c if i < 3 else pc.cast(pc.if_else(pc.equal(c, _OUTSIDE), None, pc.subtract(c, 1 << 31)), pa.int32()) for i, c in enumerate(out.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, window long, at int" + "".join(f", {x} int" for x in names[3:]))
 
@@ -159,21 +154,19 @@ def repeated_windows(docs: DataFrame, words: int = 50, base_words: int = 10, scr
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, PART):
-                part = batch.slice(first, PART)
-                found, counts = [], []
-                for text, ats in zip(utf8_values(part.column(1)), part.column(2), strict=True):
-                    hashes = hashed(text or b"")[0]
-                    windows = window_hashes(hashes, words)
-                    alive = np.zeros(len(hashes), bool)
-                    ats = np.asarray(ats.values, np.int64)
-                    # Rows that repeat a doc_id may have other texts, with other places.
-                    alive[ats[ats < len(hashes)]] = True
-                    at = np.flatnonzero(alive[least_places(window_hashes(hashes, lengths[0]), span)])
-                    found.append((windows[at].view(np.int64), at.astype(np.int32)))
-                    counts.append(len(at))
-                yield from _emit(part.column(0), counts, found, ["doc_id", "window", "at"])
+        for part in small(batches):
+            found, counts = [], []
+            for text, ats in zip(utf8_values(part.column(1)), part.column(2), strict=True):
+                hashes = hashed(text or b"")[0]
+                windows = window_hashes(hashes, words)
+                alive = np.zeros(len(hashes), bool)
+                ats = np.asarray(ats.values, np.int64)
+                # Rows that repeat a doc_id may have other texts, with other places.
+                alive[ats[ats < len(hashes)]] = True
+                at = np.flatnonzero(alive[least_places(window_hashes(hashes, lengths[0]), span)])
+                found.append((windows[at].view(np.int64), at.astype(np.int32)))
+                counts.append(len(at))
+            yield from _emit(part.column(0), counts, found, ["doc_id", "window", "at"])
 
     full = scratch.table(extended.mapInArrow(extend, f"doc_id {kind}, window long, at int"), "windows")
     return full.join(scratch.table(_shared(full, "window"), "shared"), "window").filter("doc_id > first_id").select("doc_id", "at")
@@ -210,7 +203,7 @@ def remove_repeats(docs: DataFrame, words: int = 50, digest: bool = False, scrat
         return len(starts), int(len(starts) - keep.sum()), starts, ends, keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts, lists = utf8_values(batch.column(where["text"])), batch.column(len(names))
             if digest:
                 n_words, n_removed, digests = [], [], []

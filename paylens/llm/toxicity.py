@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, mix64, utf8_values, word_hashes
+from .common import held_out, mix64, small, utf8_values, word_hashes
 
 BUCKETS = 1 << 20
 # Lengths in bytes of the beginnings of words that count as features.
@@ -110,7 +110,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_p
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(positive.unionByName(unlabelled)), "doc_id").select(place.alias("place"), "kind", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sets = [np.unique(word_buckets(t)).tobytes() for t in utf8_values(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["place", "kind", "words"])
 
@@ -152,7 +152,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", th
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             s = scores(utf8_values(batch.column(2)), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -182,9 +182,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", thresho
     shared, at = docs.sparkSession.sparkContext.broadcast(weights), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
-                yield part.filter(pa.array(scores([t or b"" for t in utf8_values(part.column(at))], shared.value) < threshold))
+        for batch in small(batches):
+            yield batch.filter(pa.array(scores([t or b"" for t in utf8_values(batch.column(at))], shared.value) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
