@@ -166,7 +166,8 @@ QUERIES = {
     ),
     "doc_template_read": (
         lambda d: W.doc_template_read(words(d), d.spark.createDataFrame([("after_the", "the", 0.005, 0.035, 0.0, 0.0)], "field string, anchor string, dx_from double, dx_to double, dy_from double, dy_to double")).drop("page"),
-        None,
+        f"""WITH {WORDS}, a AS (SELECT doc_id, ln, p FROM cl WHERE contains(lower(text), 'the') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN lower(text) = 'the' THEN 0 ELSE 1 END, ln, p) = 1)
+        SELECT cl.doc_id, 'after_the' AS field, string_agg(text, ' ' ORDER BY cl.p) AS value FROM cl JOIN a ON cl.doc_id = a.doc_id AND cl.ln = a.ln AND cl.p - a.p BETWEEN 1 AND 3 GROUP BY 1""",
     ),
     "template_match": (
         lambda d: W.template_match(*vectors(d)),
