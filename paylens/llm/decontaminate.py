@@ -183,8 +183,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, min_similarity
     share is 0.8 differ in 10 of 64 bits on average, so a radius of 23 lets 1 in 10**5 pass by. Ties go to
     the first window, then to the longest.
 
-    Null and empty texts have no words and match nothing. Texts may be of any length: one row of a text's
-    words leaves its task, the hits alone. Rows that repeat both doc_id and text are one document; rows that
+    Null and empty texts have no words and match nothing. Texts may be of any length: of their words only the
+    benchmark's shingles leave a task. Rows that repeat both doc_id and text are one document; rows that
     repeat a doc_id alone, null ids too, give the best window of any of them. Repeated items count once, items that repeat an
     id count as one with several texts. Empty tables give no rows; other columns aren't read. The item tables
     are broadcast only if they have at most broadcast_rows rows, and joined by a shuffle beyond.
