@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe_digests
 from .common import table
@@ -14,11 +14,15 @@ from .license_scan import PHRASES, TEMPLATES, license_scan
 from .quality_model import quality_scores
 from .quality_rules import COMMON_WORDS, WORD_LIST, quality_rules
 from .substring_dedup import remove_repeats
+from .token_files import token_file_digests
 from .toxicity import toxicity_scores
 from .warc import warc_round_trip
+from .whitening import whiten
 
 # The vocabulary that op1 and the pipeline use.
 VOCABULARY = str(public_tokenizers.path("byte_bpe_50k.json"))
+# The one of op11.
+WORD_VOCABULARY = str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +65,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("nearest_language", "character_distance", "word_distance")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digests(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -72,6 +84,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_files": op11_token_files,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
 SPLIT = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
