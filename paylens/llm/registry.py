@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe_digests
+from .collocations import collocations
 from .common import table
 from .decontaminate import find_leaks
 from .html_text import extract_text
@@ -73,6 +74,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -86,6 +91,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_token_files": op11_token_files,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 SPLIT = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -156,6 +162,22 @@ QUALITY_SQL = rf"""
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND (n_words < 50 OR (lang IS NOT NULL AND lang NOT IN (SELECT lang FROM r2)) OR (best.cd <= 0.35 AND best.wd <= 0.5 AND NOT (best.cd > 0.185 AND best.wd > 0.21))) AS kept FROM n2"""
 
+# Pieces, their words, runs of 1 to 5 words counted by language, every cut of those with two or more.
+PHRASE_SQL = r"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+    t AS (SELECT lang, cast(sum(len(w)) AS hugeint) AS n FROM w GROUP BY 1),
+    g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS words FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+    f AS (SELECT lang, k, words, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+    c AS (SELECT lang, k, words, f AS a, ' ' || array_to_string(words, ' ') || ' ' AS s FROM f WHERE k > 1),
+    m AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c y WHERE y.lang = c.lang AND y.k > c.k AND 100 * y.a >= 100 * c.a AND contains(y.s, c.s))),
+    u AS (SELECT m.*, unnest(range(1, k)) AS cut FROM m),
+    x AS (SELECT u.lang, u.words, u.a, cut, l.f AS l, r.f AS r, t.n, (1000 * u.a * t.n) // (cast(l.f AS hugeint) * r.f) AS score FROM u JOIN t USING (lang)
+      JOIN f l ON l.lang = u.lang AND l.k = cut AND l.words = u.words[1:cut] JOIN f r ON r.lang = u.lang AND r.k = u.k - cut AND r.words = u.words[cut + 1:]),
+    b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank, array_to_string(words, ' ') AS phrase, a, l, r, cast(n AS bigint) AS n, cast(score AS bigint) AS score
+    FROM b QUALIFY rank <= 2000"""
+
 SQL: dict[str, str] = {
     "op2_warc": """
         WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
@@ -197,4 +219,5 @@ SQL: dict[str, str] = {
         SELECT doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
     "op6_license_scan": LICENSE_SQL,
     "op10_quality_rules": QUALITY_SQL,
+    "op13_phrase_collocations": PHRASE_SQL,
 }

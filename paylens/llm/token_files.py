@@ -45,14 +45,14 @@ PLAIN = regex.compile(r"[\x00-\x1b\x20-\x84\x86-\u012f\u0131-\u017e\u2010-\u2027
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, which is asked once for each distinct piece.
+    """Ids of whole texts by the tokenizers library, whose model is asked once for each distinct piece.
 
-    A text of plain characters is split into the vocabulary's pieces here, and what its model makes of a piece is
+    A text of plain characters is cut into words here, words into the vocabulary's pieces, and what becomes of both is
     remembered. Of other texts, and of those that may hold special tokens, every word (between white space 20, 09-0D, across which
     no step of the library looks) that isn't plain itself is coded by the whole library. memo bounds what is remembered.
     """
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 400_000):
         self.library, self.memo = Tokenizer.from_file(path), memo
         self.library.no_truncation()
         self.library.no_padding()
@@ -67,27 +67,46 @@ class Encoder:
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith(suffix)]] = True
         self.symbols = {b: c for c, b in byte_symbols().items()} | {32: " "}
-        self.split = regex.compile(PIECES).findall
+        self.split = regex.compile(PIECES + r"|\n").findall
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
 
-    def learn(self, pieces: list[str]) -> None:
+    def ask(self, pieces: list[str]) -> None:
         """Ask the model for pieces, a thousand at a time as one text; a piece's last id is one of a word's end."""
         texts = [" ".join(pieces[i : i + 1000]).encode("utf-8", "replace").decode("latin-1").translate(self.symbols) for i in range(0, len(pieces), 1000)]
         for i, found in enumerate(self.model.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(found.ids, self.kind)
             raw, ends = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
-            self.known.update(zip(pieces[1000 * i : 1000 * i + 1000], map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-
-    def parts(self, text: str) -> list[str | bytes]:
-        """Pieces of a text in lower case, and the ids of its words that aren't plain."""
-        if PLAIN.fullmatch(text) and not any(t in text for t in self.special):
-            return self.split(text.lower())
+            self.pieces.update(zip(pieces[1000 * i : 1000 * i + 1000], map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of plain words in lower case."""
+        found = self.split("\n".join([*words, ""]))
+        new = {x for x in found if x not in self.pieces and x != "\n"}
+        if len(new) + len(self.pieces) > self.memo:
+            self.pieces.clear()
+            new = set(found) - {"\n"}
+        self.ask(list(new))
+        pieces, word, made = self.pieces, [], []
+        for x in found:
+            if x == "\n":
+                made.append(b"".join(word))
+                word = []
+            else:
+                word.append(pieces[x])
+        self.known.update(zip(words, made, strict=True))
+
+    def plain(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not any(t in text for t in self.special)
+
+    def mixed(self, text: str) -> list[str | bytes]:
+        """Plain words of a text in lower case, and the ids of its other words."""
         out: list[str | bytes] = []
         for word in regex.findall(r"[^ \t-\r]+", text):
-            if PLAIN.fullmatch(word) and not any(t in word for t in self.special):
-                out += self.split(word.lower())
+            if self.plain(word):
+                out += word.lower().split()
                 continue
             if word not in self.odd:
                 if len(self.odd) >= self.memo // 5:
@@ -99,15 +118,18 @@ class Encoder:
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """The ids of each text and the end id, as numbers of self.kind."""
         end = np.array([end_id], self.kind).tobytes()
-        split = [self.parts(t) for t in texts]
-        pieces = {x for p in split for x in p if type(x) is str}
-        new = [x for x in pieces if x not in self.known]
+        simple = [self.plain(t) for t in texts]
+        # White space of plain texts is what str.split() takes for it.
+        split = [t.lower().split() if s else self.mixed(t) for t, s in zip(texts, simple, strict=True)]
+        words = {x for x in set().union(*split) if type(x) is str}
+        new = [x for x in words if x not in self.known]
         if new and len(new) + len(self.known) > self.memo:
             self.known.clear()
-            new = list(pieces)
-        self.learn(new)
+            new = list(words)
+        if new:
+            self.learn(new)
         known = self.known
-        return [b"".join([known[x] if type(x) is str else x for x in p]) + end for p in split]
+        return [b"".join(map(known.__getitem__, p)) + end if s else b"".join([known[x] if type(x) is str else x for x in p]) + end for p, s in zip(split, simple, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -16,7 +16,7 @@ def brute(vectors, k=8):
     covariance = centred.T @ centred / n
     values, axes = np.linalg.eigh(covariance)
     values, axes = values[::-1][:k], axes[:, ::-1][:, :k]
-    whole = x.astype(object)
+    whole = np.array([[int(v) for v in row] for row in x], object)
     deviation = ((n * whole - whole.sum(axis=0)) ** 2).sum(axis=1)
     return centred @ axes / np.sqrt(values), deviation, values / np.trace(covariance)
 
