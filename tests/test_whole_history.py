@@ -5,8 +5,10 @@ import random
 from collections import Counter
 from statistics import median
 
+from pyspark.sql import functions as F
 from test_operators import invoices
 
+from paylens.functions.nearest import NearestRows
 from paylens.operators import anomalies, duplicates
 
 
@@ -82,3 +84,31 @@ def test_gl_suggest_ranks_as_all_pairs_do(spark):
             weights[items[j - 1]["gl_account"]] += score
         best = max((round(w, 6), v) for v, w in weights.items())
         assert got[i, "gl_account"] == (best[1], best[0])
+
+
+def test_nearest_rows_as_all_pairs(spark):
+    rng = random.Random(3)
+    for case in range(60):
+        words = [f"w{i}" for i in range(rng.choice([3, 8, 40]))]
+        rows = [(rng.choice(["", "a", "b"]), frozenset(rng.sample(words, rng.randrange(min(6, len(words) + 1)))), rng.choice([0.0, 0.01, 0.02, 0.05]), i) for i in range(rng.randrange(120))]
+        index = NearestRows(rows, 0.15)
+        for _ in range(20):
+            asked = frozenset(rng.sample(words, rng.randrange(min(6, len(words) + 1))))
+            bases = rng.choice([{"": 0.55, "a": 0.75, "b": 0.35}, {"": 0.55, "a": 0.55, "b": 0.55}])
+            score = lambda r: int((bases[r[0]] + 0.15 * len(asked & r[1]) / max(min(len(asked), len(r[1])), 1) + r[2]) * 1e9 + 0.5) / 1e9  # noqa: B023, E731
+            want = sorted(((score(r), r[3]) for r in rows if score(r) >= 0.4), reverse=True)[:5]
+            assert index.best(asked, bases, 5, 0.4) == want
+
+
+def test_a_vendor_of_a_hundred_thousand_invoices_is_looked_up_not_compared(spark):
+    n = 100_000
+    day = F.date_add(F.to_date(F.lit("1999-01-01")), (F.col("id") % 900).cast("int"))
+    word = lambda salt, size: F.concat(F.lit(f"{salt}w"), F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(size)).cast("string"))
+    blank = {c: F.lit("") for c in ("department", "memo")}
+    df = spark.range(1, n + 1, numPartitions=8).withColumns({"ord": F.col("id"), "vendor_key": F.lit("v"), "status": F.lit("paid"), "issue_date": day, "category": word("c", 20), "gl_account": word("g", 9), **blank})
+    lines = df.select(F.col("id").alias("invoice_id"), F.concat_ws(" ", word("a", 5000), word("b", 300), word("d", 40), word("e", 4)).alias("description"))
+    asking, past = duplicates.coding_history(df, lines, "2001-08-01")
+    found = duplicates.similar_past(asking.filter("id % 50 = 0"), past)
+    compared, asked = found.agg(F.sum("compared")).first()[0], 2000
+    assert found.groupBy("vendor_key", "own", "tokens").count().filter("count = 9").count() == asked
+    assert compared < asked * n * 0.05
