@@ -1,133 +1,119 @@
-"""Exact order statistics of all values so far, for rows that come in order."""
+"""Exact order statistics of all values so far, for many rows at once.
+
+Values of a group come in order; what was before them is given as sorted values with counts. A wavelet matrix over the ranks of all
+values answers, for each of many (group, number of values so far) at once, how many are below a value or which is the
+k-th: each of its levels halves the ranks that are left, and costs a few array operations for all questions together.
+"""
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections import Counter
-from itertools import accumulate
-
-BLOCK = 1000
-
-
-class Ordered:
-    """A sorted multiset in blocks: a value goes in or out, or is read by its rank, without moving the others."""
-
-    def __init__(self) -> None:
-        self.blocks: list[list] = []
-        self.tops: list = []
-        self.n = 0
-        self.ends: list[int] | None = []
-
-    def add(self, x) -> None:
-        self.n, self.ends = self.n + 1, None
-        if not self.blocks:
-            self.blocks, self.tops = [[x]], [x]
-            return
-        b = min(bisect_left(self.tops, x), len(self.tops) - 1)
-        block = self.blocks[b]
-        insort(block, x)
-        self.tops[b] = block[-1]
-        if len(block) > 2 * BLOCK:
-            self.blocks[b : b + 1] = [block[:BLOCK], block[BLOCK:]]
-            self.tops[b : b + 1] = [block[BLOCK - 1], block[-1]]
-
-    def remove(self, x) -> None:
-        b = bisect_left(self.tops, x)
-        block = self.blocks[b]
-        del block[bisect_left(block, x)]
-        self.n, self.ends = self.n - 1, None
-        if block:
-            self.tops[b] = block[-1]
-        else:
-            del self.blocks[b], self.tops[b]
-
-    def at(self, rank: int):
-        if self.ends is None:
-            self.ends = list(accumulate(map(len, self.blocks)))
-        b = bisect_left(self.ends, rank + 1)
-        return self.blocks[b][rank - self.ends[b]]
-
-    def below(self, x) -> int:
-        """How many are less than x."""
-        b = bisect_left(self.tops, x)
-        if self.ends is None:
-            self.ends = list(accumulate(map(len, self.blocks)))
-        return self.n if b == len(self.blocks) else self.ends[b] - len(self.blocks[b]) + bisect_left(self.blocks[b], x)
-
-    def median(self) -> float | None:
-        return (self.at((self.n - 1) // 2) + self.at(self.n // 2)) / 2 if self.n else None
-
-    def deviation(self, middle: float) -> float:
-        """The median distance from middle, 0 of none: the distances on both sides are sorted, so halves are found by bisection."""
-        if not self.n:
-            return 0.0
-        left = self.below(middle)
-        right, take = self.n - left, (self.n - 1) // 2 + 1
-        down, up = lambda i: middle - self.at(left - 1 - i), lambda i: self.at(left + i) - middle
-        low, high = max(0, take - right), min(take, left)
-        while low < high:
+import numpy as np
+
+
+class PrefixOrder:
+    """Values of groups 0, 1, ...; groups don't fall, and a weight of -1 takes a value out again."""
+
+    def __init__(self, group: np.ndarray, value: np.ndarray, weight: np.ndarray, old_group: np.ndarray, old_value: np.ndarray, old_count: np.ndarray, groups: int):
+        groups_of, values = np.concatenate([old_group, group]), np.concatenate([old_value, value])
+        order = np.lexsort((values, groups_of))
+        g, v = groups_of[order], values[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (g[1:] != g[:-1]) | (v[1:] != v[:-1])
+        codes = np.empty(len(order), np.int64)
+        codes[order] = np.cumsum(fresh) - 1
+        self.values, owner = v[fresh], g[fresh]
+        self.first_code, self.last_code = (np.searchsorted(owner, np.arange(groups), side=s) for s in ("left", "right"))
+        self.start = np.searchsorted(group, np.arange(groups))
+        self.before = np.zeros(len(self.values) + 1, np.int64)
+        np.add.at(self.before, codes[: len(old_group)] + 1, old_count)
+        self.before = np.cumsum(self.before)
+        self.total = np.concatenate([[0], np.cumsum(weight)])
+        self.bits = max(int(len(self.values) - 1).bit_length(), 1)
+        self.levels = []
+        code, w = codes[len(old_group) :], weight.astype(np.int64)
+        for bit in range(self.bits - 1, -1, -1):
+            zero = (code >> bit & 1) == 0
+            self.levels.append((np.concatenate([[0], np.cumsum(zero)]), np.concatenate([[0], np.cumsum(np.where(zero, w, 0))]), int(zero.sum())))
+            code, w = np.concatenate([code[zero], code[~zero]]), np.concatenate([w[zero], w[~zero]])
+
+    def _old(self, group: np.ndarray, code: np.ndarray, width: int) -> np.ndarray:
+        """How many given values of the group have one of so many codes from code on."""
+        low, high = self.first_code[group], self.last_code[group]
+        return self.before[np.clip(code + width, low, high)] - self.before[np.clip(code, low, high)]
+
+    def count(self, group: np.ndarray, n: np.ndarray) -> np.ndarray:
+        start = self.start[group]
+        return self.total[start + n] - self.total[start] + self.before[self.last_code[group]] - self.before[self.first_code[group]]
+
+    def kth(self, group: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The value with k others before it (from 0) among the first n of its group; k must be below their count."""
+        low = self.start[group]
+        high, code, k = low + n, np.zeros(len(group), np.int64), k.copy()
+        for level, (zeros, weights, n_zero) in enumerate(self.levels):
+            width = 1 << self.bits - 1 - level
+            here = weights[high] - weights[low] + self._old(group, code, width)
+            right = k >= here
+            k -= np.where(right, here, 0)
+            low, high = np.where(right, n_zero + low - zeros[low], zeros[low]), np.where(right, n_zero + high - zeros[high], zeros[high])
+            code += right * width
+        return self.values[np.minimum(code, len(self.values) - 1)] if len(self.values) else np.zeros(len(group))
+
+    def below(self, group: np.ndarray, n: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """How many of the first n of the group are less than the value."""
+        low, high = self.first_code[group].copy(), self.last_code[group].copy()
+        while (low < high).any():  # the first code of the group whose value isn't less
+            middle = np.minimum((low + high) // 2, len(self.values) - 1)
+            less = (low < high) & (self.values[middle] < value)
+            low, high = np.where(less, middle + 1, low), np.where((low < high) & ~less, middle, high)
+        target, out = low, self.before[low] - self.before[self.first_code[group]]
+        low = self.start[group]
+        high = low + n
+        for level, (zeros, weights, n_zero) in enumerate(self.levels):
+            right = (target >> self.bits - 1 - level & 1) == 1
+            out = out + np.where(right, weights[high] - weights[low], 0)
+            low, high = np.where(right, n_zero + low - zeros[low], zeros[low]), np.where(right, n_zero + high - zeros[high], zeros[high])
+        return np.where(target >> self.bits > 0, self.count(group, n), out)
+
+    def median(self, group: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """NaN of none."""
+        size = self.count(group, n)
+        some = size > 0
+        low, high = self.kth(group, n, np.where(some, (size - 1) // 2, 0)), self.kth(group, n, np.where(some, size // 2, 0))
+        return np.where(some, (low + high) / 2, np.nan)
+
+    def deviation(self, group: np.ndarray, n: np.ndarray, middle: np.ndarray) -> np.ndarray:
+        """The median distance from middle, 0 of none: distances on both sides are sorted, so halves are found by bisection."""
+        size = self.count(group, n)
+        some = size > 0
+        middle = np.where(some, middle, 0.0)
+        left = self.below(group, n, middle)
+        right, take = size - left, (size - 1) // 2 + 1
+        inside = lambda i: np.clip(i, 0, np.maximum(size - 1, 0))
+        down = lambda i: middle - self.kth(group, n, inside(left - 1 - i))
+        up = lambda i: self.kth(group, n, inside(left + i)) - middle
+        low, high = np.maximum(0, take - right), np.minimum(take, left)
+        while (low < high).any():
             i = (low + high) // 2
-            if down(i) < up(take - i - 1):
-                low = i + 1
-            else:
-                high = i
+            more = (low < high) & (down(i) < up(take - i - 1))
+            low, high = np.where(more, i + 1, low), np.where((low < high) & ~more, i, high)
         rest = take - low
-        last = max([*map(down, range(max(low - 1, 0), low)), *map(up, range(max(rest - 1, 0), rest))])
-        if self.n % 2:
-            return last
-        return (last + min([*map(down, range(low, min(low + 1, left))), *map(up, range(rest, min(rest + 1, right)))])) / 2
-
-
-class Series:
-    """Numbers with one prefix: the distinct ones and the steps between neighbours."""
-
-    def __init__(self) -> None:
-        self.seen: set[int] = set()
-        self.values, self.steps = Ordered(), Ordered()
-
-    def add(self, x: int) -> None:
-        if x in self.seen:
-            return
-        self.seen.add(x)
-        place, n = self.values.below(x), self.values.n
-        before, after = self.values.at(place - 1) if place else None, self.values.at(place) if place < n else None
-        if before is not None and after is not None:
-            self.steps.remove(after - before)
-        if before is not None:
-            self.steps.add(x - before)
-        if after is not None:
-            self.steps.add(after - x)
-        self.values.add(x)
-
-    def usual(self) -> int:
-        """The rounded median step, at least 1."""
-        n = self.steps.n
-        return max((self.steps.at((n - 1) // 2) + self.steps.at(n // 2) + 1) // 2, 1) if n else 1
-
-
-class Past:
-    """What a vendor's earlier invoices say; it holds their values, numbers and nothing else of them."""
-
-    def __init__(self) -> None:
-        self.amounts, self.gaps, self.terms = Ordered(), Ordered(), Ordered()
-        self.times: Counter = Counter()
-        self.repeated = 0
-        self.series: dict[str, Series] = {}
-
-    def says(self, parsed: dict | None) -> tuple:
-        """median_total, median_interval, median_term, amount_mad, repeated, and the usual step of the number's series."""
-        middle = self.amounts.median()
-        series = self.series.get(parsed["prefix"]) if parsed else None
-        return middle, self.gaps.median(), self.terms.median(), self.amounts.deviation(middle), self.repeated, series.usual() if series else 1
-
-    def add(self, amount: float | None, gap: int | None, term: int | None, parsed: dict | None) -> None:
-        if amount is not None:
-            self.amounts.add(amount)
-            self.times[amount] += 1
-            self.repeated = max(self.repeated, self.times[amount])
-        if gap is not None and gap > 0:
-            self.gaps.add(gap)
-        if term is not None and term >= 0:
-            self.terms.add(term)
-        if parsed and parsed["value"] is not None:
-            self.series.setdefault(parsed["prefix"], Series()).add(parsed["value"])
+        last = np.maximum(np.where(low > 0, down(low - 1), -np.inf), np.where(rest > 0, up(rest - 1), -np.inf))
+        after = np.minimum(np.where(low < left, down(low), np.inf), np.where(rest < right, up(rest), np.inf))
+        return np.where(some, np.where(size % 2 == 1, last, (last + np.where(size % 2 == 1, 0, after)) / 2), 0.0)
+
+
+def earlier_in_group(group: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """How many marked rows of its group stand before each row; groups stand together."""
+    before = np.concatenate([[0], np.cumsum(marked)])[:-1]
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    return before - np.repeat(before[first], np.diff(np.append(first, len(group)))) if len(group) else before
+
+
+def running_most(group: np.ndarray, value: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The largest value of the group's rows before each row, or its start; values and starts are 0 or more."""
+    if not len(group):
+        return value
+    step = int(max(value.max(), start.max())) + 1
+    first = np.diff(group, prepend=-1) != 0
+    shifted = np.where(first, start[group], np.concatenate([[0], value[:-1]]))
+    return np.maximum.accumulate(shifted + group * step) - group * step

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.money import exact_sum, is_round, same_amount
-from ..functions.running import Past
+from ..functions.money import is_round, same_amount
+from ..functions.running import PrefixOrder, earlier_in_group, running_most
 from ..sources.scratch import scratch_path
 
 # Thresholds of the detectors.
@@ -49,47 +49,184 @@ def vendor_baseline(invoices: DataFrame) -> DataFrame:
     return base.join(mad, "vendor_key").join(repeats, "vendor_key", "left")
 
 
-LEARNED = "median_total double, median_interval double, median_term double, amount_mad double, repeated int, usual_step long"
+LEARNED = "gap int, n_prior long, n_gaps long, n_terms long, round_share double, last_number struct<value:long,prefix:string>, median_total double, median_interval double, median_term double, amount_mad double, repeated int, usual_step long"
+# What earlier blocks say of a vendor: values of a kind with their counts. Rows, round and last are one value a block.
+AMOUNT, GAP, TERM, NUMBER, ROWS, ROUND = range(6)
+BLOCK_ROWS = 20_000
+HELPERS = ["created_at", "amount", "is_round", "vk", "block"]
+
+
+# Time's order within a vendor; a null vendor_key counts as an empty one.
+IN_TIME = ["vk", "issue_date", "created_at", "id"]
+
+
+def in_blocks(invoices: DataFrame, block_rows: int) -> DataFrame:
+    """Invoices dealt by ranges of vendor and time into blocks of about block_rows, written to the shared folder."""
+    amount = F.when((F.col("total") > 0) & ~F.isnan("total"), F.col("total"))
+    rows = invoices.select(
+        "id", "vendor_key", "vendor", "currency", "total", "issue_date", "due_date", F.datediff("due_date", "issue_date").alias("term"), parsed_number(F.col("invoice_number")).alias("parsed"),
+        "status", "created_at", amount.alias("amount"), is_round("total").alias("is_round"), F.coalesce("vendor_key", F.lit("")).alias("vk"),
+    )
+    dealt = rows.repartitionByRange(max(1, -(-invoices.count() // block_rows)), *IN_TIME).withColumn("block", F.spark_partition_id())
+    path = scratch_path(invoices.sparkSession, "invoices-in-time")
+    dealt.write.parquet(path)
+    return invoices.sparkSession.read.schema(dealt.schema).parquet(path)
 
 
-def prior_stats(invoices: DataFrame) -> DataFrame:
+def prior_stats(invoices: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Every invoice with statistics over all earlier ones of its vendor.
 
-    A vendor's invoices pass through one task in order. Counts and extremes are running windows; medians,
-    deviations, repeats and steps come from sorted blocks that each row adds to, so a row costs little more
-    the longer the vendor's past is, and the task holds the past's amounts, gaps, terms and numbers only.
+    A large vendor's invoices run through many blocks. Each block is summed up by itself: distinct amounts, gaps, terms and numbers
+    with counts. A vendor's earlier blocks meet in each later one as sorted lists, and a block's rows are looked up in those
+    lists and among the rows before them, all at once (PrefixOrder). Equal moments are told apart by id. A block's task
+    holds its rows and the distinct values of its first vendor's earlier blocks; no other vendor of the block has any.
     """
-    order = Window.partitionBy("vendor_key").orderBy("issue_date", "created_at", "id")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    amount = F.when((F.col("total") > 0) & ~F.isnan("total"), F.col("total"))
-    rows = with_rhythm(invoices).select(
-        "id", "vendor_key", "vendor", "currency", "total", "issue_date", "due_date", "term", "gap", "parsed", "status", "created_at",
-        amount.alias("amount"),
-        F.count("*").over(before).alias("n_prior"),
-        F.count(F.when(F.col("gap") > 0, 1)).over(before).alias("n_gaps"),
-        F.count(F.when(F.col("term") >= 0, 1)).over(before).alias("n_terms"),
-        F.avg(F.when(amount.isNotNull(), is_round("total").cast("double"))).over(before).alias("round_share"),
-        F.max(F.when(F.col("parsed").isNotNull(), F.struct(F.col("parsed.value"), F.col("parsed.prefix")))).over(before).alias("last_number"),
-    )
-    ordered = rows.sortWithinPartitions("vendor_key", "issue_date", "created_at", "id").drop("created_at")
-    learned = StructType.fromDDL(LEARNED)
-    return ordered.mapInArrow(learn, StructType(ordered.schema.fields + learned.fields)).drop("amount")
-
-
-def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by vendor in order, each with what the vendor's rows before it say; n_prior 0 begins a vendor."""
-    kinds = [pa.float64()] * 4 + [pa.int32(), pa.int64()]
-    names = [f.split()[0] for f in LEARNED.split(", ")]
-    past = Past()
-    for batch in batches:
-        said = []
-        for n, amount, gap, term, parsed in zip(*[batch.column(c).to_pylist() for c in ("n_prior", "amount", "gap", "term", "parsed")], strict=True):
-            if n == 0:
-                past = Past()
-            said.append(past.says(parsed))
-            past.add(amount, gap, term, parsed)
-        more = [pa.array([row[i] for row in said], kind) for i, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
+    rows = in_blocks(invoices, block_rows)
+
+    # The last day of the block before is where the first gap begins.
+    ends = rows.groupBy("vk", "block").agg(F.max(F.struct(*IN_TIME[1:])).alias("last"), F.min(F.struct(*IN_TIME[1:])).alias("first"))
+    ends = ends.withColumn("before", F.lag("last.issue_date").over(Window.partitionBy("vk").orderBy("block")))
+    several = ends.groupBy("vk").agg(F.sort_array(F.collect_list("block")).alias("blocks")).filter(F.size("blocks") > 1)
+    first_gaps = ends.filter("before is not null").select("block", F.col("vk").alias("first_vendor"), "before")
+
+    # Values of vendors with several blocks, for each block after their own.
+    parts = rows.join(several, "vk").join(first_gaps, "block", "left").withColumn("before", F.when(F.col("first_vendor") == F.col("vk"), F.col("before")))
+    within = Window.partitionBy("vk", "block").orderBy(*IN_TIME[1:])
+    parts = parts.withColumn("gap", F.datediff("issue_date", F.coalesce(F.lag("issue_date").over(within), F.when(F.row_number().over(within) == 1, F.col("before")))))
+    value = lambda kind, when, real=None, whole=None, prefix=None: F.when(when, F.struct(
+        F.lit(kind).alias("kind"), (F.lit(None).cast("double") if real is None else real.cast("double")).alias("real"), (F.lit(None).cast("long") if whole is None else whole).alias("whole"), (F.lit(None).cast("string") if prefix is None else prefix).alias("prefix")))
+    kinds = [
+        value(AMOUNT, F.col("amount").isNotNull(), real=F.col("amount")), value(GAP, F.col("gap") > 0, real=F.col("gap")), value(TERM, F.col("term") >= 0, real=F.col("term")),
+        value(NUMBER, F.col("parsed").isNotNull(), whole=F.col("parsed.value"), prefix=F.col("parsed.prefix")), value(ROWS, F.lit(True)), value(ROUND, F.col("amount").isNotNull() & F.col("is_round")),
+    ]
+    said = parts.select("vk", "block", "blocks", F.explode(F.array_compact(F.array(*kinds))).alias("v")).groupBy("vk", "block", "blocks", "v").agg(F.count("*").alias("n"))
+    later = said.select("vk", F.explode(F.filter("blocks", lambda b: b > F.col("block"))).alias("into"), "v.*", "n")
+    old = later.groupBy("into", "vk", "kind", "real", "whole", "prefix").agg(F.sum("n").alias("n"))
+    old = old.unionByName(first_gaps.select(F.col("block").alias("into"), F.col("first_vendor").alias("vk"), F.lit(-1).alias("kind"), F.datediff("before", F.to_date(F.lit("1970-01-01"))).cast("double").alias("real"), F.lit(None).cast("long").alias("whole"), F.lit(None).cast("string").alias("prefix"), F.lit(1).cast("long").alias("n")))
+    kept = [f for f in rows.schema.fields if f.name not in HELPERS]
+    schema = StructType(kept + StructType.fromDDL(LEARNED).fields)
+    return rows.groupBy("block").cogroup(old.drop("vk").groupBy("into")).applyInArrow(learn, schema)
+
+
+def learn(rows: pa.Table, old: pa.Table) -> pa.Table:
+    """Rows of one block, each with what the rows of its vendor before it say; old: values of the first vendor's earlier blocks."""
+    keys = [(c, "ascending") for c in IN_TIME]
+    rows = rows.take(pc.sort_indices(rows, sort_keys=keys, null_placement="at_start")).combine_chunks()
+    n = rows.num_rows
+    floats = lambda c, t=rows: t.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)  # noqa: E731  nulls are NaN
+    vendor = np.array(pc.dictionary_encode(rows.column("vk").combine_chunks()).indices) if n else np.zeros(0, np.int64)
+    group, groups = vendor.astype(np.int64), int(vendor.max()) + 1 if n else 0
+    past = {kind: old.filter(pc.equal(old.column("kind"), kind)) for kind in range(-1, 6)}
+    counted = lambda kind: int(pc.sum(past[kind].column("n")).as_py() or 0)  # noqa: E731  all of them are the first vendor's
+    first = np.arange(groups) == 0
+
+    day = floats("issue_date", pa.table({"issue_date": rows.column("issue_date").cast(pa.int32())}))
+    previous = np.concatenate([[np.nan], day[:-1]])[:n]
+    previous[np.diff(group, prepend=-1) != 0] = np.nan
+    if past[-1].num_rows:
+        previous[0] = past[-1].column("real")[0].as_py()
+    gap, term, amount = day - previous, floats("term"), floats("amount")
+
+    def series(value: np.ndarray, kind: int, good: np.ndarray) -> tuple[PrefixOrder, np.ndarray]:
+        real, count = past[kind].column("real").to_numpy(), past[kind].column("n").to_numpy()
+        order = PrefixOrder(group[good], value[good], np.ones(int(good.sum()), np.int64), np.zeros(len(real), np.int64), real, count, groups)
+        return order, earlier_in_group(group, good)
+
+    is_amount = ~np.isnan(amount)
+    amounts, n_amounts = series(amount, AMOUNT, is_amount)
+    gaps, gaps_so_far = series(gap, GAP, gap > 0)
+    terms, terms_so_far = series(term, TERM, term >= 0)
+    middle = amounts.median(group, n_amounts)
+    n_round = earlier_in_group(group, is_amount & rows.column("is_round").to_numpy(zero_copy_only=False).astype(bool)) + np.where(group == 0, counted(ROUND), 0)
+    size = amounts.count(group, n_amounts)
+
+    # How often a row's amount has come up, itself included; the most of that so far.
+    known = dict(zip(past[AMOUNT].column("real").to_pylist(), past[AMOUNT].column("n").to_pylist(), strict=True))
+    code = np.unique(np.stack([group.astype(float), amount]), axis=1, return_inverse=True)[1].ravel() if n else group
+    by_code = np.argsort(code, kind="stable")
+    times = np.empty(n, np.int64)
+    times[by_code] = earlier_in_group(code[by_code], np.ones(n, bool)) + 1
+    if known:
+        times += np.where(group == 0, np.array([known.get(a, 0) for a in amount.tolist()], np.int64), 0)
+    repeated = running_most(group, np.where(is_amount, times, 0), np.where(first, max(known.values(), default=0), 0))
+
+    parsed = rows.column("parsed").combine_chunks()
+    has_number = pc.is_valid(parsed).to_numpy(zero_copy_only=False)
+    whole, prefix = pc.struct_field(parsed, "value").to_pylist(), pc.struct_field(parsed, "prefix").to_pylist()
+    step, last = numbers(group, groups, has_number, whole, prefix, past[NUMBER])
+    columns = {
+        "gap": pa.array(gap, pa.float64(), from_pandas=True).cast(pa.int32()), "n_prior": pa.array(earlier_in_group(group, np.ones(n, bool)) + np.where(group == 0, counted(ROWS), 0)),
+        "n_gaps": pa.array(gaps.count(group, gaps_so_far)), "n_terms": pa.array(terms.count(group, terms_so_far)),
+        "round_share": pa.array(np.where(size > 0, n_round / np.maximum(size, 1), np.nan), from_pandas=True), "last_number": last,
+        "median_total": pa.array(middle, from_pandas=True), "median_interval": pa.array(gaps.median(group, gaps_so_far), from_pandas=True), "median_term": pa.array(terms.median(group, terms_so_far), from_pandas=True),
+        "amount_mad": pa.array(amounts.deviation(group, n_amounts, middle)), "repeated": pa.array(repeated.astype(np.int32)), "usual_step": pa.array(step),
+    }
+    out = rows.drop_columns(HELPERS)
+    for name, column in columns.items():
+        out = out.append_column(name, column)
+    return out
+
+
+def numbers(group: np.ndarray, groups: int, has: np.ndarray, whole: list, prefix: list, old: pa.Table) -> tuple[np.ndarray, pa.Array]:
+    """The usual step of each row's series before it, and the vendor's highest number so far.
+
+    A series is a vendor's numbers with one prefix. A new number between two others takes their step away and adds two, so
+    the steps so far are a row of values with weights.
+    """
+    n = len(group)
+    # Series numbered by vendor, then as they first come up; those of the first vendor's earlier blocks count too.
+    old_rows = list(zip(old.column("prefix").to_pylist(), old.column("whole").to_pylist(), strict=True))
+    names: dict[tuple[int, str], int] = {}
+    for p, _ in sorted(old_rows, key=lambda r: r[0]):
+        names.setdefault((0, p), len(names))
+    own = np.array([names.setdefault((g, p), len(names)) if h else -1 for g, p, h in zip(group.tolist(), prefix, has.tolist(), strict=True)], np.int64)
+    count = len(names)
+    valued = np.array([w is not None for w in whole], bool) & has
+    number = np.array([w if w is not None else 0 for w in whole], np.int64)
+    at = np.flatnonzero(valued)
+    at = at[np.argsort(own[at], kind="stable")]  # by series, in time
+    known = [(names[0, p], w) for p, w in old_rows if w is not None]
+    old_series, old_number = np.array([s for s, _ in known], np.int64), np.array([w for _, w in known], np.int64)
+    everything = np.lexsort((np.concatenate([np.full(len(known), -1), np.arange(len(at))]), np.concatenate([old_number, number[at]]), np.concatenate([old_series, own[at]])))
+    s, v = np.concatenate([old_series, own[at]])[everything], np.concatenate([old_number, number[at]])[everything]
+    fresh = np.ones(len(s), bool)
+    fresh[1:] = (s[1:] != s[:-1]) | (v[1:] != v[:-1])
+    distinct = np.sort(everything[fresh & (everything >= len(known))] - len(known))  # first of each number that no earlier block has
+    where, of, value = at[distinct], own[at][distinct], number[at][distinct]
+    so_far = earlier_in_group(of, np.ones(len(of), bool))
+    order = PrefixOrder(of, value, np.ones(len(of), np.int64), old_series, old_number, np.ones(len(known), np.int64), count)
+    place, size = order.below(of, so_far, value), order.count(of, so_far)
+    below, above = place > 0, place < size
+    left = order.kth(of, so_far, np.maximum(place - 1, 0)).astype(np.int64)
+    right = order.kth(of, so_far, np.minimum(place, np.maximum(size - 1, 0))).astype(np.int64)
+    steps = np.stack([np.where(below & above, right - left, 0), np.where(below, value - left, 0), np.where(above, right - value, 0)], axis=1).ravel()
+    weights = np.stack([-(below & above).astype(np.int64), below.astype(np.int64), above.astype(np.int64)], axis=1).ravel()
+    by_value = np.lexsort((old_number, old_series))
+    same = np.diff(old_series[by_value]) == 0
+    old_steps = np.diff(old_number[by_value])[same]
+    changes = PrefixOrder(np.repeat(of, 3), steps, weights, old_series[by_value][1:][same], old_steps, np.ones(len(old_steps), np.int64), count)
+
+    # Distinct numbers of its series before each row.
+    is_first = np.zeros(n, bool)
+    is_first[where] = True
+    rows = np.flatnonzero(own >= 0)
+    rows = rows[np.argsort(own[rows], kind="stable")]
+    n_steps = 3 * earlier_in_group(own[rows], is_first[rows])
+    total = changes.count(own[rows], n_steps)
+    low, high = (changes.kth(own[rows], n_steps, np.maximum(k, 0)).astype(np.int64) for k in ((total - 1) // 2, total // 2))
+    usual = np.ones(n, np.int64)
+    usual[rows] = np.where(total > 0, np.maximum((low + high + 1) // 2, 1), 1)
+
+    # The highest so far, by value (none is lowest), then prefix.
+    seen = sorted({*((w is not None, w or 0, p) for p, w in old_rows), *((w is not None, w or 0, p) for w, p, h in zip(whole, prefix, has.tolist(), strict=True) if h)})
+    rank = {x: i + 1 for i, x in enumerate(seen)}
+    mine = np.array([rank[w is not None, w or 0, p] if h else 0 for w, p, h in zip(whole, prefix, has.tolist(), strict=True)], np.int64)
+    start = np.zeros(groups, np.int64)
+    if groups and old_rows:
+        start[0] = max(rank[w is not None, w or 0, p] for p, w in old_rows)
+    most = running_most(group, mine, start)
+    names_of = [None, *({"value": v if real else None, "prefix": p} for real, v, p in seen)]
+    return usual, pa.array([names_of[i] for i in most.tolist()], pa.struct([("value", pa.int64()), ("prefix", pa.string())]))
 
 
 def anomaly_amount(stats: DataFrame) -> DataFrame:
@@ -152,7 +289,3 @@ def anomaly_findings(invoices: DataFrame, peers: DataFrame) -> DataFrame:
     stats = invoices.sparkSession.read.schema(learnt.schema).parquet(path)
     out = anomaly_amount(stats).unionByName(anomaly_number_gap(stats)).unionByName(anomaly_timing(stats)).unionByName(anomaly_round(stats))
     return out.unionByName(anomaly_benign_dup(stats, peers))
-
-
-def total_by_vendor(invoices: DataFrame) -> DataFrame:
-    return invoices.groupBy("vendor_key").agg(exact_sum("total").alias("total"))

@@ -183,7 +183,7 @@ def test_handoff_file(spark, tmp_path):
     guarded = df.withColumn("invoice_number", queue.guarded(F.col("invoice_number")))
     queue.write_bookkeeping_csv(guarded.coalesce(1), str(tmp_path / "out"))
     data = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
-    assert data.split(b"\r\n")[:3] == [b"invoice_number,invoice_date,memo", b'x,2000-01-01,""', b'\'=1+1,2001-01-01,"say ""hi"", ok"']
+    assert data.split(b"\r\n")[:3] == [b"\xef\xbb\xbfinvoice_number,invoice_date,memo", b"x,2000-01-01,", b'\'=1+1,2001-01-01,"say ""hi"", ok"']
 
 
 def test_empty_inputs(spark):

@@ -5,14 +5,18 @@ import random
 from collections import Counter
 from statistics import median
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from test_operators import invoices
 
 from paylens.functions.nearest import NearestRows
+from paylens.functions.running import PrefixOrder
 from paylens.operators import anomalies, duplicates
 
 
-def test_prior_stats_see_all_earlier_invoices(spark):
+@pytest.mark.parametrize("block_rows", [20_000, 90])
+def test_prior_stats_see_all_earlier_invoices(spark, block_rows):
     rng = random.Random(5)
     n, day = 1300, dt.date(1995, 1, 1)
     items = []
@@ -21,9 +25,12 @@ def test_prior_stats_see_all_earlier_invoices(spark):
         total = float(rng.choice([100, 250, 900])) if i < 600 else float(rng.randrange(1, 4000)) / 8
         number = {0: "", 1: f"B-{i:05}"}.get(rng.randrange(9), f"A-{rng.randrange(90000):05}")
         items.append({"issue_date": day, "due_date": day + dt.timedelta(rng.randrange(-3, 40)), "total": total if i % 17 else 0.0, "invoice_number": number})
-    got = {r.id: r for r in anomalies.prior_stats(invoices(spark, *items, {"vendor_key": "b"}, {"vendor_key": "b"}).repartition(5)).collect()}
+    df = invoices(spark, *items, {"vendor_key": "b"}, {"vendor_key": "b"}).repartition(5)
+    if block_rows == 90:
+        assert anomalies.in_blocks(df, block_rows).filter("vendor_key = 'acme'").select("block").distinct().count() >= 8
+    got = {r.id: r for r in anomalies.prior_stats(df, block_rows).collect()}
     middle = lambda v: median(v) if v else None
-    for i in [0, 1, 2, 5, 499, 500, 501, 700, 1001, n - 1]:
+    for i in [0, 1, 2, 5, 499, 500, 501, 700, 1001, *range(3, n, 41), n - 1]:
         past, r = items[:i], got[i + 1]
         amounts = [x["total"] for x in past if x["total"] > 0]
         gaps = [g for a, b in zip(past, past[1:], strict=False) if (g := (b["issue_date"] - a["issue_date"]).days) > 0]
@@ -42,6 +49,27 @@ def test_prior_stats_see_all_earlier_invoices(spark):
     assert [got[n + k].n_prior for k in (1, 2)] == [0, 1]
 
 
+def test_prefix_order_as_sorting_does(spark):
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        groups, n = int(rng.integers(1, 5)), int(rng.integers(0, 60))
+        group, value = np.sort(rng.integers(0, groups, n)), rng.integers(0, 12, n) / 4
+        old_group, old_value, old_count = rng.integers(0, groups, 5), rng.integers(0, 14, 5) / 4, rng.integers(1, 4, 5)
+        order = PrefixOrder(group, value, np.ones(n, np.int64), old_group, old_value, old_count, groups)
+        for g in range(groups):
+            own = value[group == g]
+            for k in range(len(own) + 1):
+                have = sorted([*own[:k].tolist(), *np.repeat(old_value, old_count)[np.repeat(old_group, old_count) == g].tolist()])
+                ask = np.full(max(len(have), 1), g), np.full(max(len(have), 1), k)
+                assert order.count(*ask)[0] == len(have)
+                for y in (-1.0, 0.25, 1.1, 9.0):
+                    assert order.below(*ask, np.full(len(ask[0]), y))[0] == sum(x < y for x in have)
+                if have:
+                    assert order.kth(*ask, np.arange(len(have))).tolist() == have
+                    middle = order.median(*ask)
+                    assert middle[0] == median(have) and order.deviation(*ask, middle)[0] == median(abs(x - median(have)) for x in have)
+
+
 def test_a_number_far_behind_is_still_a_gap(spark):
     start = dt.date(1995, 1, 1)
     items = [{"issue_date": start + dt.timedelta(i), "invoice_number": "S-9000" if i == 0 else f"S-{i:04}"} for i in range(700)]
