@@ -13,12 +13,14 @@ Spark's text writer puts one there.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -40,19 +42,20 @@ MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 # Fixed value: the pieces that the vocabulary's file splits lower-cased texts into.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-# Texts of these characters alone (Latin letters, common signs) are the same in normal form C, and their lower case is plain.
-PLAIN = regex.compile(r"[\x00-\x1b\x20-\x84\x86-\u012f\u0131-\u017e\u2010-\u2027\u20ac]*")
+# Texts without these characters are the same in normal form C, and have a plain lower case and white space (Latin letters, common signs).
+UNUSUAL = ["\x1c-\x1f", "\x85", "\xa0", "\u0130", "\u017f-\u200f", "\u2028-\u20ab", "\u20ad-\U0010ffff"]
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, whose model is asked once for each distinct piece.
 
     A text of plain characters is cut into words here, words into the vocabulary's pieces, and what becomes of both is
-    remembered. Of other texts, and of those that may hold special tokens, every word (between white space 20, 09-0D, across which
-    no step of the library looks) that isn't plain itself is coded by the whole library. memo bounds what is remembered.
+    remembered. Of texts with unusual characters or special tokens, every word (between white space 20, 09-0D, across which
+    no step of the library looks) that has one is coded by the whole library. memo bounds what is remembered.
     """
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         self.library, self.memo = Tokenizer.from_file(path), memo
         self.library.no_truncation()
         self.library.no_padding()
@@ -67,8 +70,10 @@ class Encoder:
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith(suffix)]] = True
         self.symbols = {b: c for c, b in byte_symbols().items()} | {32: " "}
-        self.split = regex.compile(PIECES + r"|\n").findall
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.split = regex.compile(PIECES + r"|\n").findall
+        self.unusual = "|".join([f"[{''.join(UNUSUAL)}]", *[regex.escape(t) for t in self.special]])
+        self.unusual_word = regex.compile(self.unusual).search
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
@@ -84,52 +89,73 @@ class Encoder:
     def learn(self, words: list[str]) -> None:
         """Remember the ids of plain words in lower case."""
         found = self.split("\n".join([*words, ""]))
-        new = {x for x in found if x not in self.pieces and x != "\n"}
+        parts = list(map(self.pieces.get, found))
+        new = {x for x, ids in zip(found, parts, strict=True) if ids is None}
         if len(new) + len(self.pieces) > self.memo:
             self.pieces.clear()
-            new = set(found) - {"\n"}
-        self.ask(list(new))
-        pieces, word, made = self.pieces, [], []
-        for x in found:
-            if x == "\n":
-                made.append(b"".join(word))
-                word = []
-            else:
-                word.append(pieces[x])
-        self.known.update(zip(words, made, strict=True))
-
-    def plain(self, text: str) -> bool:
-        return PLAIN.fullmatch(text) is not None and not any(t in text for t in self.special)
-
-    def mixed(self, text: str) -> list[str | bytes]:
-        """Plain words of a text in lower case, and the ids of its other words."""
-        out: list[str | bytes] = []
-        for word in regex.findall(r"[^ \t-\r]+", text):
-            if self.plain(word):
-                out += word.lower().split()
-                continue
-            if word not in self.odd:
+            new = set(found)
+        if new:
+            self.pieces["\n"] = b""
+            self.ask(list(new - {"\n"}))
+            parts = list(map(self.pieces.__getitem__, found))
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))[[i for i, x in enumerate(found) if x == "\n"]].tolist()
+        self.known.update(zip(words, map(b"".join(parts).__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct plain words in lower case."""
+        raw = list(map(self.known.get, words))
+        new = [x for x, ids in zip(words, raw, strict=True) if ids is None]
+        if not new:
+            return raw
+        if len(new) + len(self.known) > self.memo:
+            self.known.clear()
+            new = words
+        self.learn(new)
+        return list(map(self.known.__getitem__, words))
+
+    def encode_plain(self, texts: pa.Array, end_id: int) -> pa.Array:
+        """The ids of plain texts and the end id of each: every distinct word is looked at once, the rest are array operations."""
+        words = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        coded = words.flatten().dictionary_encode()
+        raw = self.ids_of(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // self.kind.itemsize
+        flat, counts = joined(np.frombuffer(b"".join(raw), self.kind), sizes, coded.indices.to_numpy(), words.value_lengths().to_numpy())
+        ends = np.cumsum(counts)
+        offsets = np.concatenate([[0], ends + np.arange(1, len(texts) + 1)]) * self.kind.itemsize
+        data = np.insert(flat, ends, np.array(end_id, self.kind))
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+    def encode(self, texts: pa.Array, end_id: int) -> pa.Array:
+        """The ids of each text (null: empty) and the end id, as numbers of self.kind."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.unusual)
+        usual = self.encode_plain(texts.filter(pc.invert(odd)), end_id)
+        if len(usual) == len(texts):
+            return usual
+        end, out = np.array(end_id, self.kind).tobytes(), iter(usual.to_pylist())
+        return pa.array([self.encode_mixed(t.as_py()) + end if o.as_py() else next(out) for t, o in zip(texts, odd, strict=True)], pa.binary())
+
+    def encode_mixed(self, text: str) -> bytes:
+        """The ids of one text, word by word."""
+        words = regex.findall(r"[^ \t-\r]+", text)
+        plain = {w for w in words if not self.unusual_word(w)}
+        raw = self.encode_plain(pa.array(sorted(plain), pa.string()), 0).to_pylist()
+        ids = {w: x[: -self.kind.itemsize] for w, x in zip(sorted(plain), raw, strict=True)}
+        for w in set(words) - plain:
+            if w not in self.odd:
                 if len(self.odd) >= self.memo // 5:
                     self.odd.clear()
-                self.odd[word] = np.array(self.library.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
-            out.append(self.odd[word])
-        return out
-
-    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        """The ids of each text and the end id, as numbers of self.kind."""
-        end = np.array([end_id], self.kind).tobytes()
-        simple = [self.plain(t) for t in texts]
-        # White space of plain texts is what str.split() takes for it.
-        split = [t.lower().split() if s else self.mixed(t) for t, s in zip(texts, simple, strict=True)]
-        words = {x for x in set().union(*split) if type(x) is str}
-        new = [x for x in words if x not in self.known]
-        if new and len(new) + len(self.known) > self.memo:
-            self.known.clear()
-            new = list(words)
-        if new:
-            self.learn(new)
-        known = self.known
-        return [b"".join(map(known.__getitem__, p)) + end if s else b"".join([known[x] if type(x) is str else x for x in p]) + end for p, s in zip(split, simple, strict=True)]
+                self.odd[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
+            ids[w] = self.odd[w]
+        return b"".join(map(ids.__getitem__, words))
+
+
+def joined(values: np.ndarray, sizes: np.ndarray, items: np.ndarray, per_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What rows of items stand for, one after the other, and how many values each row has; item i is the next sizes[i] values."""
+    counts, first = sizes[items], np.cumsum(sizes) - sizes
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    flat = values[np.arange(ends[-1]) + np.repeat(first[items] - ends[:-1], counts)]
+    return flat, np.diff(ends[np.concatenate([[0], np.cumsum(per_row)])])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -148,10 +174,10 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path)
-        for batch in small(batches, 100):
-            ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()], end_id)
-            sizes = [len(x) // encoder.kind.itemsize for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
+        for batch in small(batches, 300):
+            ids = encoder.encode(batch.column(1), end_id)
+            sizes = pc.divide(pc.binary_length(ids).cast(pa.int64()), encoder.kind.itemsize)
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, ids], ["id", "n_tokens", "ids"])
 
     return rows.mapInArrow(run, "id long, n_tokens long, ids binary")
 
