@@ -29,23 +29,34 @@ def period_of(day: str, period: str) -> Column:
     return F.coalesce(quarter if period == "quarter" else F.date_format(day, "yyyy-MM"), F.lit("Unknown period"))
 
 
+DIMENSIONS = {"vendor": "Unassigned vendor", "category": "Uncategorized", "department": "Unassigned department", "entity": "Unassigned entity"}
+
+
+def bucket_rows(invoices: DataFrame, period: str = "month") -> DataFrame:
+    """id, ord, total, dimension, key, currency and label: which bucket an invoice belongs to, for five dimensions. Nothing is shuffled."""
+    labels = {d: label_of(d, empty) for d, empty in DIMENSIONS.items()} | {"period": period_of("issue_date", period)}
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.lower(v).alias("key"), v.alias("label")) for d, v in labels.items()]))
+    return invoices.select("id", "ord", "total", currency_of().alias("currency"), each.alias("d")).select("id", "ord", "total", "currency", "d.*")
+
+
+BUCKET = ["dimension", "key", "currency"]
+
+
 def spend_buckets(invoices: DataFrame, period: str = "month") -> DataFrame:
-    """dimension, label, currency, total, n and invoice_ids over five dimensions at once.
+    """dimension, key, currency, label, total, n, first_id, last_id and first_ord over five dimensions at once.
 
     Labels that differ in case only share a bucket, under the spelling that came first (smallest ord). One
-    pass: the rows are expanded to the dimensions and summed before the shuffle.
+    pass: the rows are expanded to the dimensions and summed before the shuffle. A bucket's invoices are what
+    drilldown gives; no row holds their ids.
     """
-    labels = {
-        "vendor": label_of("vendor", "Unassigned vendor"),
-        "category": label_of("category", "Uncategorized"),
-        "department": label_of("department", "Unassigned department"),
-        "entity": label_of("entity", "Unassigned entity"),
-        "period": period_of("issue_date", period),
-    }
-    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), v.alias("label")) for d, v in labels.items()]))
-    rows = invoices.select("id", "ord", "total", currency_of().alias("currency"), each.alias("d")).select("id", "ord", "total", "currency", "d.*")
-    grouped = rows.groupBy("dimension", F.lower("label").alias("key"), "currency")
-    return grouped.agg(F.min_by("label", "ord").alias("label"), exact_sum("total").alias("total"), F.count("*").alias("n"), F.sort_array(F.collect_set("id")).alias("invoice_ids")).drop("key")
+    ends = [F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min("ord").alias("first_ord")]
+    return bucket_rows(invoices, period).groupBy(*BUCKET).agg(F.min_by("label", "ord").alias("label"), exact_sum("total").alias("total"), F.count("*").alias("n"), *ends)
+
+
+def merge_buckets(parts: DataFrame) -> DataFrame:
+    """Buckets of several parts of the invoices (kept ones and those of a new day, say) as those of all, from the buckets alone."""
+    ends = [F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.min("first_ord").alias("first_ord")]
+    return parts.groupBy(*BUCKET).agg(F.min_by("label", "first_ord").alias("label"), exact_sum("total").alias("total"), F.sum("n").alias("n"), *ends)
 
 
 def top_buckets(buckets: DataFrame, dimension: str, limit: int = 12) -> DataFrame:
@@ -63,9 +74,11 @@ def unassigned_groups(buckets: DataFrame) -> DataFrame:
     return buckets.groupBy("dimension").agg(F.count_if(F.col("label").startswith("Unassigned") | (F.col("label") == "Uncategorized")).alias("n_unassigned"))
 
 
-def drilldown(invoices: DataFrame, buckets: DataFrame) -> DataFrame:
-    """The invoices behind the given buckets."""
-    return invoices.join(buckets.select(F.explode("invoice_ids").alias("id")), "id", "left_semi")
+def drilldown(invoices: DataFrame, buckets: DataFrame, period: str = "month") -> DataFrame:
+    """The invoices behind the given buckets(dimension, key, currency): those that have one of their keys, each once."""
+    wanted = buckets.select(*BUCKET).distinct()
+    ids = bucket_rows(invoices, period).join(wanted, BUCKET, "left_semi").select("id").distinct()
+    return invoices.join(ids, "id", "left_semi")
 
 
 def vendor_rollup(invoices: DataFrame) -> DataFrame:

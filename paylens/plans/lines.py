@@ -110,7 +110,7 @@ QUERIES = {
         lambda d: duplicates.auto_tags(d.v_invoices, duplicates.duplicate_peers(keyed(d)), AS_OF),
         f"""WITH {PEERS}, n AS (SELECT i.*, count(*) OVER (PARTITION BY lower(vendor)) AS n, p.peer FROM v_invoices i LEFT JOIN peers p USING (id)),
         t AS (SELECT id, unnest([CASE WHEN n = 1 THEN 'First-time vendor' ELSE 'Recurring' END, CASE WHEN peer IS NOT NULL THEN 'Duplicate risk' END, CASE WHEN total >= 10000 THEN 'High value' END,
-          CASE WHEN due_date < DATE '{AS_OF}' AND status NOT IN ('paid', 'rejected') THEN 'Late' END, CASE WHEN date_diff('day', DATE '{AS_OF}', due_date) BETWEEN 0 AND 3 AND status <> 'paid' THEN 'Urgent' END,
+          CASE WHEN due_date < DATE '{AS_OF}' AND status NOT IN ('paid', 'rejected', 'archived') THEN 'Late' END, CASE WHEN date_diff('day', DATE '{AS_OF}', due_date) BETWEEN 0 AND 3 AND status <> 'paid' THEN 'Urgent' END,
           CASE WHEN (iban <> '' AND iban NOT LIKE 'NL%') OR regexp_matches(vendor, '(?i)\\b(GmbH|AG|S\\.?A\\.?|S\\.?R\\.?L\\.?|Ltd|LLC|Inc|PLC|Pty)\\b') THEN 'International' END, CASE WHEN n = 1 AND total >= 10000 THEN 'Needs receipt' END]) AS tag FROM n)
         SELECT id, list_sort(list(tag) FILTER (WHERE tag IS NOT NULL)) AS tags FROM t GROUP BY 1""",
     ),

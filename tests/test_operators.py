@@ -74,8 +74,13 @@ def test_rates(spark):
 
 def test_buckets_share_labels_whatever_their_case(spark):
     df = invoices(spark, {"vendor": "Acme", "status": "paid"}, {"vendor": "ACME", "status": "paid", "total": 50.0}, {"vendor": " ", "status": "paid"})
-    got = rows(spend.spend_buckets(df).filter("dimension = 'vendor'"), "label", "total", "n", "invoice_ids")
-    assert got == [("Acme", 150.0, 2, [1, 2]), ("Unassigned vendor", 100.0, 1, [3])]
+    buckets = spend.spend_buckets(df).filter("dimension = 'vendor'")
+    assert rows(buckets, "label", "total", "n", "first_id", "last_id") == [("Acme", 150.0, 2, 1, 2), ("Unassigned vendor", 100.0, 1, 3, 3)]
+    assert rows(spend.drilldown(df, buckets.filter("label = 'Acme'")), "id") == [(1,), (2,)]
+    assert rows(spend.drilldown(df, spend.spend_buckets(df).filter("key in ('acme', 'unassigned department')")), "id") == [(1,), (2,), (3,)]
+    parts = [spend.spend_buckets(df.filter(c)) for c in ("id = 2", "id = 1", "id = 3")]
+    merged = spend.merge_buckets(spend.merge_buckets(parts[0].unionByName(parts[1])).unionByName(parts[2]))
+    assert rows(merged, *sorted(merged.columns)) == rows(spend.spend_buckets(df), *sorted(merged.columns))
     undated = invoices(spark, {"issue_date": None}, {})
     assert spend.spend_filter(undated, end="2002-01-01").count() == 2
     assert spend.spend_filter(undated, start="2000-01-01").count() == 1
