@@ -57,6 +57,14 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """The name, with as many underscores behind it as make it none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Batches in parts of so many rows, so that what is made of them is let go before the next part."""
     for batch in batches:

@@ -8,7 +8,7 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Scratch
+from .common import Scratch, free_name
 from .native import runs_hashed, words_of
 
 SPACES = r"[\x20\x09-\x0D]"
@@ -198,5 +198,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, min_similarity
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, min_similarity: float = 0.8, radius: int = 23, broadcast_rows: int = 500_000, scratch: Scratch | None = None) -> DataFrame:
     """The rows of docs whose own text holds no leak, whatever other rows share their doc_id; options as in find_leaks."""
     found = leaking_windows(docs, benchmark, k, min_similarity, radius, broadcast_rows, scratch or Scratch(docs.sparkSession))
-    leaks = found.select(F.col("doc_id").alias("__leaking_id"), F.col("text_key").alias("__leaking_key")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__leaking_id")) & (F.xxhash64("text") == F.col("__leaking_key")), "left_anti")
+    own, key = free_name("leaking_id", docs), free_name("leaking_key", docs)
+    leaks = found.select(F.col("doc_id").alias(own), F.col("text_key").alias(key)).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(key)), "left_anti")

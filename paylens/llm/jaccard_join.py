@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, mix64, small, utf8_values, window_hashes, word_bounds, word_hashes
+from .common import Scratch, free_name, mix64, small, utf8_values, window_hashes, word_bounds, word_hashes
 from .components import connected_components
 
 GROUPS = 256
@@ -471,5 +471,5 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     Rows without doc_id stay. Of rows that repeat a doc_id all stay if that id names the component.
     """
     found = near_duplicates(docs, **options)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(own := free_name("gone", docs))).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(own), "left_anti")

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, small, utf8_values, window_hashes, word_bounds, word_hashes
+from .common import Scratch, free_name, small, utf8_values, window_hashes, word_bounds, word_hashes
 
 # Stands for the hash of a window that reaches beyond its text; hashes have 32 bits.
 _OUTSIDE = -1
@@ -182,8 +182,8 @@ def remove_repeats(docs: DataFrame, words: int = 50, digest: bool = False, scrat
     doc_id don't count as earlier than each other, and each loses what any of them has to lose at that
     place; rows without doc_id stay as they are. Empty tables give empty ones; other columns pass through.
     """
-    lost = repeated_windows(docs, words, scratch=scratch).groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("__at")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(lost, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    lost = repeated_windows(docs, words, scratch=scratch).groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias(free_name("lost_at", docs))).withColumnRenamed("doc_id", own := free_name("lost_id", docs))
+    joined = docs.join(lost, F.col("doc_id") == F.col(own), "left").drop(own)
     names = docs.columns
     where = {n: i for i, n in enumerate(names)}
     kind = docs.schema["doc_id"].dataType.simpleString()
