@@ -421,7 +421,3 @@ def vendor_embedding(texts: DataFrame, buckets: int = 256) -> DataFrame:
         return let(each, lambda n: let(F.sqrt(F.aggregate(n, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: F.transform(n, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))))
 
     return rows.select("doc_id", "fingerprint", counted(F.col("found")).alias("embedding"))
-
-
-def identity_key(c: str) -> Column:
-    return normal_id(c)
