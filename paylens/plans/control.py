@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import anomalies, checks, documents, duplicates, governance, lookups, matching, vendors
 from ..streaming import checks as streams
 from .lines import COVER, CROSS, ISSUES, KEYED, MATCH, PEERS, QUERIES as LINE_QUERIES, keyed, lines_of
-from .vendors import QUERIES as VENDOR_QUERIES, proposed
+from .vendors import QUERIES as VENDOR_QUERIES, printed, proposed
 from .views import AS_OF
 
 OPEN = "status IN ('vendor_profile', 'processing', 'failed', 'draft', 'review', 'scheduled')"
@@ -86,7 +86,7 @@ def approval_checks(d):
     matches = matching.po_match(lines_of(d), d.v_po_lines, d.v_receipts).withColumn("mode", F.lit("three_way"))
     tags = duplicates.auto_tags(d.v_invoices, peers(d), AS_OF).select("id", F.explode("tags").alias("tag"))
     prepaid = d.v_letters.filter(documents.doc_prepaid(F.col("text")).isNotNull()).select(F.col("doc_id").alias("id"))
-    identity = vendors.vendor_record_compare(d.v_invoices, proposed(d).filter("k % 9 <> 0"))
+    identity = vendors.vendor_record_compare(printed(d), proposed(d).filter("k % 9 <> 0"))
     issues = checks.validation_issues(d.v_invoices, d.v_lines, "approve")
     return governance.approval_checks(d.v_invoices, issues, identity, checks.tax_findings(d.v_invoices, "NL123456789B01"), matches, coverage(d), tags, prepaid)
 

@@ -24,6 +24,14 @@ def proposed(d):
     return d.spark.sql(PROPOSED.replace("FROM mst", "FROM {mst}"), mst=master(d))
 
 
+def printed(d):
+    """Invoices with an e-mail address, an address and a registration number, as they might stand on the page."""
+    k = F.regexp_extract("vendor", r"#(\d+)", 1).try_cast("long")
+    mail = F.when(k % 5 == 0, "other@y.example").otherwise(F.concat(F.lit("INFO@"), F.upper(F.replace("vendor", F.lit("#"), F.lit(""))), F.lit(".example")))
+    address = F.when(k % 11 == 0, "").when(k % 2 == 0, "Main Street 1, Utrecht").otherwise("1 Street Main")
+    return d.v_invoices.withColumns({"email": mail, "address": address, "registration_number": F.when(k % 10 == 0, "1234.5678").otherwise("87654321")})
+
+
 def words(d):
     lines = d.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "row"))
     each = lines.select("doc_id", "line_no", F.posexplode(F.filter(F.split("row", " "), lambda w: w != "")).alias("p", "text"))
@@ -128,11 +136,14 @@ QUERIES = {
         SELECT i.id AS change_id, CASE WHEN coalesce(m.iban, '') = CASE WHEN i.id % 4 = 0 THEN 'NL20INGB0001234567' ELSE i.iban END THEN 'no_change' WHEN dec IS NOT NULL THEN dec WHEN own THEN 'refused' ELSE 'pending' END AS outcome FROM v_invoices i LEFT JOIN mst m ON m.name = i.vendor LEFT JOIN dc USING (id)""",
     ),
     "vendor_record_compare": (
-        lambda d: V.vendor_record_compare(d.v_invoices, proposed(d).filter("k % 9 <> 0")),
-        f"""WITH mst AS ({MASTER}), nxt AS (SELECT * FROM ({PROPOSED}) WHERE k % 9 <> 0), j AS (SELECT i.id, i.vendor, i.iban AS di, i.vat_number AS dv, n.name, n.iban AS hi, n.vat_number AS hv FROM v_invoices i LEFT JOIN nxt n ON n.name = i.vendor)
+        lambda d: V.vendor_record_compare(printed(d), proposed(d).filter("k % 9 <> 0")),
+        f"""WITH mst AS ({MASTER}), nxt AS (SELECT * FROM ({PROPOSED}) WHERE k % 9 <> 0), j AS (SELECT i.id, i.vendor, i.iban AS di, i.vat_number AS dv, n.name, n.iban AS hi, n.vat_number AS hv, n.k FROM v_invoices i LEFT JOIN nxt n ON n.name = i.vendor)
         SELECT id, 'record' AS field, 'no_record' AS verdict FROM j WHERE name IS NULL UNION ALL SELECT id, 'name', 'ok' FROM j WHERE name IS NOT NULL
         UNION ALL SELECT id, 'iban', CASE WHEN di = 'NL91ABNA0417164301' THEN 'bad_check_digits' WHEN di <> '' AND upper(hi) = di THEN 'ok' WHEN di <> '' AND hi <> '' THEN 'differs' WHEN di <> '' THEN 'not_on_file' WHEN hi <> '' THEN 'not_read' ELSE 'empty' END FROM j WHERE name IS NOT NULL
-        UNION ALL SELECT id, 'vat_number', CASE WHEN dv <> '' AND upper(hv) = dv THEN 'ok' WHEN dv <> '' THEN 'differs' ELSE 'not_read' END FROM j WHERE name IS NOT NULL""",
+        UNION ALL SELECT id, 'vat_number', CASE WHEN dv <> '' AND upper(hv) = dv THEN 'ok' WHEN dv <> '' THEN 'differs' ELSE 'not_read' END FROM j WHERE name IS NOT NULL
+        UNION ALL SELECT id, 'email', CASE WHEN k % 6 = 0 THEN 'differs' WHEN k % 3 = 0 THEN 'not_on_file' WHEN k % 5 = 0 THEN 'differs' ELSE 'ok' END FROM j WHERE name IS NOT NULL
+        UNION ALL SELECT id, 'address', CASE WHEN k % 77 = 0 THEN 'empty' WHEN k % 11 = 0 THEN 'not_read' WHEN k % 7 = 0 THEN 'not_on_file' WHEN k % 2 = 0 THEN 'differs' ELSE 'ok' END FROM j WHERE name IS NOT NULL
+        UNION ALL SELECT id, 'registration_number', CASE WHEN k % 4 = 0 THEN 'not_on_file' WHEN k % 10 = 0 THEN 'ok' ELSE 'differs' END FROM j WHERE name IS NOT NULL""",
     ),
     "profile_history": (
         lambda d: V.profile_history(d.events.select(F.col("user_id").alias("vendor_key"), F.col("event_id").alias("version"), F.col("ts").alias("updated_at"))),
