@@ -30,6 +30,10 @@ STOP_WORDS = frozenset(
 BOILERPLATE_NAME = re.compile(
     r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|byline|comments?(?:list|area)?|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notice|overlay|pagination|popup|promo\w*|related|reply|replies|respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])"
 )
+# What an article element itself may be called without being the page's article.
+SECONDARY_ARTICLE = frozenset("ad advert comment promo related reply sponsored teaser".split())
+# Function characters of scripts that are written without spaces; hiragana come from their code range.
+FUNCTION_CHARACTERS = frozenset("的了是在和不有我你他她这那个们也就都而及与着或一中上到说要会可之为以于对从被把但没很還这這個們與為於對從這說會沒來时時") | frozenset(map(chr, range(0x3041, 0x3097)))
 BOILERPLATE_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)(?:>|$)", re.S)
 NAMED = re.compile(r"(?is)\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -38,11 +42,11 @@ NAMED = re.compile(r"(?is)\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*
 class Block:
     """A run of text between block borders."""
 
-    __slots__ = ("aside", "heading", "linked", "main", "parts")
+    __slots__ = ("article", "aside", "heading", "linked", "main", "parts")
 
-    def __init__(self, main: bool, aside: bool, heading: bool):
+    def __init__(self, article: bool, main: bool, aside: bool, heading: bool):
         self.parts: list[str] = []
-        self.linked, self.main, self.aside, self.heading = 0, main, aside, heading
+        self.linked, self.article, self.main, self.aside, self.heading = 0, article, main, aside, heading
 
     def text(self) -> str:
         return " ".join(unescape("".join(self.parts)).split())
@@ -60,6 +64,8 @@ def is_boilerplate(name: str, attributes: str, in_main: bool) -> bool:
         key = key.lower()
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
+        if key == "class" and name == "article" and SECONDARY_ARTICLE.intersection(value.lower().split()):
+            return True
         if key == "role" and value.lower() in BOILERPLATE_ROLE or key in ("class", "id") and name not in ("body", "html", "article", "main") and BOILERPLATE_NAME.search(value):
             return True
     return False
@@ -68,11 +74,11 @@ def is_boilerplate(name: str, attributes: str, in_main: bool) -> bool:
 def blocks_of(html: str) -> list[Block]:
     """The page's blocks in order. Broken markup is read as browsers do where it matters: open paragraphs end
     at the next block, tags that close nothing are passed over."""
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, in main part, in boilerplate, silent
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, in article, in main part, in boilerplate, silent
     out: list[Block] = []
     current: Block | None = None
     links = 0
-    main = aside = silent = False
+    article = main = aside = silent = False
     at, end = 0, len(html)
 
     def add(text: str) -> None:
@@ -83,15 +89,15 @@ def blocks_of(html: str) -> list[Block]:
             if not text.strip():
                 return
             heading = any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in stack[-4:])
-            current = Block(main, aside, heading)
+            current = Block(article, main, aside, heading)
             out.append(current)
         current.parts.append(text)
         if links:
             current.linked += len(text.strip())
 
     def state() -> None:
-        nonlocal main, aside, silent
-        main, aside, silent = stack[-1][1:] if stack else (False, False, False)
+        nonlocal article, main, aside, silent
+        article, main, aside, silent = stack[-1][1:] if stack else (False, False, False, False)
 
     while at < end:
         match = TAG.search(html, at)
@@ -136,38 +142,76 @@ def blocks_of(html: str) -> list[Block]:
             continue
         if match[4]:
             continue
-        in_main = main or name in ("article", "main") or 'role="main"' in match[3]
-        stack.append((name, in_main, aside or is_boilerplate(name, match[3], in_main), silent or name in SILENT))
+        in_article = article or name == "article"
+        in_main = main or in_article or name == "main" or 'role="main"' in match[3]
+        stack.append((name, in_article, in_main, aside or is_boilerplate(name, match[3], in_main), silent or name in SILENT))
         state()
     return out
 
 
-GOOD, BAD, SHORT, NEAR_GOOD = "good", "bad", "short", "near good"
+GOOD, BAD, SHORT, DENSE, NEAR_GOOD = "good", "bad", "short", "dense", "near good"
+LONG, WIDE = 200, 3
+
+
+def stop_word_density(text: str) -> float:
+    """The share of stop words; in text without spaces that of function characters, doubled, as words there have about two."""
+    words = text.lower().split()
+    if is_unspaced(text):
+        return min(1.0, 2 * sum(c in FUNCTION_CHARACTERS for c in text) / len(text))
+    return sum(w.strip(".,;:!?\"'()[]#*$%&|") in STOP_WORDS for w in words) / len(words)
+
+
+def is_unspaced(text: str) -> bool:
+    """Whether most characters are of Chinese or Japanese script (U+3040 to U+9FFF)."""
+    return 2 * sum("\u3040" <= c <= "\u9fff" for c in text) > len(text)
+
 
+def length_of(text: str) -> int:
+    """Code points; one of a script without spaces counts as WIDE letters."""
+    return len(text) * WIDE if is_unspaced(text) else len(text)
 
-def first_pass(text: str, block: Block, has_main: bool, max_link: float = 0.3, short: int = 70, long: int = 200, low: float = 0.12, high: float = 0.25) -> str:
-    """A label from the block alone: link density, length and stop-word density; SHORT and NEAR_GOOD are open."""
-    if block.aside or has_main and not block.main:
+
+def first_pass(text: str, block: Block, marked: bool, max_link: float = 0.3, short: int = 70, low: float = 0.12, high: float = 0.25) -> str:
+    """A label from the block alone: link density, length and stop-word density; all but GOOD and BAD are open.
+
+    In a marked article links are content: paragraphs that are mostly a link and lists of sources stay.
+    """
+    if block.aside:
         return BAD
-    if block.linked > max_link * len(text):
+    if not marked and block.linked > max_link * len(text):
         return BAD
-    if len(text) < short:
-        return BAD if block.linked else SHORT
-    words = text.lower().split()
-    density = sum(w.strip(".,;:!?\"'()[]#*$%&|") in STOP_WORDS for w in words) / len(words)
+    if length_of(text) < short:
+        return SHORT
+    density = stop_word_density(text)
     if density >= high:
-        return GOOD if len(text) >= long or has_main else NEAR_GOOD
+        return GOOD if length_of(text) >= LONG or marked else DENSE
     if density >= low:
         return NEAR_GOOD
     # In a marked article even text without stop words (lists, tables, names) is only undecided.
-    return SHORT if has_main else BAD
+    return SHORT if marked else BAD
+
+
+def joined(labels: list[str], lengths: list[int]) -> list[str]:
+    """Two or more DENSE blocks that no BAD one parts are GOOD if they are LONG together, as paragraphs of one text
+    are; the others are NEAR_GOOD."""
+    out = [NEAR_GOOD if label == DENSE else label for label in labels]
+    run: list[int] = []
+    for i, label in enumerate([*labels, BAD]):
+        if label == DENSE:
+            run.append(i)
+        elif label == BAD:
+            if len(run) > 1 and sum(lengths[k] for k in run) >= LONG:
+                for k in run:
+                    out[k] = GOOD
+            run = []
+    return out
 
 
-def second_pass(labels: list[str], has_main: bool) -> list[str]:
+def second_pass(labels: list[str], marked: bool) -> list[str]:
     """Open labels become those of their nearest decided neighbours.
 
-    Both alike, or the only one: that label. Otherwise the nearer one; at the same distance NEAR_GOOD is good
-    and SHORT is bad, unless the page marks its article, where blocks need a reason to go.
+    Both alike, or the only one: that label. Otherwise NEAR_GOOD is good, and SHORT is as the nearer one; at the
+    same distance it is bad, unless the page marks its article, where blocks need a reason to go.
     """
     n = len(labels)
     before: list[tuple[int, str] | None] = [None] * n
@@ -189,29 +233,31 @@ def second_pass(labels: list[str], has_main: bool) -> list[str]:
             continue
         a, b = before[i], after[i]
         if a and b and a[1] != b[1]:
-            nearer = a if i - a[0] < b[0] - i else b if b[0] - i < i - a[0] else None
-            out.append(nearer[1] if nearer else GOOD if label == NEAR_GOOD or has_main else BAD)
+            nearer = None if label == NEAR_GOOD else a if i - a[0] < b[0] - i else b if b[0] - i < i - a[0] else None
+            out.append(nearer[1] if nearer else GOOD if label == NEAR_GOOD or marked else BAD)
         elif a or b:
             out.append((a or b)[1])
         else:
-            out.append(GOOD if label == NEAR_GOOD or has_main else BAD)
+            out.append(GOOD if label == NEAR_GOOD or marked else BAD)
     return out
 
 
 def main_text(html: str) -> str:
     """The article of a page, one block a line.
 
-    Where the page marks its article (article, main), only blocks inside it are judged, and neighbours are
-    those inside it; elsewhere all blocks are judged, and headings follow the text below them.
+    Where the page marks its article (article elements; without those, main), only blocks inside it are judged,
+    and neighbours are those inside it; elsewhere all blocks are judged, and headings follow the text below them.
     """
     blocks = [(b, t) for b in blocks_of(html) if (t := b.text())]
-    has_main = any(b.main and not b.aside for b, _ in blocks)
-    judged = [(b, t, first_pass(t, b, has_main)) for b, t in blocks if not has_main or b.main and not b.aside]
-    labels = second_pass([x[2] for x in judged], has_main)
+    has_article = any(b.article and not b.aside for b, _ in blocks)
+    marked = has_article or any(b.main and not b.aside for b, _ in blocks)
+    judged = [(b, t) for b, t in blocks if not marked or not b.aside and (b.article if has_article else b.main)]
+    first = joined([first_pass(t, b, marked) for b, t in judged], [length_of(t) for _, t in judged])
+    labels = second_pass(first, marked)
     for i in range(len(judged) - 2, -1, -1):
-        if judged[i][0].heading and labels[i] == BAD and judged[i][2] == SHORT and labels[i + 1] == GOOD:
+        if judged[i][0].heading and labels[i] == BAD and first[i] == SHORT and labels[i + 1] == GOOD:
             labels[i] = GOOD
-    return "\n".join(t for (_, t, _), label in zip(judged, labels, strict=True) if label == GOOD)
+    return "\n".join(t for (_, t), label in zip(judged, labels, strict=True) if label == GOOD)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
