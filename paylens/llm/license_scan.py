@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import Scratch
@@ -9,6 +12,7 @@ from .native import let, runs_hashed, words_of
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 DOC = ["doc_id", "text_key"]
+MAX_TEMPLATE_WORDS = 50_000
 
 # The base phrases with their labels, and public notices and licences by SPDX-like label.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -71,12 +75,22 @@ TEMPLATES = [
 
 
 def hashed_words(text: Column) -> Column:
-    """A hash for each word; A-Z count as lower case. Only words of ASCII alone are lowered."""
-    return F.transform(words_of(text, SEPARATORS), lambda w: F.xxhash64(F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(w)))
+    """A hash for each word; A-Z alone count as lower case, in words with other letters too."""
+
+    def lowered(w: Column) -> Column:
+        return F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(F.translate(w, ascii_uppercase, ascii_lowercase))
+
+    return F.transform(words_of(text, SEPARATORS), lambda w: F.xxhash64(lowered(w)))
 
 
 def template_words(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """template, label and pattern, the hashes of its words."""
+    """template, label and pattern, the hashes of its words.
+
+    The aligner writes a template's places as characters, which are too few for longer ones.
+    """
+    for label, text in templates:
+        if len(re.split(f"{SEPARATORS}+", text)) > MAX_TEMPLATE_WORDS:
+            raise ValueError(f"a template of {label} has more than {MAX_TEMPLATE_WORDS} words")
     rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, text string")
     return rows.select("template", "label", hashed_words(F.col("text")).alias("pattern"))
 
@@ -105,12 +119,15 @@ def license_scan(
 
     Each rolling k-gram of words is joined to the places where templates have it. Hits of a document on the
     same template with the same offset (word minus template word) vote together; neighbouring offsets, at
-    most max_shift apart, merge, as a word put in or left out shifts what follows. A merged diagonal with
-    votes for min_votes of the template's k-grams is verified: the document's words where the template would
-    stand are compared with the template's in order, and are a license span if the words that agree, all but
+    most max_shift apart, merge, as a word put in or left out shifts what follows. What lies from one diagonal of a
+    merged band to another is verified where it has votes for min_votes of the template's k-grams and is no
+    wider than the edits that min_coverage allows, so a repeated part beside a notice can't spoil it: the
+    document's words from where the first diagonal puts the template's first word to where the other puts
+    its last are compared with the template's in order, and are a license span if the words that agree, all but
     the least number of edits, are min_coverage of the template. score is the largest such coverage, 0 without
-    a span and 1 with a base phrase; spans that tie all count. Templates are a parameter of at most 50000
-    words each; they are broadcast up to broadcast_rows words in all; with fewer than k words they never match.
+    a span and 1 with a base phrase; n_spans counts bands with a span. Templates are a parameter, longer ones
+    than MAX_TEMPLATE_WORDS an error; they are broadcast up to broadcast_rows words in all; with fewer than k
+    words they never match.
     Null text has no words, and texts of any length are scanned whole; null ids and repeated rows keep rows of
     their own (equal rows share one scan), an empty table gives an empty one, other columns aren't read.
     """
@@ -144,17 +161,35 @@ def license_scan(
     by_template = Window.partitionBy(*DOC, "template").orderBy("diagonal")
     apart = F.when(F.col("diagonal") - F.lag("diagonal").over(by_template) <= max_shift, 0).otherwise(1)
     merged = votes.withColumn("new", apart).withColumn("band", F.sum("new").over(by_template))
-    bands = merged.groupBy(*DOC, "template", "label", "size", "grams", "band").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("hit"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
-    likely = scratch.table(bands.filter(F.col("hit") >= F.lit(min_votes) * F.col("grams")).select(*DOC, "template", "label", "size", "low", "high"), "bands")
+    # An edit shifts by one word at most, so a span's diagonals are no further apart than its edits may be.
+    allowed = F.floor(F.round((1 - min_coverage) * F.col("size"), 6))
+    widest = int((1 - min_coverage) * max((len(re.split(f"{SEPARATORS}+", text)) for _, text in templates), default=0)) + 1
+    following = F.array_sort(F.collect_list(F.struct("diagonal", "band", "ats")).over(by_template.rangeBetween(0, widest)))
+    own = F.filter(following, lambda x: (x.band == F.col("band")) & (x.diagonal - F.col("diagonal") <= allowed))
 
-    right = likely.withColumnsRenamed({"doc_id": "right_id", "text_key": "right_key"})
+    def ends(near: Column) -> Column:
+        return F.transform(near, lambda x, i: F.struct(x.diagonal.alias("high"), F.size(F.array_distinct(F.flatten(F.transform(F.slice(near, F.lit(1), i + 1), lambda y: y.ats)))).alias("hit")))
+
+    bands = merged.select(*DOC, "template", "label", "size", "grams", "band", F.col("diagonal").alias("low"), own.alias("near"))
+    voted = bands.select(*DOC, "template", "label", "size", "band", "low", F.explode(F.filter(let(F.col("near"), ends), lambda e: e.hit >= F.lit(min_votes) * F.col("grams"))).alias("end"))
+    likely = scratch.table(voted.select(*DOC, F.struct("template", "label", "size", "band", "low", "end.high").alias("place")), "bands")
+
+    right = likely.groupBy(*DOC).agg(F.collect_list("place").alias("places")).withColumnsRenamed({"doc_id": "right_id", "text_key": "right_key"})
     right = F.broadcast(right) if likely.count() <= broadcast_rows // 10 else right
     same = F.col("doc_id").eqNullSafe(F.col("right_id")) & (F.col("text_key") == F.col("right_key"))
-    asked = keyed.join(right, same).select(*DOC, "template", "label", "size", "low", "high", hashed_words(F.col("text")).alias("words"))
-    at = F.greatest(F.col("low"), F.lit(0))
-    spans = asked.select(*DOC, "template", "label", "size", "low", F.slice("words", at + 1, F.greatest(F.least(F.col("high") + F.col("size"), F.size("words")) - at, F.lit(0))).alias("span")).distinct()
+
+    def spans_of(words: Column) -> Column:
+        def span(p: Column) -> Column:
+            at = F.greatest(p.low, F.lit(0))
+            return F.struct(p.template.alias("template"), p.label.alias("label"), p["size"].alias("size"), p.band.alias("band"), F.slice(words, at + 1, F.greatest(F.least(p.high + p["size"], F.size(words)) - at, F.lit(0))).alias("span"))
+
+        return F.transform("places", span)
+
+    asked = keyed.join(right, same).select(*DOC, "text", "places").dropDuplicates(DOC)
+    spans = asked.select(*DOC, F.explode(let(hashed_words(F.col("text")), spans_of)).alias("s")).select(*DOC, "s.*")
     aligned = spans.join(F.broadcast(patterns.select("template", "pattern")) if few else patterns.select("template", "pattern"), "template")
-    verified = aligned.select(*DOC, "label", (1 - edits(F.col("span"), F.col("pattern")) / F.col("size")).alias("coverage")).filter(F.col("coverage") >= min_coverage)
+    verified = aligned.select(*DOC, "template", "label", "band", (1 - edits(F.col("span"), F.col("pattern")) / F.col("size")).alias("coverage")).filter(F.col("coverage") >= min_coverage)
+    verified = verified.groupBy(*DOC, "template", "label", "band").agg(F.max("coverage").alias("coverage"))
     by_document = verified.groupBy(*DOC).agg(F.collect_set("label").alias("found"), F.max("coverage").alias("coverage"), F.count("*").alias("n_spans"))
 
     joined = counted.join(by_document.withColumnsRenamed({"doc_id": "right_id", "text_key": "right_key"}), same, "left")

@@ -110,7 +110,9 @@ LICENSE_SQL = f"""
     v AS (SELECT doc_id, id, label, tw, grams, diagonal, list(j) AS js FROM h GROUP BY ALL),
     m AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= 3 THEN 0 ELSE 1 END AS fresh FROM v WINDOW w AS (PARTITION BY doc_id, id ORDER BY diagonal)),
     n AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, id ORDER BY diagonal) AS band FROM m),
-    s AS (SELECT doc_id, label, tw, grams, min(diagonal) AS low, max(diagonal) AS high, len(list_distinct(flatten(list(js)))) AS hit FROM n GROUP BY doc_id, id, label, tw, grams, band),
+    pr AS (SELECT n.*, r.diagonal AS high FROM n JOIN n r ON n.doc_id = r.doc_id AND n.id = r.id AND n.band = r.band AND r.diagonal BETWEEN n.diagonal AND n.diagonal + len(n.tw) * 4 // 10),
+    s AS (SELECT pr.doc_id, pr.label, pr.tw, pr.grams, pr.diagonal AS low, pr.high, len(list_distinct(flatten(list(c.js)))) AS hit
+      FROM pr JOIN n c ON c.doc_id = pr.doc_id AND c.id = pr.id AND c.band = pr.band AND c.diagonal BETWEEN pr.diagonal AND pr.high GROUP BY ALL),
     z AS (SELECT doc_id, label, tw, w[greatest(low, 0) + 1:least(high + len(tw), len(w))] AS span FROM s JOIN d USING (doc_id) WHERE hit >= 0.4 * grams),
     -- Edit distance by rows: a row's own dependence is the running least of what comes from the row before.
     e AS (SELECT doc_id, label, tw, list_reduce(list_transform(span, lambda x: {{'w': x, 'r': cast([] AS bigint[])}}), lambda a, x: {{'w': x.w, 'r': list_transform(range(0, len(tw) + 1), lambda j: j + list_min(list_transform(range(0, j + 1),

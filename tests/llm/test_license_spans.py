@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from paylens.llm import license_scan
 
 SCHEMA = "doc_id long, text string"
@@ -67,3 +69,32 @@ def test_rows_alike_share_a_scan(spark):
     text = license_scan.TEMPLATES[-1][1]
     rows = license_scan.license_scan(spark.createDataFrame([(1, text), (1, text), (None, text), (1, "another text")], SCHEMA)).collect()
     assert sorted((r.doc_id or 0, r.labels, r.n_spans) for r in rows) == [(0, "mpl-2.0", 1), (1, "", 0), (1, "mpl-2.0", 1), (1, "mpl-2.0", 1)]
+
+
+def test_parts_repeated_beside_a_notice_do_not_hide_it(spark):
+    rng = random.Random(9)
+    docs, sizes = [(1, "may be released under the released under the MIT License"), (2, "under the MIT under the MIT License")], {}
+    for label in ("mit", "mpl-2.0", "cc-by"):
+        w = next(words(t) for x, t in license_scan.TEMPLATES if x == label)
+        for a in range(len(w) - 2):
+            for b in range(a + 3, len(w) + 1):
+                for apart in range(11):
+                    between = [f"other{rng.randrange(90)}" for _ in range(apart)]
+                    for parts in ([*w[a:b], *between, *w], [*w, *between, *w[a:b]], [*w[a:b], *between, *w, *between, *w[a:b]]):
+                        docs.append((len(docs) + 1, " ".join(parts)))
+                        sizes[len(docs)] = label
+    got = scan(spark, docs)
+    assert got[1].labels == got[2].labels == "mit" and got[1].score == 1.0 and abs(got[2].score - 0.8) < 1e-9
+    assert all(label in got[i].labels.split(",") and got[i].score == 1.0 for i, label in sizes.items())
+
+
+def test_a_to_z_are_lowered_in_words_with_other_letters(spark):
+    docs = spark.createDataFrame([(1, "under \u00c91 \u00c9lan \u00c9vasion licence ok"), (2, "\u00c9lan \u00c9VASION LICENCE"), (3, "\u00e9lan \u00e9vasion licence")], SCHEMA)
+    got = {r.doc_id: r.labels for r in license_scan.license_scan(docs, [("elan", "\u00c9lan \u00c9VASION licence")]).collect()}
+    assert got == {1: "elan", 2: "elan", 3: ""}
+
+
+def test_templates_too_long_for_the_aligner_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "a b c")], SCHEMA)
+    with pytest.raises(ValueError, match="more than 50000 words"):
+        license_scan.license_scan(docs, [("long", "word " * 60000)])
