@@ -34,6 +34,7 @@ BOILERPLATE_NAME = re.compile(
 SECONDARY_ARTICLE = frozenset("ad advert comment promo related reply sponsored teaser".split())
 # Function characters of scripts that are written without spaces; hiragana come from their code range.
 FUNCTION_CHARACTERS = frozenset("的了是在和不有我你他她这那个们也就都而及与着或一中上到说要会可之为以于对从被把但没很還这這個們與為於對從這說會沒來时時") | frozenset(map(chr, range(0x3041, 0x3097)))
+UNSPACED = re.compile("[\u3040-\u9fff]")
 BOILERPLATE_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)(?:>|$)", re.S)
 NAMED = re.compile(r"(?is)\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -163,7 +164,7 @@ def stop_word_density(text: str) -> float:
 
 def is_unspaced(text: str) -> bool:
     """Whether most characters are of Chinese or Japanese script (U+3040 to U+9FFF)."""
-    return 2 * sum("\u3040" <= c <= "\u9fff" for c in text) > len(text)
+    return bool(UNSPACED.search(text)) and 2 * len(UNSPACED.findall(text)) > len(text)
 
 
 def length_of(text: str) -> int:
@@ -252,7 +253,9 @@ def main_text(html: str) -> str:
     has_article = any(b.article and not b.aside for b, _ in blocks)
     marked = has_article or any(b.main and not b.aside for b, _ in blocks)
     judged = [(b, t) for b, t in blocks if not marked or not b.aside and (b.article if has_article else b.main)]
-    first = joined([first_pass(t, b, marked) for b, t in judged], [length_of(t) for _, t in judged])
+    first = [first_pass(t, b, marked) for b, t in judged]
+    if DENSE in first:
+        first = joined(first, [length_of(t) for _, t in judged])
     labels = second_pass(first, marked)
     for i in range(len(judged) - 2, -1, -1):
         if judged[i][0].heading and labels[i] == BAD and first[i] == SHORT and labels[i + 1] == GOOD:
