@@ -78,7 +78,8 @@ def hashed_words(text: Column) -> Column:
     """A hash for each word; A-Z alone count as lower case, in words with other letters too."""
 
     def lowered(w: Column) -> Column:
-        return F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(F.translate(w, ascii_uppercase, ascii_lowercase))
+        # What lower() leaves alone has no A-Z; translate() is for the few words that are neither.
+        return F.when(F.octet_length(w) == F.length(w), F.lower(w)).when(w == F.lower(w), w).otherwise(F.translate(w, ascii_uppercase, ascii_lowercase))
 
     return F.transform(words_of(text, SEPARATORS), lambda w: F.xxhash64(lowered(w)))
 
