@@ -39,15 +39,14 @@ def word_buckets(text: bytes) -> np.ndarray:
     return (mix64(np.concatenate(parts)) >> np.uint64(44)).astype(np.int32)
 
 
-def select_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], min_ratio: float = 2.0, min_evidence: float = 7.0) -> np.ndarray:
-    """Buckets that positive texts have more often than chance explains, given their share of unlabelled texts.
+def select_words(p: np.ndarray, u: np.ndarray, n_positive: int, n_unlabelled: int, min_ratio: float = 2.0, min_evidence: float = 7.0) -> np.ndarray:
+    """Places in p and u, the numbers of positive and of unlabelled texts by bucket, of buckets that positive texts have more often than chance explains, given their share of unlabelled texts.
 
     With k positive texts where the unlabelled ones let e expect, the evidence is k log(k / e) - (k - e),
     the negative logarithm of Chernoff's bound for so many by chance. A lower bound lets words in that a few
     positive texts have by chance, and clean texts are rejected for them.
     """
-    p, u = (np.bincount(np.concatenate(x), minlength=BUCKETS) if len(x) else np.zeros(BUCKETS, int) for x in (positive, unlabelled))
-    expected = (u + 0.5) / (len(unlabelled) + 1) * len(positive)
+    expected = (u + 0.5) / (n_unlabelled + 1) * n_positive
     evidence = np.where(p > 0, p * np.log(np.maximum(p, 1) / expected) - (p - expected), 0.0)
     return np.flatnonzero((p >= min_ratio * expected) & (evidence >= min_evidence))
 
@@ -89,12 +88,14 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_positive: int = 3000, max_unlabelled: int = 9000, classifiers: int = 3, max_values: int = 50_000_000) -> list[tuple[int, float]]:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_positive: int = 3000, max_unlabelled: int = 9000, classifiers: int = 3) -> list[tuple[int, float]]:
     """Weights by bucket (BUCKETS: the bias), the mean of several classifiers learnt in one task.
 
     Positives are training rows labelled 1, at most max_positive; unlabelled are any documents, at most
-    max_unlabelled, whatever their labels, which aren't looked at; both are those of the smallest hashes. Each
-    side ends earlier where its texts have max_values features, 4 bytes each, so the task's memory has a bound.
+    max_unlabelled, whatever their labels, which aren't looked at; both are those of the smallest hashes. All
+    words of their whole texts are counted by bucket where the texts are; the training task gets of each text
+    only the selected ones, so its memory has a bound however long texts are. The counts that come to the
+    driver have a row for each bucket of a positive text, 2**20 at most.
     The class prior is the share of label 1 among all training labels.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
@@ -109,24 +110,36 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_p
     unlabelled = docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit("unlabelled")), "doc_id").limit(max_unlabelled).withColumn("kind", F.lit(0))
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(positive.unionByName(unlabelled)), "doc_id").select(place.alias("place"), "kind", "text")
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last place counts texts.
+        totals = np.zeros((2, BUCKETS + 1), np.int64)
+        for batch in small(batches):
+            for kind, text in zip(batch.column(1).to_pylist(), utf8_values(batch.column(2)), strict=True):
+                totals[kind][np.append(np.unique(word_buckets(text)), BUCKETS)] += 1
+        at = np.flatnonzero(totals.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(totals[1][at]), pa.array(totals[0][at])], ["bucket", "p", "u"])
+
+    counts = sample.mapInArrow(count, "bucket int, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter("p > 0").orderBy("bucket").toArrow()
+    bucket, p, u = (counts.column(c).to_numpy() for c in ("bucket", "p", "u"))
+    if not len(bucket):
+        return []
+    words = np.flatnonzero(bucket < BUCKETS)
+    chosen = bucket[words][select_words(p[words], u[words], p[-1], u[-1])]
+    place_of = np.full(BUCKETS, -1, np.int32)
+    place_of[chosen] = np.arange(len(chosen))
+    shared = docs.sparkSession.sparkContext.broadcast(place_of)
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            sets = [np.unique(word_buckets(t)).tobytes() for t in utf8_values(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["place", "kind", "words"])
+            found = [shared.value[np.unique(word_buckets(t))] for t in utf8_values(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[x >= 0].tobytes() for x in found], pa.binary())], ["place", "kind", "words"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides: tuple[list, list] = ([], [])
-        held = [0, 0]
         for b in batches:
             for kind, words in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if held[kind] < max_values:
-                    sides[kind].append(np.frombuffer(words, np.int32))
-                    held[kind] += len(words) // 4
-        chosen = select_words(sides[1], sides[0])
-        place = np.full(BUCKETS, -1)
-        place[chosen] = np.arange(len(chosen))
-        u, p = ([x[x >= 0] for x in (place[r] for r in rows)] for rows in sides)
-        w = np.mean([train_nnpu(p, u, prior, len(chosen), seed=s) for s in range(classifiers)], axis=0)
+                sides[kind].append(np.frombuffer(words, np.int32))
+        w = np.mean([train_nnpu(sides[1], sides[0], prior, len(chosen), seed=s) for s in range(classifiers)], axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(chosen, BUCKETS), pa.int32()), pa.array(w, pa.float64())], ["bucket", "weight"])
 
     features = sample.mapInArrow(extract, "place long, kind int, words binary")
@@ -138,7 +151,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", th
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted, per row of docs(doc_id, text).
 
     bounds as in fit_toxicity. Labels are learnt only from rows that aren't held out; lang, source and ids
-    are no inputs. Null texts are empty and get the score of the bias; without positive labels every score is
+    are no inputs. Null texts are empty and get the score of the bias; without texts labelled 1 every score is
     0. Texts of any length are scored whole. Null ids aren't held out; repeated rows keep rows of their own,
     equal texts have equal scores, a score at the threshold is 1, an empty table gives an empty one,
     other columns aren't read. The weights (2**20 at most) are broadcast; scoring shuffles nothing.
