@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, mix64, powers_of_base, small, utf8_values, window_hashes, word_bounds, word_hashes
+from .common import Scratch, held_out, mix64, powers_of_base, small, utf8_values, window_hashes, word_bounds, word_hashes
 
 BUCKETS = 1 << 18
 
@@ -67,23 +68,20 @@ def document_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index), values / np.float32(np.sqrt(len(index)))
 
 
-def train_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> np.ndarray:
-    """Weights (the last is the bias) of per-coordinate FTRL-proximal over the rows (label, buckets, values), in order."""
-    z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+def ftrl_weights(z: np.ndarray, n: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> np.ndarray:
+    """The weights that per-coordinate sums of gradients z and of their squares n stand for."""
+    return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
 
-    def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
 
-    for epoch in range(epochs):
-        for k in np.random.default_rng(epoch).permutation(len(rows)):
-            label, i, v = rows[k]
-            i, v = np.append(i, BUCKETS), np.append(v, 1.0)
-            w = weights(z[i], n[i])
-            g = (1 / (1 + np.exp(-np.clip(w @ v, -30, 30))) - label) * v
-            # A bucket may stand twice in a row: gradients add up.
-            np.add.at(z, i, g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w)
-            np.add.at(n, i, g * g)
-    return weights(z, n)
+def train_ftrl(rows: Iterable[tuple[int, np.ndarray, np.ndarray]], z: np.ndarray, n: np.ndarray, alpha: float = 0.5) -> None:
+    """One pass of per-coordinate FTRL-proximal over the rows (label, buckets, values), in order; z and n (last: the bias) change."""
+    for label, i, v in rows:
+        i, v = np.append(i, BUCKETS), np.append(v, 1.0)
+        w = ftrl_weights(z[i], n[i], alpha)
+        g = (1 / (1 + np.exp(-np.clip(w @ v, -30, 30))) - label) * v
+        # A bucket may stand twice in a row: gradients add up.
+        np.add.at(z, i, g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w)
+        np.add.at(n, i, g * g)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
@@ -98,11 +96,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("place", "label", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 8000, max_values: int = 40_000_000) -> list[tuple[int, float]]:
-    """Weights other than 0 by bucket, learnt in one task from at most max_rows labelled whole texts.
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 8000, epochs: int = 4, scratch: Scratch | None = None) -> list[tuple[int, float]]:
+    """Weights other than 0 by bucket, learnt from at most max_rows labelled whole texts.
 
-    Texts are taken in the order of their ids' hashes until they have max_values features, 8 bytes each: the
-    task's memory has a bound however long they are.
+    The texts' features are written to a scratch table once. Each epoch is one task that takes them as a stream,
+    in an order of its own by hashes of ids, and hands on the sums of its gradients, at most 2**18 rows: no more
+    than a batch of features is in memory, however long the texts are, and none is left out.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,20 +109,27 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
             found = [document_features(t) for t in utf8_values(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["place", "label", "index", "value"])
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
-        for b in batches:
-            for y, i, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if held < max_values:
-                    rows.append((y, np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)))
-                    held += len(v) // 4
-        w = train_ftrl(rows)
-        at = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at], pa.float64())], ["bucket", "weight"])
-
-    features = labelled_sample(docs, labels, label, max_rows).mapInArrow(extract, "place long, label int, index binary, value binary")
-    fitted = features.repartition(1).sortWithinPartitions("place", "index").mapInArrow(train, "bucket int, weight double")
-    return [tuple(r) for r in fitted.collect()]
+    own, scratch = scratch is None, scratch or Scratch(docs.sparkSession)
+    features = scratch.table(labelled_sample(docs, labels, label, max_rows).mapInArrow(extract, "place long, label int, index binary, value binary"), "features")
+    z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    for epoch in range(epochs):
+        state = docs.sparkSession.sparkContext.broadcast((z, n))
+
+        def train(batches: Iterator[pa.RecordBatch], state: Broadcast = state) -> Iterator[pa.RecordBatch]:
+            z, n = (x.copy() for x in state.value)
+            rows = (row for b in batches for part in small([b], 100) for row in zip(*(part.column(c).to_pylist() for c in range(1, 4)), strict=True))
+            train_ftrl(((y, np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for y, i, v in rows), z, n)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(z[at]), pa.array(n[at])], ["bucket", "z", "n"])
+
+        ordered = features.repartition(1).sortWithinPartitions(F.xxhash64("place", F.lit(epoch)), "place", "index")
+        sums = ordered.mapInArrow(train, "bucket int, z double, n double").toArrow()
+        z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+        z[sums.column("bucket")], n[sums.column("bucket")] = sums.column("z"), sums.column("n")
+    if own:
+        scratch.discard()
+    w = ftrl_weights(z, n)
+    return [(int(b), float(w[b])) for b in np.flatnonzero(w)]
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 8000, threshold: float = 0.5) -> DataFrame:
