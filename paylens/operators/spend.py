@@ -42,21 +42,29 @@ def bucket_rows(invoices: DataFrame, period: str = "month") -> DataFrame:
 BUCKET = ["dimension", "key", "currency"]
 
 
+# Ids of a bucket are first listed by so many shares, so that no task holds a large bucket's invoices one by one.
+SHARES = 64
+
+
 def spend_buckets(invoices: DataFrame, period: str = "month") -> DataFrame:
-    """dimension, key, currency, label, total, n, first_id, last_id and first_ord over five dimensions at once.
+    """dimension, key, currency, label, total, n, first_id, last_id, first_ord and the sorted invoice_ids over five dimensions at once.
 
     Labels that differ in case only share a bucket, under the spelling that came first (smallest ord). One
-    pass: the rows are expanded to the dimensions and summed before the shuffle. A bucket's invoices are what
-    drilldown gives; no row holds their ids.
+    pass: the rows are expanded to the dimensions, summed and listed by shares of the ids, and the shares put together as whole arrays.
+    drilldown gives a bucket's invoices themselves.
     """
+    share = F.pmod(F.xxhash64("id"), F.lit(SHARES)).alias("share")
     ends = [F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min("ord").alias("first_ord")]
-    return bucket_rows(invoices, period).groupBy(*BUCKET).agg(F.min_by("label", "ord").alias("label"), exact_sum("total").alias("total"), F.count("*").alias("n"), *ends)
+    ids = F.collect_set("id").alias("invoice_ids")
+    parts = bucket_rows(invoices, period).groupBy(*BUCKET, share).agg(F.min_by("label", "ord").alias("label"), exact_sum("total").alias("total"), F.count("*").alias("n"), *ends, ids)
+    return merge_buckets(parts)
 
 
 def merge_buckets(parts: DataFrame) -> DataFrame:
     """Buckets of several parts of the invoices (kept ones and those of a new day, say) as those of all, from the buckets alone."""
     ends = [F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.min("first_ord").alias("first_ord")]
-    return parts.groupBy(*BUCKET).agg(F.min_by("label", "first_ord").alias("label"), exact_sum("total").alias("total"), F.sum("n").alias("n"), *ends)
+    ids = F.sort_array(F.flatten(F.collect_list("invoice_ids"))).alias("invoice_ids")
+    return parts.groupBy(*BUCKET).agg(F.min_by("label", "first_ord").alias("label"), exact_sum("total").alias("total"), F.sum("n").alias("n"), *ends, ids)
 
 
 def top_buckets(buckets: DataFrame, dimension: str, limit: int = 12) -> DataFrame:

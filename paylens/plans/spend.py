@@ -16,7 +16,7 @@ UNION ALL SELECT id, ord, total, cur, 'category', coalesce(nullif(trim(category)
 UNION ALL SELECT id, ord, total, cur, 'department', coalesce(nullif(trim(department), ''), 'Unassigned department') FROM paid
 UNION ALL SELECT id, ord, total, cur, 'entity', coalesce(nullif(trim(entity), ''), 'Unassigned entity') FROM paid
 UNION ALL SELECT id, ord, total, cur, 'period', coalesce(strftime(issue_date, '%Y-%m'), 'Unknown period') FROM paid),
-buckets AS (SELECT dimension, lower(label) AS k, cur AS currency, min_by(label, ord) AS label, {SUM} AS total, count(*) AS n, min(id) AS first_id, max(id) AS last_id, min(ord) AS first_ord FROM d GROUP BY 1, 2, 3)"""
+buckets AS (SELECT dimension, lower(label) AS k, cur AS currency, min_by(label, ord) AS label, {SUM} AS total, count(*) AS n, min(id) AS first_id, max(id) AS last_id, min(ord) AS first_ord, list_sort(list(DISTINCT id)) AS invoice_ids FROM d GROUP BY 1, 2, 3)"""
 
 
 def paid(d):
@@ -38,9 +38,9 @@ QUERIES = {
         lambda d: spend.spend_filter(d.v_invoices, "1995-01-01", "1996-12-31", "EUR").select("id", "issue_date", "total"),
         f"SELECT id, issue_date, total FROM v_invoices WHERE issue_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' AND {CUR} = 'EUR'",
     ),
-    "spend_buckets": (lambda d: spend.spend_buckets(paid(d)), f"{BUCKETS} SELECT dimension, k AS key, currency, label, total, n, first_id, last_id, first_ord FROM buckets"),
+    "spend_buckets": (lambda d: spend.spend_buckets(paid(d)), f"{BUCKETS} SELECT dimension, k AS key, currency, label, total, n, first_id, last_id, first_ord, invoice_ids FROM buckets"),
     "top_buckets": (
-        lambda d: spend.top_buckets(spend.spend_buckets(paid(d)), "vendor").drop("key", "first_id", "last_id", "first_ord"),
+        lambda d: spend.top_buckets(spend.spend_buckets(paid(d)), "vendor").drop("key", "first_id", "last_id", "first_ord", "invoice_ids"),
         f"{BUCKETS} SELECT dimension, currency, label, total, n FROM buckets WHERE dimension = 'vendor' ORDER BY total DESC, label, currency LIMIT 12",
     ),
     "open_pipeline": (lambda d: spend.open_pipeline(d.v_invoices), f"SELECT {CUR} AS currency, {SUM} AS total, count(*) AS n FROM v_invoices WHERE status NOT IN ('rejected', 'archived', 'paid') GROUP BY 1"),

@@ -41,3 +41,28 @@ def test_lines_without_an_order_meet_nothing(spark):
     assert sorted(tuple(r) for r in got.select("invoice_id", "status", "matched_by").collect()) == [(1, "no_po", "auto"), (2, "matched", "auto"), (3, "no_po", "auto")]
     tree = got._jdf.queryExecution().executedPlan().toString()
     assert tree.count("Filter isnotnull(po_id") >= 2
+
+
+def test_buckets_hold_their_invoices(spark):
+    from paylens.operators import spend
+
+    df = spark.createDataFrame([(i, i, "Acme" if i % 2 else "acme", "", "IT", "", None, "EUR", 1.0) for i in range(300)], "id long, ord long, vendor string, category string, department string, entity string, issue_date date, currency string, total double")
+    got = {(r.dimension, r.key): r for r in spend.spend_buckets(df).collect()}
+    assert got["vendor", "acme"].invoice_ids == list(range(300)) and got["vendor", "acme"].label == "acme" and got["period", "unknown period"].n == 300
+
+
+def test_vendor_vectors_count_every_word(spark):
+    import hashlib
+
+    from paylens.operators import documents
+
+    texts = [None, "", "a", "acme", "acme acme beta", " ".join(f"w{i}" for i in range(900))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in documents.vendor_embedding(df).collect():
+        counts = [0] * 256
+        for w in (texts[r.doc_id] or "").split():
+            counts[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 256] += len(w) > 1
+        norm = sum(c * c for c in counts) ** 0.5
+        assert r.embedding == [c / norm if norm else 0.0 for c in counts]
+    tree = documents.vendor_embedding(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0, 255" not in tree
