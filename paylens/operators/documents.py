@@ -417,7 +417,17 @@ def vendor_embedding(texts: DataFrame, buckets: int = 256) -> DataFrame:
     rows = rows.select("doc_id", F.sha2(F.array_join(F.sort_array(F.array_distinct("words")), " "), 256).alias("fingerprint"), F.sort_array(F.transform("words", bucket)).alias("found"))
 
     def counted(found: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.size(F.filter(found, lambda b: b == i)).cast("double"))
-        return let(each, lambda n: let(F.sqrt(F.aggregate(n, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: F.transform(n, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))))
+        """Zeros up to each bucket, its count, and zeros to the end: a step a word, not one a bucket."""
+        zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+        own = F.array_distinct(found)
+        each = F.transform(own, lambda b: F.struct(b.alias("b"), (F.size(found) - F.size(F.array_remove(found, b))).cast("double").alias("n")))
+
+        def laid(counts: Column) -> Column:
+            norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, c: s + c.n * c.n))
+            before = lambda i: F.coalesce(F.get(counts, i - 1).b, F.lit(-1))
+            filled = let(norm, lambda length: F.flatten(F.transform(counts, lambda c, i: F.array_append(zeros(c.b - before(i) - 1), c.n / length))))
+            return F.concat(filled, zeros(F.lit(buckets - 1) - F.coalesce(F.try_element_at(counts, F.lit(-1)).b, F.lit(-1))))
+
+        return let(each, laid)
 
     return rows.select("doc_id", "fingerprint", counted(F.col("found")).alias("embedding"))
