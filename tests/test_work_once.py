@@ -66,3 +66,32 @@ def test_vendor_vectors_count_every_word(spark):
         assert r.embedding == [c / norm if norm else 0.0 for c in counts]
     tree = documents.vendor_embedding(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(0, 255" not in tree
+
+
+def test_no_run_with_a_value_fails_the_cheap_test(spark):
+    from pyspark.sql import functions as F
+
+    from paylens.operators import words as W
+
+    runs = ["1.234,50", "EUR 1 234.5", "$1234.50", "5 maart 1998", "05-03-98", "March 5, 2098", "1998-03-05", "nl91 abna 0417 1643 00", "NL91ABNA0417164300", "(NL91-ABNA0417164300)", "ACME B.V.", "acme-holding", "Straße 5", "x"]
+    values = [(k, v) for k in ("money", "date", "iban", "text") for v in runs]
+    df = spark.createDataFrame(values, "kind string, value string").select("kind", W.value_key(F.col("kind"), F.col("value")).alias("wanted")).filter("wanted is not null")
+    met = df.crossJoin(spark.createDataFrame([(r,) for r in runs], "run string")).withColumn("printed", W.value_key(F.col("kind"), F.col("run")))
+    near = (F.col("kind") == "text") & W.within(F.split("wanted", " "), F.split("printed", " "))
+    taken = met.filter((F.col("printed") == F.col("wanted")) | near)
+    assert taken.count() > 20
+    assert taken.filter(~W.may_be(F.col("kind"), F.col("run"), F.lower("run"), F.col("wanted"))).count() == 0
+    line = F.concat(F.lit("Total 7: "), F.col("run"), F.lit(" thanks"))
+    packed = F.upper(F.regexp_replace(line, "[^A-Za-z0-9]", ""))
+    assert taken.filter(~W.may_hold(F.col("kind"), line, F.lower(line), packed, F.col("wanted"))).count() == 0
+
+
+def test_vendors_meet_words_that_they_hold_only(spark):
+    from paylens.operators import matching
+
+    names = [(f"customer#{i:09d}",) for i in range(400)]
+    found = matching.vendors_with(spark.createDataFrame(names, "word string"), spark.createDataFrame([(n + " b.v.",) for (n,) in names], "po_vendor string"))
+    assert sorted(tuple(r) for r in found.collect()) == [(n, n + " b.v.") for (n,) in names]
+    long = "x" * 40
+    assert matching.vendors_with(spark.createDataFrame([(long,), ("x" * 33,)], "word string"), spark.createDataFrame([("a" + long,), ("x" * 33,)], "po_vendor string")).count() == 3
+    assert matching.HEAD > 18
