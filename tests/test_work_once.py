@@ -95,3 +95,23 @@ def test_vendors_meet_words_that_they_hold_only(spark):
     long = "x" * 40
     assert matching.vendors_with(spark.createDataFrame([(long,), ("x" * 33,)], "word string"), spark.createDataFrame([("a" + long,), ("x" * 33,)], "po_vendor string")).count() == 3
     assert matching.HEAD > 18
+
+
+def test_words_beyond_all_bands_go_before_they_are_shuffled(spark):
+    from paylens.operators import words as W
+
+    df = spark.createDataFrame([(1, 1, i, f"w{i}", i / 100, 0.0) for i in range(9)], "doc_id long, page int, pos int, text string, x double, y double")
+    bands = spark.createDataFrame([("a", 0.0, 0.02), ("b", 0.02, 0.04)], "field string, x_from double, x_to double")
+    out = W.table_rows(W.line_cluster(df), bands)
+    assert sorted((r.field, r.value) for r in out.collect()) == [("a", "w0 w1"), ("b", "w2 w3")]
+    assert "< 0.04)" in plan(out)
+    assert W.table_rows(W.line_cluster(df), bands.limit(0)).count() == 0
+
+
+def test_a_batch_finds_its_peers_once(spark):
+    from paylens.operators.lookups import vendor_resolve
+    from paylens.streaming import checks
+
+    d = Data(spark, SMALL)
+    corpus = vendor_resolve(d.v_invoices, d.v_profiles)
+    assert "levenshtein" not in plan(checks.monitored(corpus.filter("id % 7 = 0"), corpus, "2001-08-01"))
