@@ -23,12 +23,17 @@ def paid(d):
     return d.v_invoices.filter("status = 'paid'")
 
 
+# Rows that one task sorts and writes of the hand-off file.
+ROWS_A_FILE = 100_000
+
+
 def bookkeeping_file(d):
-    """The lines of the hand-off file as they are read back; the reader takes the byte order mark off."""
+    """The lines of the hand-off file as they are read back; the reader takes the byte order mark off. Many rows are written as parts that follow each other."""
     path = scratch_path(d.spark, "handoff")
     marked = d.v_invoices.withColumns({"vendor": F.concat("vendor", F.lit(', "Dept"')), "memo": F.concat(F.lit("="), "memo")})
     numbers = d.v_po_lines.select("po_id").distinct().withColumn("number", F.upper("po_id"))
-    queue.write_bookkeeping_csv(queue.bookkeeping_rows(marked, numbers), path)
+    files = max(1, -(-queue.handoff_filter(d.v_invoices).count() // ROWS_A_FILE))
+    queue.write_bookkeeping_csv(queue.bookkeeping_rows(marked, numbers), path, files)
     return d.spark.read.option("lineSep", "\r\n").text(path).select(F.col("value").alias("line"))
 
 
