@@ -286,7 +286,7 @@ def doc_vendor(text: Column, own: str = "") -> Column:
 
 
 MONEY = r"-?\d{1,3}(?:[.,]\d{3})*[.,]\d{2}\b"
-NOT_ITEMS = "(?iu)" + either([w for k in ("subtotal", "tax", "total", "balance", "terms", "bank", "vat", "issue_date", "due_date") for w in LABELS[k]] + ["datum", "date", "omzetbelasting", "betaling", "payment"])
+NOT_ITEMS = either([w for k in ("subtotal", "tax", "total", "balance", "terms", "bank", "vat", "issue_date", "due_date") for w in LABELS[k]] + ["datum", "date", "omzetbelasting", "betaling", "payment"])
 
 
 def doc_line_items(pages: DataFrame, per_page: int = 8, per_document: int = 20) -> DataFrame:
@@ -295,17 +295,37 @@ def doc_line_items(pages: DataFrame, per_page: int = 8, per_document: int = 20)
     In product blocks the amount stands on a line with no name of its own, below the product's: such a line
     takes the one above it as its description.
     """
+    named, other = r"\p{L}{4}", lambda x: let(F.lower(x), lambda low: in_any_case(x, low, lambda t, flags: t.rlike(flags + NOT_ITEMS)))
+    unit = rf"(?<![\d.,])(\d{{1,4}})\s?{either(UNITS)}"
+
+    def quantity(text: Column) -> Column:
+        found = let(F.lower(text), lambda low: in_any_case(text, low, lambda t, flags: first_match(t, flags + unit)))
+        return F.coalesce(found.try_cast("double"), F.lit(1.0))
+
+    def value(token: Column) -> Column:
+        """As money_value reads a token of this form: its decimal mark is the third character from the end."""
+        plain = F.when(F.substring(token, -3, 1) == ",", F.replace(F.replace(token, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(token, F.lit(","), F.lit("")))
+        return plain.try_cast("double")
+
+    def described(line: Column, amount: Column, own: Column, description: Column) -> Column:
+        good = (F.length(description) >= 4) & ((description == own) | ~other(description))
+        row = F.struct(line.alias("line"), F.substring(description, 1, 80).alias("description"), quantity(F.concat_ws(" ", own, description)).alias("quantity"), amount.alias("amount"))
+        return F.when(good, row)
+
+    def item(x: Column, i: Column, above: Column) -> Column:
+        """The item on a line with money, else null. Each step is taken once, and only where those before it leave something."""
+        token = F.try_element_at(F.regexp_extract_all(x, F.lit(MONEY), F.lit(0)), F.lit(-1))
+        rest = F.trim(F.regexp_replace(F.regexp_replace(x, MONEY, ""), r"\s{2,}", " "))
+
+        def of(amount: Column, own: Column) -> Column:
+            bare = ~own.rlike(named) & above.rlike(named) & ~above.rlike(MONEY)
+            return F.when(amount >= 1, let(F.when(bare, above).otherwise(own), lambda description: described(i, amount, own, description)))
+
+        return let(rest, lambda own: F.when(~other(own), let(let(token, value), lambda amount: of(amount, own))))
+
     # A line with money takes the one above it along, so that no other line is sent anywhere.
-    with_above = lambda lines: F.transform(lines, lambda x, i: F.struct(x.alias("raw"), F.trim(F.get(lines, i - 1)).alias("above")))
-    rows = pages.select("doc_id", "page", F.posexplode(let(F.split("text", "\n"), with_above)).alias("line", "l")).select("doc_id", "page", "line", "l.*")
-    rows = rows.filter(F.col("raw").rlike(MONEY))
-    rows = rows.withColumn("amount", money_value(F.try_element_at(F.regexp_extract_all("raw", F.lit(MONEY), F.lit(0)), F.lit(-1))))
-    rest = F.trim(F.regexp_replace(F.regexp_replace("raw", MONEY, ""), r"\s{2,}", " "))
-    bare = ~rest.rlike(r"\p{L}{4}") & F.col("above").rlike(r"\p{L}{4}") & ~F.col("above").rlike(MONEY)
-    rows = rows.select("doc_id", "page", "line", "amount", rest.alias("own"), F.when(bare, F.col("above")).otherwise(rest).alias("description"))
-    rows = rows.filter((F.col("amount") >= 1) & (F.length("description") >= 4) & ~F.col("description").rlike(NOT_ITEMS) & ~F.col("own").rlike(NOT_ITEMS))
-    quantity = F.coalesce(first_match(F.concat_ws(" ", "own", "description"), rf"(?iu)(?<![\d.,])(\d{{1,4}})\s?{either(UNITS)}").try_cast("double"), F.lit(1.0))
-    rows = rows.select("doc_id", "page", "line", F.substring("description", 1, 80).alias("description"), quantity.alias("quantity"), "amount")
+    of_lines = lambda lines: F.transform(lines, lambda x, i: F.when((F.contains(x, F.lit(",")) | F.contains(x, F.lit("."))) & x.rlike(MONEY), let(F.trim(F.get(lines, i - 1)), lambda above: item(x, i, above))))
+    rows = pages.select("doc_id", "page", F.inline(F.array_compact(let(F.split("text", "\n"), of_lines))))
     rows = rows.repartition("doc_id").withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("line"))).filter(F.col("n") <= per_page)
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "line"))).filter(F.col("n") <= per_document).drop("n")
 

@@ -38,3 +38,11 @@ def test_addresses_are_scored_a_page_at_a_time(spark):
     got = {(r.doc_id, r.email, r.score) for r in D.doc_emails(df).collect()}
     assert got == {(0, "a@b.co", 0.3), (1, "c@d.co", 0.3), (2, "e@f.co", 0.0), (3, "x@y.co", 0.3), (3, "g@h.co", 0.0)}
     assert "Generate inline" in plan(D.doc_emails(df))
+
+
+def test_an_amount_is_read_once(spark):
+    texts = ["Box of wood 1.234,50\n2 pcs 0,99", "Chairs and tables\n3 x 30.00", "SUBTOTAL 5.00\nſubtotal 5.00\nTotal 6.00", "Odd wood 1,23,456.00 7,00"]
+    df = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "doc_id long, page int, text string")
+    got = sorted((r.doc_id, r.line, r.description, r.quantity, r.amount) for r in D.doc_line_items(df).collect())
+    assert got[:2] == [(0, 0, "Box of wood", 1.0, 1234.5), (1, 1, "Chairs and tables", 3.0, 30.0)]
+    assert plan(D.doc_line_items(df)).count("regexp_extract_all(") == 1
