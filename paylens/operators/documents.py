@@ -228,12 +228,12 @@ def doc_registration(text: Column, email: Column | None = None, lower: Column |
     def found(low: Column) -> Column:
         out = []
         for i, (labels, least, most) in enumerate(REGISTERS):
-            pattern = rf"(?iu){either(labels)}(?:[\s-]*(?:nr|no|num|nummer|number)(?!\p{{L}}))?{GAP}(\d(?:[ .-]?\d){{{least - 1},{most - 1}}})(?!\d)"
-            every = F.when(mentions(low, labels), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
+            pattern = rf"{either(labels)}(?:[\s-]*(?:nr|no|num|nummer|number)(?!\p{{L}}))?{GAP}(\d(?:[ .-]?\d){{{least - 1},{most - 1}}})(?!\d)"
+            tried = in_any_case(text, low, lambda t, flags: F.regexp_extract_all(t, F.lit(flags + pattern), F.lit(1)))  # noqa: B023
+            every = F.when(mentions(low, labels), tried).otherwise(F.array().cast("array<string>"))
             out.append(F.transform(every, lambda x, k: F.struct(F.lit(i).alias("i"), k.alias("k"), x.alias("v"))))  # noqa: B023
         return F.concat(*out)
 
-
     def nearest(low: Column) -> Column:
         anchor = F.lit(None).cast("int") if email is None else place(low, F.lower(email))
         ranked = lambda at: F.transform(found(low), lambda x: F.struct(F.coalesce(F.abs(F.instr(text, x.v) - at), F.lit(0)).alias("far"), x.i.alias("i"), x.k.alias("k"), x.v.alias("v")))

@@ -46,3 +46,9 @@ def test_an_amount_is_read_once(spark):
     got = sorted((r.doc_id, r.line, r.description, r.quantity, r.amount) for r in D.doc_line_items(df).collect())
     assert got[:2] == [(0, 0, "Box of wood", 1.0, 1234.5), (1, 1, "Chairs and tables", 3.0, 30.0)]
     assert plan(D.doc_line_items(df)).count("regexp_extract_all(") == 1
+
+
+def test_a_word_of_many_labels_is_no_sign_of_a_register(spark):
+    df = spark.createDataFrame([("VAT number 1234567\nkvk\nnummer: 12345678",), ("ſiret 123 456 789",), ("number 12345678",)], "text string")
+    assert [r[0] for r in df.select(D.doc_registration(F.col("text"))).collect()] == ["12345678", "123456789", None]
+    assert not re.search(r"Contains\([^,]*, number\)", plan(df.select(D.doc_registration(F.col("text")))))
